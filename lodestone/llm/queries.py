@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.near_dedup import NearDedup
 from lodestone.llm.substring_dedup import SubstringDedup
 from lodestone.llm.url_filters import RULES, filter_urls
 from lodestone.session import table
@@ -28,8 +29,13 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDedup(width=5, percent=75).run(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_license_scans": op4_license_scans,
     "op5_url_filters": op5_url_filters,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
