@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.bpe import BytePairEncoding
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.near_dedup import NearDedup
 from lodestone.llm.substring_dedup import SubstringDedup
@@ -29,6 +30,19 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = BytePairEncoding(tokenizer_path())
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDedup(width=5, percent=75).run(table(spark, sf_dir, "documents"))
 
@@ -37,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_license_scans": op4_license_scans,
     "op5_url_filters": op5_url_filters,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
