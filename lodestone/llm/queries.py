@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import BytePairEncoding
 from lodestone.llm.decontamination import Decontamination
 from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.metric_search import MetricSearch
 from lodestone.llm.near_dedup import NearDedup
+from lodestone.llm.packing import Packing
 from lodestone.llm.quality import QualityClassifier
 from lodestone.llm.substring_dedup import SubstringDedup
 from lodestone.llm.url_filters import RULES, filter_urls
@@ -26,6 +28,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityClassifier().run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MetricSearch(k=10).run(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -49,6 +55,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Packing(tokenizer_path(), size=2048).run(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Decontamination().run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,9 +70,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_license_scans": op4_license_scans,
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_token_packing": op7_token_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
