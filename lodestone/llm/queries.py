@@ -14,6 +14,7 @@ from lodestone.llm.metric_search import MetricSearch
 from lodestone.llm.near_dedup import NearDedup
 from lodestone.llm.packing import Packing
 from lodestone.llm.quality import QualityClassifier
+from lodestone.llm.secrets import SecretScan
 from lodestone.llm.substring_dedup import SubstringDedup
 from lodestone.llm.url_filters import RULES, filter_urls
 from lodestone.session import table
@@ -67,6 +68,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDedup(width=5, percent=75).run(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = SecretScan().run(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").alias("n_chars"), F.sha2(F.encode("value", "utf-8"), 256).alias("value_sha256"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -77,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_packing": op7_token_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_secret_scans": op10_secret_scans,
 }
