@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,5 +33,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once a session, so that functions of it can run there."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestone_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lodestone-package-"), "lodestone_package"), "zip", os.path.dirname(here), os.path.basename(here))
+    context.addPyFile(zipped)
+    context._lodestone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
