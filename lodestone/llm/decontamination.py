@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.textops import LOWER, WORD, pieces, span_hashes, text_buffer, window_hashes, window_starts, word_spans
-from lodestone.session import materialize
+from lodestone.session import materialize, ship_package
 
 _BITS = 1 << 24
 
@@ -68,12 +68,13 @@ class Decontamination:
         self.least, self.coverage = least, coverage
 
     def run(self, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-        """(doc_id, item_id, coverage, n_tiles, tiles) for each document and item that it holds.
+        """(doc_id, tag, item_id, coverage, n_tiles, tiles) for each document and item that it holds; tag is xxhash64 of the text.
 
         Items of fewer than ``least`` words are sought whole. Null and empty texts and items hold nothing.
         Rows that repeat give repeated results only if their texts differ; other columns are not read.
         """
         least, threshold = self.least, self.coverage
+        ship_package(docs.sparkSession)
         spark = docs.sparkSession
         it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
         kind = it.schema["item_id"].dataType.simpleString()
@@ -91,12 +92,17 @@ class Decontamination:
         postings = known.select("item_id", F.explode("seeds").alias("seed")).distinct()
         pairs = found.select("doc_id", "tag", F.explode("seeds").alias("seed")).join(postings, "seed").select("doc_id", "tag", "item_id").distinct()
         same = F.col("p.tag").eqNullSafe(F.col("f.tag")) & F.col("p.doc_id").eqNullSafe(F.col("f.doc_id"))
-        pairs = pairs.alias("p").join(found.alias("f"), same).select("p.doc_id", "p.item_id", "f.at", F.col("f.words").alias("words"))
+        pairs = pairs.alias("p").join(found.alias("f"), same).select("p.doc_id", "p.tag", "p.item_id", "f.at", F.col("f.words").alias("words"))
         pairs = pairs.join(known.select("item_id", F.col("words").alias("item")), "item_id")
         tiles = "array<struct<at:int,item_at:int,words:int>>"
-        out = pairs.mapInArrow(lambda b: _tiles(b, least), f"doc_id {own}, item_id {kind}, coverage double, n_tiles int, tiles {tiles}")
+        out = pairs.mapInArrow(lambda b: _tiles(b, least), f"doc_id {own}, tag long, item_id {kind}, coverage double, n_tiles int, tiles {tiles}")
         return out.where(F.col("coverage") >= threshold)
 
+    def clean(self, docs: DataFrame, items: DataFrame) -> DataFrame:
+        """The rows of ``docs``, with all their columns, that hold no item."""
+        found = self.run(docs, items).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+        return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_tag")), "left_anti")
+
 
 def _windows(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     starts, _ = window_starts(first, width)
@@ -163,4 +169,4 @@ def _tiles(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]
             own = tile(words.as_py(), at.as_py(), item, min(least, len(item)))
             tiles.append([{"at": a, "item_at": j, "words": n} for a, j, n in own])
             coverage.append(sum(n for *_, n in own) / len(item))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(coverage, pa.float64()), pa.array([len(t) for t in tiles], pa.int32()), pa.array(tiles, kind)], ["doc_id", "item_id", "coverage", "n_tiles", "tiles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), batch.column("item_id"), pa.array(coverage, pa.float64()), pa.array([len(t) for t in tiles], pa.int32()), pa.array(tiles, kind)], ["doc_id", "tag", "item_id", "coverage", "n_tiles", "tiles"])

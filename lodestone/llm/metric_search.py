@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize
+from lodestone.session import materialize, ship_package
 
 _SLACK = 1e-6
 
@@ -108,6 +108,7 @@ class MetricSearch:
         query's. A row is its id: rows that share a query's id are not its candidates. ``is_query`` is a SQL
         condition on vec_id; other columns are not read.
         """
+        ship_package(vectors.sparkSession)
         e = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
         # null wins over non-finite in forall, so nulls are turned into NaN first
         fine = F.forall("x", lambda c: F.coalesce(F.abs(F.coalesce(c, F.lit(float("nan")))) < float("inf"), F.lit(False)))

@@ -13,11 +13,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.textops import pieces, span_hashes, text_buffer, word_spans
-from lodestone.session import materialize
+from lodestone.session import ship_package
 
 _CLASSES = {
     "upper": [*range(65, 91)], "lower": [*range(97, 123)], "digit": [*range(48, 58)], "space": [32, 9, 11, 12, 13], "line": [10],
@@ -188,32 +188,56 @@ class QualityClassifier:
     def __init__(self, sample_rows: int = 20_000, threshold: float = 0.7, held_out: int | None = 2):
         self.sample_rows, self.threshold, self.held_out = sample_rows, threshold, held_out
 
+    def is_held_out(self, doc_id: Column) -> Column:
+        if self.held_out is None:
+            return F.lit(False)
+        return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == self.held_out, F.lit(False))
+
+    def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> AdditiveModel:
+        """A model from at most ``sample_rows`` labelled documents that are not held out."""
+        ship_package(docs.sparkSession)
+        known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).where("doc_id is not null and y is not null")
+        known = known.where(~self.is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+        sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.sample_rows)
+        d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # of sample_rows at most
+        rows = d.mapInArrow(_features, "doc_id long, y int, x array<float>").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toArrow()
+        rows = rows.combine_chunks().sort_by("doc_id")
+        x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float) if rows.num_rows else np.zeros((0, len(FEATURES)))
+        return AdditiveModel().fit(x, (rows.column("y").to_numpy() > 0).astype(float))
+
     def run(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
         """(doc_id, held_out, score, predicted) for each row of ``docs``; the text alone is scored.
 
         A row is held out of learning if crc32 of its id as text, modulo 4, is ``held_out``. Null and empty texts
         score as a text of no words; a null id is never held out nor learnt from. An id labelled more than once
-        counts as 1 if any label does. Without labels every score is 1. Other columns are not read.
+        counts as 1 if any label does; of rows that share an id one is learnt from. Without labels every score
+        is 1. Other columns are not read.
         """
+        model = self.fit(docs, labels, id_col, text, label)
         d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        features = materialize(d.mapInArrow(_features, "doc_id long, x array<float>"))
-        held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == self.held_out, F.lit(False)) if self.held_out is not None else F.lit(False)
-        known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-        learn = features.where(~held).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(self.sample_rows).select("x", "y").toArrow()
-        x = learn.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float) if learn.num_rows else np.zeros((0, len(FEATURES)))
-        model = AdditiveModel().fit(x, (learn.column("y").to_numpy() > 0).astype(float))
-        scored = features.select("doc_id", held.alias("held_out"), "x").mapInArrow(lambda it: _score(it, model), "doc_id long, held_out boolean, score double")
+        scored = d.withColumn("held_out", self.is_held_out(F.col("doc_id"))).mapInArrow(lambda it: _score(it, model), "doc_id long, held_out boolean, score double")
         return scored.withColumn("predicted", (F.col("score") >= self.threshold).cast("int"))
 
+    def keep(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of ``docs``, with all their columns, that ``run`` predicts as 1."""
+        model, threshold = self.fit(docs, labels), self.threshold
+        return docs.mapInArrow(lambda it: _kept(it, model, threshold), docs.schema)
+
 
 def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(it, "text"):
         x = text_features(piece).astype(np.float32)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), flat], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y").cast(pa.int32()), flat], ["doc_id", "y", "x"])
 
 
 def _score(it: Iterator[pa.RecordBatch], model: AdditiveModel) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.score(x))], ["doc_id", "held_out", "score"])
+    for piece in pieces(it, "text"):
+        x = text_features(piece).astype(np.float32).astype(float)
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(model.score(x))], ["doc_id", "held_out", "score"])
+
+
+def _kept(it: Iterator[pa.RecordBatch], model: AdditiveModel, threshold: float) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(it, "text"):
+        x = text_features(piece).astype(np.float32).astype(float)
+        yield piece.filter(pa.array(model.score(x) >= threshold))

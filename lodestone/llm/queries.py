@@ -50,8 +50,12 @@ def tokenizer_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def encoded(docs: DataFrame) -> DataFrame:
     bpe = BytePairEncoding(tokenizer_path())
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    out = bpe.decode(bpe.encode(docs))
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
@@ -61,7 +65,7 @@ def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Decontamination().run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return Decontamination().run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import random
+import string
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -54,50 +58,49 @@ def with_features(findings: DataFrame) -> DataFrame:
     return findings.withColumns({k: c.cast("double") for k, c in columns.items()})
 
 
-def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
+def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     """(value, before, after, label): findings as scans meet them, made by rule from hashes of their number.
 
-    Label 1: keys of known form, random hexadecimal, base-36 and mixed values assigned to secret names. Label 0:
-    digests, uuids, commits, numbers, versions, slugs, paths, placeholders, repeated characters.
+    Label 1: keys of known form, random hexadecimal and mixed values assigned to secret names. Label 0: digests,
+    uuids, commits, numbers, versions, slugs, paths, placeholders, repeated characters. Twenty-four kinds, ``each``
+    of every kind.
     """
-    seed = F.col("id").cast("string")
-    h = lambda salt: F.sha2(F.concat(F.lit(salt), seed), 256)
-    b64 = lambda salt: F.regexp_replace(F.base64(F.unhex(h(salt))), "[+/=\r\n]", "")
-    hexa = lambda salt, lo, hi: F.substring(h(salt), F.lit(1), F.lit(lo) + F.pmod(F.crc32(F.encode(h(salt + "n"), "utf-8")), F.lit(hi - lo + 1)).cast("int"))
-    pick = lambda salt, *words: F.element_at(F.array(*[F.lit(w) for w in words]), F.pmod(F.crc32(F.encode(h(salt), "utf-8")), F.lit(len(words))).cast("int") + 1)
-    upper = lambda salt: F.upper(F.translate(b64(salt), "0189", "2345"))
-    prose = lambda salt: pick(salt, "the ", "onder re ", "est la ", "und ", "", "see ", "with ")
-    name = lambda salt: F.concat(prose(salt + "p"), pick(salt, "password", "token", "secret", "api_key", "passwd", "API-KEY", "access_key", "Token", "pwd"))
-    sign = lambda salt: pick(salt, "=", ": ", " = ", "=\"", " = \"", ": '", " : ")
-    word = lambda salt: pick(salt, "thering", "version", "release", "article", "chapter", "example", "image", "ofthe", "section", "report", "annual", "update")
-    digits = lambda salt, n: F.substring(F.translate(h(salt), "abcdef", "123456"), 1, n)
-    quote = lambda before: F.when(before.endswith("\""), F.lit("\" ")).when(before.endswith("'"), F.lit("' ")).otherwise(pick("after", " ", " and", ".", ", ", "\n", ""))
-    b = F.concat(name("nm"), sign("sg"))
-    lit = F.lit
-    rows = [  # label, value, before
-        (1, F.concat(lit("AKIA"), F.substring(upper("a"), 1, 16)), prose("a")), (1, F.concat(lit("AKIA"), F.substring(upper("a2"), 1, 16)), b),
-        (1, F.concat(lit("ghp_"), F.substring(b64("g"), 1, 36)), prose("g")), (1, F.concat(lit("sk_"), F.substring(b64("s"), 1, 24)), prose("s")),
-        (1, hexa("h", 12, 64), b), (1, hexa("h2", 16, 40), b), (1, F.substring(b64("m"), 1, 20), b), (1, F.concat(F.substring(b64("m2"), 1, 9), lit("!x9"), F.substring(h("q"), 1, 3)), b), (1, F.substring(b64("m3"), 1, 40), b),
-        (1, F.substring(b64("m4"), 1, 40), prose("m4")), (1, F.concat(lit("eyJ"), b64("j")), prose("j")), (1, lit("-----BEGIN RSA PRIVATE KEY-----"), prose("k")),
-        (0, F.substring(h("c"), 1, 40), F.concat(prose("c"), pick("c1", "commit ", "sha1: ", "sha ", "rev ", "commit="))), (0, h("d"), F.concat(prose("d"), pick("d1", "sha256:", "checksum: ", "digest ", "hash="))), (0, F.substring(h("e"), 1, 32), F.concat(prose("e"), pick("e1", "md5 ", "md5:", "etag: \"", "hash "))),
-        (0, F.concat_ws("-", F.substring(h("u"), 1, 8), F.substring(h("u"), 9, 4), F.substring(h("u"), 13, 4), F.substring(h("u"), 17, 4), F.substring(h("u"), 21, 12)), F.concat(prose("u"), pick("u1", "uuid ", "id: ", "session ", ""))),
-        (0, digits("n", 18), prose("n")), (0, F.concat_ws("-", digits("o", 4), digits("o2", 4), digits("o3", 4), digits("o4", 4)), F.concat(prose("o"), pick("o1", "order ", "", "invoice "))), (0, F.concat_ws("-", word("w"), word("w2"), word("w3"), digits("w4", 3)), pick("w5", "/", "see ", "https://host/", "")),
-        (0, F.concat_ws("/", word("x"), word("x2"), F.concat(word("x3"), digits("x4", 2))), pick("x5", "/", "https://", " ", "path: ")), (0, F.concat_ws("_", word("y"), word("y2"), word("y3"), digits("y4", 2)), prose("y")),
-        (0, F.concat(pick("z", "your_password_here", "changeme123", "example_token_1", "your-api-key-0", "insert_secret_1", "password123", "test_token", "placeholder1", "dummy_value", "redacted00")), b), (0, F.concat(F.repeat(pick("r", "x", "0", "*", "a"), 20), lit("1")), b), (0, F.concat(word("t"), word("t2"), word("t3"), digits("t4", 1)), prose("t")),
-        (0, F.concat(pick("i", "os.environ", "config.get", "getpass()", "<password>", "${TOKEN}", "None,", "required", "string", "process.env")), b), (0, F.concat(word("v"), lit("-"), digits("v1", 1), lit("-"), digits("v2", 2), lit("-"), digits("v3", 8)), prose("v")),
+    rows = [dict(zip(("value", "before", "after", "label"), r, strict=True)) for i in range(each) for r in _made(i)]
+    schema = "array<struct<value:string,before:string,after:string,label:double>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+
+
+def _made(i: int) -> list[tuple[str, str, str, float]]:
+    """One finding of every kind."""
+    draw = random.Random(i)  # the same at each run
+    hexa = lambda n: "".join(draw.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "".join(draw.choices(string.ascii_letters + string.digits, k=n))
+    digits = lambda n: "".join(draw.choices(string.digits, k=n))
+    key = lambda: "AKIA" + "".join(draw.choices(string.ascii_uppercase + "234567", k=16))
+    pick = draw.choice
+    syllables = ["the", "ring", "ver", "sion", "art", "chap", "ter", "im", "age", "sec", "tion", "re", "port", "an", "nual", "up", "date", "of", "er", "ation", "eau", "ment", "keit", "dad"]
+    word = lambda: "".join(draw.choices(syllables, k=draw.randint(2, 4)))
+    prose = lambda: pick([word() + " ", word() + " " + word() + ", ", "", "see ", "with the ", word() + ". "])
+    named = lambda: prose() + pick(["password", "token", "secret", "api_key", "passwd", "API-KEY", "access_key", "Token", "pwd"]) + pick(["=", ": ", " = ", '="', ' = "', ": '", " : "])
+    holders = ["your_password_here", "changeme123", "example_token_1", "your-api-key-0", "insert_secret_1", "password123", "test_token", "placeholder1", "dummy_value", "redacted00"]
+    code = ["os.environ", "config.get", "getpass()", "<password>", "${TOKEN}", "required", "string", "process.env", "undefined", "user.password"]
+    u = hexa(32)
+    kinds = [
+        (key(), prose(), 1), (key(), named(), 1), ("ghp_" + mixed(36), prose(), 1), ("sk_" + mixed(24), prose(), 1), (hexa(draw.randint(12, 64)), named(), 1), (hexa(draw.randint(16, 40)), named(), 1),
+        (mixed(20), named(), 1), (mixed(9) + "!x9" + hexa(3), named(), 1), (mixed(40), named(), 1), (mixed(40), prose(), 1), ("eyJ" + mixed(40), prose(), 1), ("-----BEGIN RSA PRIVATE KEY-----", prose(), 1),
+        (hexa(40), prose() + pick(["commit ", "sha1: ", "sha ", "rev ", "commit="]), 0), (hexa(64), prose() + pick(["sha256:", "checksum: ", "digest ", "hash="]), 0), (hexa(32), prose() + pick(["md5 ", "md5:", 'etag: "', "hash "]), 0),
+        ("-".join((u[:8], u[8:12], u[12:16], u[16:20], u[20:])), prose() + pick(["uuid ", "id: ", "session ", ""]), 0), (digits(draw.randint(16, 24)), prose(), 0), ("-".join(digits(4) for _ in range(4)), prose() + pick(["order ", "", "invoice "]), 0),
+        ("-".join((word(), word(), word(), digits(3))), pick(["/", "see ", "https://host/", ""]), 0), ("/".join((word(), word(), word() + digits(2))), pick(["/", "https://", " ", "path: "]), 0), ("_".join((word(), word(), word(), digits(2))), prose(), 0),
+        (pick(holders), named(), 0), (pick("x0*a") * 20 + "1", named(), 0), (pick([word() + word() + word() + digits(1), pick(code), word() + "-" + digits(1) + "-" + digits(2) + "-" + digits(8)]), prose(), 0),
     ]
-    base = spark.range(each)
-    out = None
-    for k, (label, value, before) in enumerate(rows):
-        part = base.withColumn("id", F.col("id") * len(rows) + k).select(value.alias("value"), before.alias("before"), quote(before).alias("after"), lit(float(label)).alias("label"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    close = lambda before: before[-1:] + " " if before[-1:] in ("'", '"') else pick([" ", " and", ".", ", ", "\n", ""])
+    return [(v, b, close(b), float(label)) for v, b, label in kinds]
 
 
 class SecretScan:
     """``context`` characters on either side of a candidate are looked at; ``threshold`` is on the forest's share of trees."""
 
-    def __init__(self, threshold: float = 0.5, context: int = 48, trees: int = 30, depth: int = 8, each: int = 250):
+    def __init__(self, threshold: float = 0.5, context: int = 48, trees: int = 20, depth: int = 6, each: int = 150):
         self.threshold, self.context, self.trees, self.depth, self.each = threshold, context, trees, depth, each
 
     def fit(self, findings: DataFrame):
