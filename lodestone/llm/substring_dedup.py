@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.textops import mix, pieces, text_buffer, window_hashes, window_starts, word_hashes
+from lodestone.session import ship_package
 
 _SECOND = 0xA24BAED4963EE407
-_ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("pos", "<u4")])
-_FLAG = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("pos", "<u4")])
+_ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("tag", "u1"), ("pos", "<u4")])
+_FLAG = np.dtype([("doc", "<i8"), ("tag", "u1"), ("pos", "<u4")])
 _PAYLOAD = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
@@ -46,12 +47,12 @@ def _unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
 class SubstringDedup:
     """Removes words covered by a window that also starts in a document with a smaller id.
 
-    ``max_cells_log2`` bounds the sketch and with it the broadcast (two rows of one bit a cell: 128 MB at 29);
+    ``max_cells_log2`` bounds the sketch and with it the broadcast (two rows of one bit a cell: 64 MB at 28);
     the sketch has four cells a window up to that bound. Past it the estimate is looser and more windows are
     grouped exactly; the result is the same.
     """
 
-    def __init__(self, window: int = 13, max_cells_log2: int = 29, cells_log2: int | None = None, entry_bytes: int = 16 << 20, text_bytes: int = 8 << 20):
+    def __init__(self, window: int = 13, max_cells_log2: int = 28, cells_log2: int | None = None, entry_bytes: int = 16 << 20, text_bytes: int = 8 << 20):
         self.window, self.max_cells_log2, self.cells_log2 = window, max_cells_log2, cells_log2
         self.entry_bytes, self.text_bytes = entry_bytes, text_bytes
 
@@ -62,8 +63,9 @@ class SubstringDedup:
         have no words and keep the empty text. A row without an id neither removes nor loses words. Rows that
         share an id do not remove each other's words. Other columns are not read.
         """
+        ship_package(docs.sparkSession)
         spark = docs.sparkSession
-        tag = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int")
+        tag = F.xxhash64("text").bitwiseAND(0xFF).cast("int")
         d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", tag)
         size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
         cells = self.cells_log2 or max(16, min(self.max_cells_log2, int(np.ceil(np.log2(max(size / 6.5, 1)))) + 2))
@@ -73,13 +75,8 @@ class SubstringDedup:
         width = self.window
         ones = known.mapInArrow(lambda it: _sketch(it, width, cells, blocks_log2), "block int, once binary, twice binary")
         merged = ones.repartition(2 << blocks_log2, "block").mapInArrow(_merge, "block int, twice binary")
-        bits = np.zeros((2, (1 << cells) // 8), np.uint8)
-        for r in merged.toLocalIterator():  # bounded by the size of the sketch
-            row, block = divmod(r["block"], 1 << blocks_log2)
-            part = np.frombuffer(pa.decompress(r["twice"], decompressed_size=(1 << cells - blocks_log2) // 8, codec="zstd"), np.uint8)
-            bits[row, block * len(part) : (block + 1) * len(part)] = part
-        sketch = spark.sparkContext.broadcast(bits.tobytes())
-        del bits
+        # bounded by the size of the sketch, compressed
+        sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["twice"]) for r in merged.toLocalIterator()})
 
         buckets = 1 << max(0, int(np.ceil(np.log2(max(size / 6.5 * _ENTRY.itemsize / self.entry_bytes, 1)))))
         parts = max(1, int(np.ceil(size / self.text_bytes)))
@@ -103,7 +100,7 @@ def _cells(h: np.ndarray, cells: int) -> np.ndarray:
     return (h >> np.uint64(64 - cells)).astype(np.uint32)
 
 
-def _sketch(it: Iterator[pa.RecordBatch], width: int, cells: int, blocks_log2: int, flush: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def _sketch(it: Iterator[pa.RecordBatch], width: int, cells: int, blocks_log2: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     held: list[list[np.ndarray]] = [[], []]
     n = 0
 
@@ -160,8 +157,23 @@ def _inflate(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), np.uint8).copy()
 
 
-def _payload(bucket: int, kind: int, a: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack(a)], pa.binary())], schema=_PAYLOAD)
+def _payload(bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], schema=_PAYLOAD)
+
+
+def _pack_flags(flags: np.ndarray) -> bytes:
+    """Sorted, as differences: documents and positions that follow one another shrink to little."""
+    flags = flags[np.lexsort((flags["pos"], flags["doc"]))]
+    out = np.empty(len(flags), _FLAG)
+    out["doc"], out["tag"], out["pos"] = np.diff(flags["doc"], prepend=0), np.diff(flags["tag"], prepend=np.uint8(0)), np.diff(flags["pos"], prepend=np.uint32(0))
+    return _pack(out)
+
+
+def _unpack_flags(blob: bytes) -> np.ndarray:
+    flags = _unpack(blob, _FLAG)
+    for name in _FLAG.names:
+        flags[name] = np.cumsum(flags[name], dtype=_FLAG[name])
+    return flags
 
 
 def _flag_parts(flags: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -184,8 +196,17 @@ def _part_column(parts: int) -> Column:
     return F.coalesce(F.pmod(F.pmod(F.pmod("doc_id", F.lit(2147483647)) * 48271, F.lit(2147483647)), F.lit(parts)), F.lit(0)).cast("int")
 
 
-def _entries(it: Iterator[pa.RecordBatch], width: int, cells: int, sketch, buckets: int, parts: int, flush: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    bits = np.frombuffer(sketch.value, np.uint8).reshape(2, -1)
+def _bits(blocks: dict[int, bytes], cells: int) -> np.ndarray:
+    """Which cells of the two rows count two or more, a bit each."""
+    bits = np.zeros(2 * (1 << cells) // 8, np.uint8)
+    for block, blob in blocks.items():
+        part = _inflate(blob)
+        bits[block * len(part) : (block + 1) * len(part)] = part
+    return bits.reshape(2, -1)
+
+
+def _entries(it: Iterator[pa.RecordBatch], width: int, cells: int, sketch, buckets: int, parts: int, flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    bits = _bits(sketch.value, cells)
     shift = np.uint64(64 - int(np.log2(buckets))) if buckets > 1 else None
     held: list[np.ndarray] = []
     n = 0
@@ -196,9 +217,9 @@ def _entries(it: Iterator[pa.RecordBatch], width: int, cells: int, sketch, bucke
         bucket = (e["h1"] >> shift).astype(np.int64) if shift is not None else np.zeros(len(e), np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
-            yield _payload(int(b), 0, e[cuts[b] : cuts[b + 1]])
+            yield _payload(int(b), 0, _pack(e[cuts[b] : cuts[b + 1]]))
         for part, flags in _flag_parts(local, parts):
-            yield _payload(part % buckets, 1 + part, flags)
+            yield _payload(part % buckets, 1 + part, _pack_flags(flags))
 
     for piece in pieces(it, "text"):
         h1, h2, text, pos = _windows(piece, width)
@@ -245,12 +266,12 @@ def _resolve(table: pa.Table, parts: int) -> pa.Table:
         _, flags = _split(np.concatenate(entries))
         for part, own in _flag_parts(flags, parts):
             parts_out.append(part)
-            blobs.append(_pack(own))
+            blobs.append(_pack_flags(own))
     return pa.table({"part": pa.array(parts_out, pa.int32()), "flags": pa.array(blobs, pa.binary())})
 
 
 def _remove(docs: pa.Table, flagged: pa.Table, width: int) -> pa.Table:
-    own = [_unpack(b.as_py(), _FLAG) for b in flagged.column("flags")]
+    own = [_unpack_flags(b.as_py()) for b in flagged.column("flags")]
     flags = np.concatenate(own) if own else np.empty(0, _FLAG)
     flags = flags[np.lexsort((flags["doc"],))]
     n_words, n_removed, kept = [], [], []
