@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.textops import pieces, span_hashes, text_buffer
-from lodestone.session import materialize
+from lodestone.session import materialize, ship_package
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
@@ -175,18 +175,25 @@ def encode_words(words: DataFrame, ranks: RankMap, column: str = "word", out: st
 class WordTable:
     """Token ids of known words, found by a hash of the word (64 bits and the length)."""
 
-    def __init__(self, words: list[bytes], ids: list):
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths)
-        h = span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends) if words else np.zeros(0, np.uint64)
+    def __init__(self, data: np.ndarray, ends: np.ndarray, flat: np.ndarray, count: np.ndarray):
+        """Words one after another in ``data`` and where each ends; ids one after another and how many each has."""
+        begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        h = span_hashes(data, begin, ends) if len(ends) else np.zeros(0, np.uint64)
         order = np.argsort(h)
-        self.hash, self.length = h[order], lengths[order]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([np.asarray(ids[i], np.int32) for i in order]) if words else np.zeros(0, np.int32)
-        self.first = np.concatenate(([0], np.cumsum(count[order])))
-        self.bits = max(1, int(len(words)).bit_length() + 1)
+        self.hash, self.length = h[order], (ends - begin)[order].astype(np.int32)
+        size, start = count[order], (np.cumsum(count) - count)[order]
+        to = np.cumsum(size) - size
+        self.flat = flat[np.repeat(start - to, size) + np.arange(size.sum())].astype(np.int32) if len(ends) else np.zeros(0, np.int32)
+        self.first = np.concatenate(([0], np.cumsum(size)))
+        self.bits = max(1, len(ends).bit_length() + 1)
         self.heads = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
+    @classmethod
+    def of(cls, words: list[bytes], ids: list[list[int]]) -> WordTable:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        return cls(np.frombuffer(b"".join(words), np.uint8), ends, np.fromiter((i for x in ids for i in x), np.int32), count)
+
     def find(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Position of each word in the table, -1 where it lacks it."""
         out = np.full(len(h), -1, np.int64)
@@ -214,6 +221,7 @@ class BytePairEncoding:
 
     def words(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """(word binary, n): how often each distinct match of the pattern occurs in all texts."""
+        ship_package(docs.sparkSession)
         counted = docs.select(F.col(text).alias("text")).mapInArrow(_count, "word binary, n long")
         return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -231,16 +239,19 @@ class BytePairEncoding:
                 break
             left, least = left - r["count"], r["step"]
         if least is None:
-            return WordTable([], [])
+            return WordTable.of([], [])
         tokens = self.ranks
         chosen = words.where(step >= least).select("word").mapInArrow(lambda it: _as_bytes(it, tokens), "word binary, bytes array<int>, whole int")
         chosen = encode_words(chosen, table, "bytes").select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.col("ids")).alias("ids"))
-        got = chosen.toArrow()
-        return WordTable(got.column("word").to_pylist(), [x.values.to_numpy() for x in got.column("ids")])
+        got = chosen.toArrow().combine_chunks()
+        data, off = text_buffer(got.column("word").combine_chunks())
+        ids = got.column("ids").combine_chunks()
+        return WordTable(data, off[1:], ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64))
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, ids array<int>) for each row of ``docs``. Null and empty texts have no ids; other columns are not read."""
         spark = docs.sparkSession
+        ship_package(docs.sparkSession)
         table = RankMap(self.ranks)
         d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
         known = spark.sparkContext.broadcast(self.known(d, table))
@@ -253,6 +264,7 @@ class BytePairEncoding:
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
         """``encoded`` with the bytes of its token ids, one after another. An id that is no token raises."""
+        ship_package(encoded.sparkSession)
         tokens = encoded.sparkSession.sparkContext.broadcast(self.ranks)
         names = encoded.columns
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

@@ -7,8 +7,8 @@ such pair. With 12 chunks of 4 that is r = 23 of 48; at a Jaccard similarity of
 12, and a pair shares no key with probability 1e-7.
 
 Groups of copies never turn into all pairs: equal sets are one node; in each key the members are compared with
-the smallest one, links make components, and only members of one key that are still in different components
-are compared with each other, first by signature.
+the smallest one, links make components, and only where one key still holds different components its members are
+compared across them - by size and signature, then by full sets, inside a task that emits nothing but links.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
 from lodestone.llm.textops import LOWER, mix, pieces, text_buffer, window_hashes, window_starts, word_hashes
-from lodestone.session import materialize
+from lodestone.session import materialize, ship_package
 
 _RNG = np.random.default_rng(7)
 _SEEDS = _RNG.integers(0, 2**64, (512, 2), dtype=np.uint64) | np.uint64(1)
@@ -50,7 +50,7 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
 class NearDedup:
     """Links texts with Jaccard similarity of at least ``percent`` / 100 on sets of ``width``-word shingles."""
 
-    def __init__(self, width: int = 5, percent: int = 75, chunks: int = 12, per_chunk: int = 4, block: int = 1024):
+    def __init__(self, width: int = 5, percent: int = 75, chunks: int = 12, per_chunk: int = 4, block: int = 512):
         self.width, self.percent, self.chunks, self.per_chunk, self.block = width, percent, chunks, per_chunk, block
 
     @property
@@ -66,6 +66,7 @@ class NearDedup:
         is kept. Equal ids are one document where their sets are equal; rows that repeat are given each.
         Other columns are not read.
         """
+        ship_package(docs.sparkSession)
         d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
         width, k = self.width, self.chunks * self.per_chunk
         features = materialize(d.mapInArrow(lambda it: _features(it, width, k), "doc_id long, n long, fp1 long, fp2 long, sig binary"))
@@ -78,6 +79,16 @@ class NearDedup:
         component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
+    def keep(self, docs: DataFrame) -> DataFrame:
+        """One row of ``docs``, with all its columns, of each group of near copies: the smallest id; rows without an id stay."""
+        judged = materialize(self.run(docs).where("doc_id is not null"))
+        gone = judged.where("not kept").select("doc_id").distinct()
+        left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        repeated = judged.groupBy("doc_id").count().where("count > 1").select("doc_id")
+        if repeated.isEmpty():
+            return left
+        return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
     def links(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, component) of the nodes that some link touches."""
         chunks, per, radius, block = self.chunks, self.per_chunk, self.radius, self.block
@@ -96,17 +107,21 @@ class NearDedup:
         confirmed = materialize(self.confirm(near, sets))
         groups = materialize(connected_components(confirmed, "a", "b"))
 
+        # what one key holds in different components is compared, but for the leader, with everything it may be near to
         open_ = members.where("size > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = open_.join(mixed, "key").join(sigs, "node")
-        # a key with many members is compared block by block, so that no task holds all of them
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rest = rest.select("key", "node", "component", "sig", blocks.alias("blocks"), own.alias("own")).select("*", other.alias("other"))
+        rest = open_.join(mixed, "key").select("node", "leader").distinct()
+        around = connected_components(rest, "leader", "node").select("node", F.col("component").alias("around"))
+        rest = around.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # an area of many nodes is compared block by block, so that no task holds all of it
+        count = rest.groupBy("around").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        rest = rest.join(count, "around").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rest = rest.join(sigs, "node").join(sets, "node")
+        rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rest = rest.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        more = rest.groupBy("key", "x", "y").applyInArrow(lambda t: _cross(t, radius), "a long, b long").distinct()
-        more = materialize(self.confirm(more, sets))
+        rest = rest.select("around", "x", "y", "own", "node", "component", "sig", "shingles")
+        percent = self.percent
+        more = materialize(rest.groupBy("around", "x", "y").applyInArrow(lambda t: _cross(t, radius, percent), "a long, b long"))
         return connected_components(confirmed.unionByName(more), "a", "b")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,17 +180,31 @@ def _near(it: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]
         yield batch.filter(pa.array(distance <= radius)).select(["a", "b"])
 
 
-def _cross(table: pa.Table, radius: int) -> pa.Table:
-    """Pairs of one key (one pair of its blocks) in different components within the radius."""
+def _cross(table: pa.Table, radius: int, percent: int) -> pa.Table:
+    """Links between different components in one area (one pair of its blocks): near by signature, exact by sets."""
     node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
     own = table.column("own").to_numpy()
     sig = _signatures(table.column("sig").combine_chunks())
+    sets = table.column("shingles").combine_chunks()
+    first = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
+    values, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    size = np.diff(first)
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    held = np.zeros(len(values), bool)
     a, b = [], []
     for i in left:
         far = right[(component[right] != component[i]) & ((node[right] > node[i]) | (x != y))]
+        far = far[100 * np.minimum(size[far], size[i]) >= percent * np.maximum(size[far], size[i])]
         far = far[(sig[far] != sig[i]).sum(1) <= radius]
+        if not len(far):
+            continue
+        held[code[first[i] : first[i + 1]]] = True
+        n = size[far]
+        at = np.cumsum(n) - n
+        both = np.add.reduceat(held[code[np.repeat(first[far] - at, n) + np.arange(n.sum())]].astype(np.int64), at)
+        held[code[first[i] : first[i + 1]]] = False
+        far = far[100 * both >= percent * (n + size[i] - both)]
         a.append(np.full(len(far), node[i]))
         b.append(node[far])
     a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import WordTable, _slices, _spans, read_ranks
 from lodestone.llm.textops import pieces, span_hashes
+from lodestone.session import ship_package
 
 
 class FreeSpace:
@@ -73,6 +74,7 @@ class Packing:
         """(doc_id, ids binary): token ids of whole texts as little-endian 16-bit numbers. Null: none."""
         import public_tokenizers
 
+        ship_package(docs.sparkSession)
         spark = docs.sparkSession
         ranks = read_ranks(self.path)
         if max(ranks.values()) > 0xFFFE:
@@ -89,6 +91,7 @@ class Packing:
         where a document longer than ``size`` was cut); doc_ids the segments' documents. Every token stands once.
         Documents without tokens are in no row. row_id is the task's number and the row's in the task.
         """
+        ship_package(encoded.sparkSession)
         size, limit = self.size, self.tokens
         kind = encoded.schema["doc_id"].dataType.simpleString()
         schema = f"row_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>"
@@ -104,7 +107,7 @@ def _encode(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
 
     ranks, pattern = shared.value
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    table, words, ids = WordTable([], []), [], []
+    table, words, ids = WordTable.of([], []), [], []
     for piece in pieces(it, "text"):
         data, begin, end, first = _spans(piece)
         h, length = span_hashes(data, begin, end), end - begin
@@ -120,7 +123,7 @@ def _encode(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
                 fresh = _slices(data, begin[own_all], end[own_all])
             words += fresh
             ids += [encoding._encode_single_piece(w) for w in fresh]
-            table = WordTable(words, ids)
+            table = WordTable.of(words, ids)
             at = table.find(h, length)
         count = table.first[at + 1] - table.first[at]
         to = np.concatenate(([0], np.cumsum(count)))
