@@ -146,7 +146,7 @@ STATEMENTS: dict[str, tuple[str, str, str, int]] = {
     "policy_value": ("scored", f"r AS ({_TOP})", "SELECT avg((rn <= floor(n * 0.1::DOUBLE))::INT * (dr - 0.0005)) AS policy_value, avg((rn <= floor(n * 0.1::DOUBLE))::INT) AS target_share FROM r", 6),
     "policy_sensitivity_grid": ("scored grid", f"r AS ({_TOP}), g AS (SELECT budget, sum(dr) / max(n) AS gross, count(*) / max(n)::DOUBLE AS target_share FROM r, grid WHERE rn <= floor(n * budget) GROUP BY 1)", "SELECT budget, cost, gross, target_share, gross - cost * target_share AS net, gross / target_share AS break_even_cost FROM g, (VALUES (0.0::DOUBLE), (0.0005), (0.01)) AS c(cost)", 6),
     "top_tail_support": ("scored grid", f"r AS ({_TOP}), t AS (SELECT budget, count(*) AS n_target, sum(treatment) AS n_treated, sum(1 - treatment) AS n_control, sum(treatment * outcome) AS events_treated, sum((1 - treatment) * outcome) AS events_control, min(score) AS s FROM r, grid WHERE rn <= floor(n * budget) GROUP BY 1)", "SELECT budget, n_target, n_treated::BIGINT AS n_treated, n_control::BIGINT AS n_control, events_treated::BIGINT AS events_treated, events_control::BIGINT AS events_control, (SELECT count(*) FROM scored WHERE score = s) AS boundary_tie_size FROM t", 6),
-    "top_tail_overlap": ("trial grid", "r AS (SELECT row_number() OVER (ORDER BY f0 DESC, row_id) AS ra, row_number() OVER (ORDER BY f3 DESC, row_id) AS rb, count(*) OVER () AS n FROM trial), o AS (SELECT budget, floor(max(n) * budget) AS k, count(*) FILTER (greatest(ra, rb) <= floor(n * budget)) AS both, count(*) FILTER (least(ra, rb) <= floor(n * budget)) AS either FROM r, grid GROUP BY 1)", "SELECT budget, both, either, CASE WHEN k > 0 THEN both / k ELSE 1 END AS overlap, CASE WHEN either > 0 THEN both / either ELSE 1 END AS jaccard FROM o", 6),
+    "top_tail_overlap": ("trial grid", "r AS (SELECT row_number() OVER (ORDER BY f0 DESC, row_id) AS ra, row_number() OVER (ORDER BY f3 DESC, row_id) AS rb, count(*) OVER () AS n FROM trial), o AS (SELECT budget, floor(max(n) * budget) AS k, count(*) FILTER (greatest(ra, rb) <= floor(n * budget)) AS \"both\", count(*) FILTER (least(ra, rb) <= floor(n * budget)) AS either FROM r, grid GROUP BY 1)", 'SELECT budget, "both", either, CASE WHEN k > 0 THEN "both" / k ELSE 1 END AS overlap, CASE WHEN either > 0 THEN "both" / either ELSE 1 END AS jaccard FROM o', 6),
     "ordering_condition": ("signalled grid", "r AS (SELECT mu0, abs(mu1 - mu0) AS beta, row_number() OVER (ORDER BY f0 DESC, row_id DESC) AS rn, count(*) OVER () AS n FROM signalled), o AS (SELECT budget, max(mu0) AS theta_max, max(beta) AS beta_max FROM r, grid WHERE rn <= greatest(1, floor(n * budget)) GROUP BY 1)", "SELECT budget, theta_max, beta_max, (theta_max < (1 - beta_max) / 2)::BIGINT AS holds FROM o", 6),
     "percentile_grid": ("trial", f"q AS (SELECT quantile_cont(f3, [{_PCT}]) AS v FROM trial), p AS (SELECT unnest(v) AS value, unnest(range(0, 101)) AS i FROM q)", "SELECT value, min(i) / 100 AS quantile FROM p GROUP BY value", 6),
     "batch_target": ("trial", f"q AS (SELECT quantile_cont(f3, [{_PCT}]) AS v FROM trial), p AS (SELECT unnest(v) AS value, unnest(range(0, 101)) AS i FROM q), g AS (SELECT value, min(i) / 100 AS quantile FROM p GROUP BY value), b AS (SELECT row_id, f3, row_number() OVER (ORDER BY f3 DESC, row_id) AS rn, count(*) OVER () AS n FROM trial WHERE row_id % 10 = 0), e AS (SELECT row_id, f3, rn, n, max({{'v': value, 'q': quantile}}) FILTER (value <= f3) AS lo, min({{'v': value, 'q': quantile}}) FILTER (value >= f3) AS hi FROM b, g GROUP BY ALL)", "SELECT row_id, (rn <= floor(n * 0.1::DOUBLE))::BIGINT AS target, coalesce(lo.q, hi.q) + CASE WHEN hi.v > lo.v THEN (f3 - lo.v) / (hi.v - lo.v) * (hi.q - lo.q) ELSE 0 END AS percentile FROM e", 6),
@@ -165,7 +165,7 @@ STATEMENTS: dict[str, tuple[str, str, str, int]] = {
     "decile_policy": ("scored", "c AS (SELECT *, ntile(10) OVER (ORDER BY score DESC, row_id DESC) AS decile FROM scored), b AS (SELECT decile, sum(treatment)::DOUBLE AS n1, sum(1 - treatment)::DOUBLE AS n0, sum(treatment * outcome)::DOUBLE AS y1, sum((1 - treatment) * outcome)::DOUBLE AS y0 FROM c GROUP BY 1), u AS (SELECT *, y1 / n1 - y0 / n0 AS uplift, sqrt(y1 / n1 * (1 - y1 / n1) / n1 + y0 / n0 * (1 - y0 / n0) / n0) AS se, sum(y1) OVER d / sum(n1) OVER d - sum(y0) OVER d / sum(n0) OVER d AS cumulative_uplift FROM b WINDOW d AS (ORDER BY decile))", "SELECT decile, n1::BIGINT AS n1, n0::BIGINT AS n0, uplift, uplift - 1.96 * se AS ci_low, uplift + 1.96 * se AS ci_high, cumulative_uplift, uplift * (n1 + n0) AS incremental FROM u", 6),
     "transformed_outcome_mse": ("signalled", "", "SELECT avg((conversion * (treatment - 0.85) / (0.85 * 0.15) - (mu1 - mu0)) ** 2) AS mse FROM signalled", 6),
     "score_diagnostics": ("long", "", "SELECT model, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max, avg((score < 0)::INT) AS negative_share, avg((abs(score) < 1e-4)::INT) AS near_zero_share, count(DISTINCT score) AS n_distinct, quantile_cont(score, 0.01) AS p01, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.99) AS p99 FROM long GROUP BY 1", 6),
-    "score_histogram": ("long", f"{_HIST}, n AS (SELECT model, count(*) AS n FROM i GROUP BY 1)", "SELECT model, bin::BIGINT AS bin, max(lo) + bin * max(width) AS \"left\", count(*) / (max(n) * max(width)) AS density FROM i JOIN n USING (model) GROUP BY 1, 2", 6),
+    "score_histogram": ("long", f"{_HIST}, n AS (SELECT model, count(*) AS n FROM i GROUP BY 1)", "SELECT model, i.bin::BIGINT AS bin, max(lo) + i.bin * max(width) AS \"left\", count(*) / (max(n) * max(width)) AS density FROM i JOIN n USING (model) GROUP BY model, i.bin", 6),
     "spearman_matrix": ("trial", f"r AS (SELECT *, {rank_of('f0')} AS r0, {rank_of('f3')} AS r3, {rank_of('f4')} AS r4 FROM trial)", " UNION ALL ".join(f"SELECT 'f{a}' AS a, 'f{b}' AS b, corr(f{a}, f{b}) AS pearson, corr(r{a}, r{b}) AS spearman FROM r" for a, b in ((0, 3), (0, 4), (3, 4))), 6),
     "rank_average": ("trial", "", f"SELECT row_id, ({rank_of('f0')} + {rank_of('f3')}) / 2 / count(*) OVER () AS rank_average FROM trial", 6),
     "propensity_rank_auc": ("trial", f"r AS (SELECT treatment, {rank_of('f3')} AS r FROM trial)", "SELECT (sum(r * treatment) - sum(treatment) * (sum(treatment) + 1) / 2) / (sum(treatment) * sum(1 - treatment)) AS auc FROM r", 6),
