@@ -114,7 +114,7 @@ def _items(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]
         words, first = tokens(batch)
         seeds = []
         for a, b in zip(first[:-1], first[1:], strict=True):
-            seeds.append(np.unique(_windows(words[a:b], np.array([0, b - a]), min(least, b - a))[0]).view(np.int64) if b > a else [])
+            seeds.append(np.unique(_windows(words[a:b], np.array([0, b - a]), int(min(least, b - a)))[0]).view(np.int64) if b > a else [])
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(words.view(np.int64))), pa.array(seeds, pa.list_(pa.int64()))], ["item_id", "words", "seeds"])
 
 

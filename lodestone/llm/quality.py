@@ -87,7 +87,7 @@ class AdditiveModel:
     pair_tables: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> AdditiveModel:
-        """Without rows of both classes the score is the (smoothed) share of 1, and 1 without any row."""
+        """Without rows of both classes the score is the (smoothed) share of 1, and nearly 1 without any row."""
         p = (y.sum() + 1) / (len(y) + 1 + (0 < y.sum() < len(y)))
         self.base = float(np.log(max(p, 1e-6) / max(1 - p, 1e-6)))
         self.edges = [self._edges(x[:, j], self.bins) for j in range(x.shape[1])]
@@ -211,7 +211,7 @@ class QualityClassifier:
         A row is held out of learning if crc32 of its id as text, modulo 4, is ``held_out``. Null and empty texts
         score as a text of no words; a null id is never held out nor learnt from. An id labelled more than once
         counts as 1 if any label does; of rows that share an id one is learnt from. Without labels every score
-        is 1. Other columns are not read.
+        is nearly 1. Other columns are not read.
         """
         model = self.fit(docs, labels, id_col, text, label)
         d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
