@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)  # a random value for each byte
 _B = np.uint64(0x9E3779B97F4A7C15)
