@@ -257,18 +257,19 @@ class BytePairEncoding:
         known = spark.sparkContext.broadcast(self.known(d, table))
         tokens = spark.sparkContext.broadcast(self.ranks)
         kind = d.schema["doc_id"].dataType.simpleString()
-        seen = d.mapInArrow(lambda it: _look_up(it, known, tokens), f"doc_id {kind}, sequence binary, holes array<array<int>>")
+        seen = d.mapInArrow(lambda it: _look_up(it, known, tokens), f"doc_id {kind}, sequence array<int>, holes array<array<int>>")
         filled = _let(table.literal(), lambda t: F.transform("holes", lambda w: table.fold(w, t)))
-        seen = seen.select("doc_id", "sequence", F.when(F.size("holes") > 0, filled).otherwise(F.array().cast("array<array<int>>")).alias("filled"))
-        return seen.mapInArrow(_fill, f"doc_id {kind}, ids array<int>")
+        # bound once, as the inner lambda would else fold all words again for each place
+        joined = _let(filled, lambda f: F.flatten(F.transform("sequence", lambda x: F.when(x >= 0, F.array(x)).otherwise(F.get(f, -1 - x)))))
+        return seen.select("doc_id", F.when(F.size("holes") > 0, joined).otherwise(F.col("sequence")).alias("ids"))
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
-        """``encoded`` with the bytes of its token ids, one after another. An id that is no token raises."""
-        ship_package(encoded.sparkSession)
-        tokens = encoded.sparkSession.sparkContext.broadcast(self.ranks)
-        names = encoded.columns
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-        return encoded.mapInArrow(lambda it: _join_bytes(it, tokens, ids, names, out), f"{schema}, `{out}` binary")
+        """``encoded`` with the bytes of its token ids, one after another. Null: no bytes. An id that is no token raises."""
+        by_id = {r: t.hex() for t, r in self.ranks.items()}
+        pieces_ = F.from_json(F.lit(json.dumps([by_id.get(i) for i in range(max(by_id) + 1)])), "array<string>")
+        piece = lambda t, i: F.coalesce(F.get(t, i), F.raise_error(F.lit("an id is no token")).cast("string"))
+        whole = _let(pieces_, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: piece(t, i)), "")))
+        return encoded.withColumn(out, F.coalesce(whole, F.lit(b"")))
 
 
 def _spans(piece: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, ...]:
@@ -345,53 +346,10 @@ def _look_up(it: Iterator[pa.RecordBatch], known, tokens) -> Iterator[pa.RecordB
         known_slot = np.repeat(hit, count)
         sequence[known_slot] = table.flat[source[known_slot]] if len(table.flat) else 0
         sequence[to[l]] = mark[number]
-        blobs = [sequence[a:b].tobytes() for a, b in zip(to[first[:-1]].tolist(), to[first[1:]].tolist(), strict=True)]
+        ids = pa.ListArray.from_arrays(pa.array(to[first], pa.int32()), pa.array(sequence))
         holes = [w for w, x in zip(words, hole.tolist(), strict=True) if x]
         inner = np.cumsum([0, *map(len, holes)])
         flat = np.frombuffer(b"".join(holes), np.uint8).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat))
         outer = np.append(base, int(hole.sum()))
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(blobs, pa.binary()), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)], ["doc_id", "sequence", "holes"])
-
-
-def _fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(it, "sequence"):
-        data, off = text_buffer(piece.column("sequence"))
-        sequence, off = np.ascontiguousarray(data).view(np.int32), off // 4
-        filled = piece.column("filled")
-        words = filled.flatten()
-        lists = np.concatenate(([0], np.cumsum(filled.value_lengths().to_numpy())))
-        size = words.value_lengths().to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        flat = words.flatten().to_numpy() if len(words) else np.zeros(0, np.int32)
-        start = np.concatenate(([0], np.cumsum(size)))
-        hole = np.flatnonzero(sequence < 0)
-        which = lists[np.searchsorted(off, hole, "right") - 1] - 1 - sequence[hole]
-        count = np.ones(len(sequence), np.int64)
-        count[hole] = size[which]
-        to = np.concatenate(([0], np.cumsum(count)))
-        ids = np.repeat(sequence, count)
-        if len(hole):
-            own = np.repeat(to[hole] - np.concatenate(([0], np.cumsum(size[which])[:-1])), size[which]) + np.arange(size[which].sum())
-            ids[own] = flat[np.repeat(start[which] - np.concatenate(([0], np.cumsum(size[which])[:-1])), size[which]) + np.arange(size[which].sum())]
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(to[off], pa.int32()), pa.array(ids))], ["doc_id", "ids"])
-
-
-def _join_bytes(it: Iterator[pa.RecordBatch], tokens, ids: str, names: list[str], out: str) -> Iterator[pa.RecordBatch]:
-    by_id = {r: t for t, r in tokens.value.items()}
-    table = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-    length = np.fromiter(map(len, table), np.int64, len(table))
-    flat = np.frombuffer(b"".join(table), np.uint8)
-    first = np.cumsum(length) - length
-    for batch in it:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            column = part.column(ids)
-            x = column.flatten().to_numpy()
-            off = np.concatenate(([0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
-            n = length[x]
-            if (n == 0).any():
-                raise ValueError("an id is no token")
-            to = np.concatenate(([0], np.cumsum(n)))
-            data = flat[np.repeat(first[x] - to[:-1], n) + np.arange(to[-1])]
-            joined = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(to[off].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), joined], [*names, out])
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids, pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)], ["doc_id", "sequence", "holes"])
