@@ -108,7 +108,7 @@ def _encode(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     ranks, pattern = shared.value
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     table, words, ids = WordTable.of([], []), [], []
-    for piece in pieces(it, "text"):
+    for piece in pieces(it, "text", 2 << 20):
         data, begin, end, first = _spans(piece)
         h, length = span_hashes(data, begin, end), end - begin
         at = table.find(h, length)
