@@ -175,24 +175,24 @@ def encode_words(words: DataFrame, ranks: RankMap, column: str = "word", out: st
 class WordTable:
     """Token ids of known words, found by a hash of the word (64 bits and the length)."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, flat: np.ndarray, count: np.ndarray):
-        """Words one after another in ``data`` and where each ends; ids one after another and how many each has."""
-        begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        h = span_hashes(data, begin, ends) if len(ends) else np.zeros(0, np.uint64)
+    def __init__(self, h: np.ndarray, length: np.ndarray, flat: np.ndarray, count: np.ndarray):
+        """Hash and length of each word; ids one after another and how many each word has."""
         order = np.argsort(h)
-        self.hash, self.length = h[order], (ends - begin)[order].astype(np.int32)
+        self.hash, self.length = h[order], length[order].astype(np.int32)
         size, start = count[order], (np.cumsum(count) - count)[order]
         to = np.cumsum(size) - size
-        self.flat = flat[np.repeat(start - to, size) + np.arange(size.sum())].astype(np.int32) if len(ends) else np.zeros(0, np.int32)
+        self.flat = flat[np.repeat(start - to, size) + np.arange(size.sum())].astype(np.int32) if len(h) else np.zeros(0, np.int32)
         self.first = np.concatenate(([0], np.cumsum(size)))
-        self.bits = max(1, len(ends).bit_length() + 1)
+        self.bits = max(1, len(h).bit_length() + 1)
         self.heads = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     @classmethod
     def of(cls, words: list[bytes], ids: list[list[int]]) -> WordTable:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(length)
+        h = span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - length, ends) if words else np.zeros(0, np.uint64)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        return cls(np.frombuffer(b"".join(words), np.uint8), ends, np.fromiter((i for x in ids for i in x), np.int32), count)
+        return cls(h, length, np.fromiter((i for x in ids for i in x), np.int32), count)
 
     def find(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Position of each word in the table, -1 where it lacks it."""
@@ -241,12 +241,11 @@ class BytePairEncoding:
         if least is None:
             return WordTable.of([], [])
         tokens = self.ranks
-        chosen = words.where(step >= least).select("word").mapInArrow(lambda it: _as_bytes(it, tokens), "word binary, bytes array<int>, whole int")
-        chosen = encode_words(chosen, table, "bytes").select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.col("ids")).alias("ids"))
-        got = chosen.toArrow().combine_chunks()
-        data, off = text_buffer(got.column("word").combine_chunks())
+        chosen = words.where(step >= least).select("word").mapInArrow(lambda it: _as_bytes(it, tokens), "hash long, length int, bytes array<int>, whole int")
+        chosen = encode_words(chosen, table, "bytes").select("hash", "length", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.col("ids")).alias("ids"))
+        got = chosen.toArrow().combine_chunks()  # hashes, not words: of bounded size
         ids = got.column("ids").combine_chunks()
-        return WordTable(data, off[1:], ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64))
+        return WordTable(got.column("hash").to_numpy().view(np.uint64), got.column("length").to_numpy(), ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64))
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, ids array<int>) for each row of ``docs``. Null and empty texts have no ids; other columns are not read."""
@@ -312,8 +311,10 @@ def _as_bytes(it: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator
     for batch in it:
         word = batch.column("word")
         data, off = text_buffer(word)
+        h, length = span_hashes(data, off[:-1], off[1:]), np.diff(off).astype(np.int32)
         whole = pa.array([ranks.get(w) for w in word.to_pylist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(data.astype(np.int32))), whole], ["word", "bytes", "whole"])
+        lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(data.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(length), lists, whole], ["hash", "length", "bytes", "whole"])
 
 
 def _look_up(it: Iterator[pa.RecordBatch], known, tokens) -> Iterator[pa.RecordBatch]:
