@@ -283,7 +283,7 @@ def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]
     return [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
-def _count(it: Iterator[pa.RecordBatch], flush: int = 600_000) -> Iterator[pa.RecordBatch]:
+def _count(it: Iterator[pa.RecordBatch], flush: int = 150_000) -> Iterator[pa.RecordBatch]:
     """Words and their counts in this task, written out whenever ``flush`` distinct words are held."""
     held = np.zeros(0, np.uint64)
     count = np.zeros(0, np.int64)
