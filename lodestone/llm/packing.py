@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from lodestone.llm.bpe import WordTable, _slices, _spans, read_ranks
 from lodestone.llm.textops import pieces, span_hashes
 from lodestone.session import ship_package
 
+Encoder = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 class FreeSpace:
     """A segment tree over amounts of free space 0..size: is there an open row with at least so much?"""
@@ -72,16 +74,19 @@ class Packing:
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, ids binary): token ids of whole texts as little-endian 16-bit numbers. Null: none."""
+        d, encoded = self._encoder(docs, id_col, text)
+        return d.mapInArrow(encoded, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary")
+
+    def _encoder(self, docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, Encoder]:
+        """The columns to read, and what turns their batches into (doc_id, ids)."""
         import public_tokenizers
 
         ship_package(docs.sparkSession)
-        spark = docs.sparkSession
         ranks = read_ranks(self.path)
         if max(ranks.values()) > 0xFFFE:
             raise ValueError("ids must fit 16 bits")
-        shared = spark.sparkContext.broadcast((ranks, public_tokenizers.PATTERN))
-        d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-        return d.mapInArrow(lambda it: _encode(it, shared), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary")
+        shared = docs.sparkSession.sparkContext.broadcast((ranks, public_tokenizers.PATTERN))
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), lambda it: _encode(it, shared)
 
     def pack(self, encoded: DataFrame) -> DataFrame:
         """Rows of ``size`` ids from (doc_id, ids): row_id, n_tokens, input_ids, cu_seqlens, position_resets, doc_ids.
@@ -93,37 +98,41 @@ class Packing:
         """
         ship_package(encoded.sparkSession)
         size, limit = self.size, self.tokens
-        kind = encoded.schema["doc_id"].dataType.simpleString()
-        schema = f"row_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>"
-        return encoded.select("doc_id", "ids").mapInArrow(lambda it: _pack(it, size, limit), schema)
+        return encoded.select("doc_id", "ids").mapInArrow(lambda it: _pack(it, size, limit), _schema(encoded))
+
+    def run(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+        """``pack`` of ``encode``, in one Python worker a task."""
+        d, encoded = self._encoder(docs, id_col, text)
+        size, limit = self.size, self.tokens
+        return d.mapInArrow(lambda it: _pack(encoded(it), size, limit), _schema(d))
+
 
-    def run(self, docs: DataFrame) -> DataFrame:
-        return self.pack(self.encode(docs))
+def _schema(df: DataFrame) -> str:
+    return f"row_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{df.schema['doc_id'].dataType.simpleString()}>"
 
 
-def _encode(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Each distinct word of a piece is encoded once; a bounded table of words is kept for the next piece."""
+def _encode(it: Iterator[pa.RecordBatch], shared, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Each distinct word of a piece is encoded once; a table of about ``most`` words is kept for the next piece."""
     import tiktoken
 
     ranks, pattern = shared.value
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    table, words, ids = WordTable.of([], []), [], []
-    for piece in pieces(it, "text", 2 << 20):
+    none = tuple(np.zeros(0, kind) for kind in (np.uint64, np.int64, np.int32, np.int64))
+    known, table = none, WordTable(*none)
+    for piece in pieces(it, "text", 1 << 20):
         data, begin, end, first = _spans(piece)
         h, length = span_hashes(data, begin, end), end - begin
         at = table.find(h, length)
         lacking = np.flatnonzero(at < 0)
         if len(lacking):
-            _, new = np.unique(h[lacking], return_index=True)
-            own = lacking[new]
-            fresh = _slices(data, begin[own], end[own])
-            if len(words) > 400_000:  # bounded: the table starts anew
-                words, ids = [], []
-                own_all = np.unique(h, return_index=True)[1]
-                fresh = _slices(data, begin[own_all], end[own_all])
-            words += fresh
-            ids += [encoding._encode_single_piece(w) for w in fresh]
-            table = WordTable.of(words, ids)
+            if len(known[0]) > most:  # bounded: the table starts anew
+                known, lacking = none, np.arange(len(h))
+            own = lacking[np.unique(h[lacking], return_index=True)[1]]
+            ids = [encoding._encode_single_piece(w) for w in _slices(data, begin[own], end[own])]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            fresh = (h[own], length[own], np.fromiter((i for x in ids for i in x), np.int32), count)
+            known = tuple(map(np.concatenate, zip(known, fresh, strict=True)))
+            table = WordTable(*known)
             at = table.find(h, length)
         count = table.first[at + 1] - table.first[at]
         to = np.concatenate(([0], np.cumsum(count)))
