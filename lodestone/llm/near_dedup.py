@@ -3,12 +3,13 @@
 A signature has ``chunks`` * ``per_chunk`` components of b = 16 bits. If two signatures differ in at most
 r = chunks * (errors + 1) - 1 components, the pigeonhole principle gives a chunk with at most ``errors`` = 1
 differing component. Enumerating the component that may differ (one key for each, over the others) finds every
-such pair. With 12 chunks of 4 that is r = 23 of 48; at a Jaccard similarity of 0.75 the expected distance is
-12, and a pair shares no key with probability 1e-7.
+such pair, and most pairs beyond: a pair is lost only if every chunk differs in two components or more. With 12
+chunks of 4 (r = 23 of 48) that has probability (1 - 0.75**4 - 4 * 0.25 * 0.75**3)**12 = 1.0e-7 at a Jaccard
+similarity of 0.75. Pairs that share a key are never judged by their signatures, only by their full sets.
 
 Groups of copies never turn into all pairs: equal sets are one node; in each key the members are compared with
 the smallest one, links make components, and only where one key still holds different components its members are
-compared across them - by size and signature, then by full sets, inside a task that emits nothing but links.
+compared across them - by size, then by full sets, inside a task that emits nothing but links.
 """
 
 from __future__ import annotations
@@ -53,11 +54,6 @@ class NearDedup:
     def __init__(self, width: int = 5, percent: int = 75, chunks: int = 12, per_chunk: int = 4, block: int = 512):
         self.width, self.percent, self.chunks, self.per_chunk, self.block = width, percent, chunks, per_chunk, block
 
-    @property
-    def radius(self) -> int:
-        """The largest signature distance at which every pair is found."""
-        return 2 * self.chunks - 1
-
     def run(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -91,20 +87,19 @@ class NearDedup:
 
     def links(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, component) of the nodes that some link touches."""
-        chunks, per, radius, block = self.chunks, self.per_chunk, self.radius, self.block
+        chunks, per, percent, block = self.chunks, self.per_chunk, self.percent, self.block
         keys = nodes.select("node", "sig").mapInArrow(lambda it: _keys(it, chunks, per), "node long, key long")
         lead = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
         members = materialize(keys.join(lead, "key"))
-        sigs = nodes.select("node", "sig")
         touched = members.select("node").distinct()
         wanted = docs.join(touched, docs["doc_id"] == touched["node"], "left_semi")
         width = self.width
         sets = materialize(wanted.mapInArrow(lambda it: _sets(it, width), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "node").distinct())
 
         star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        star = star.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        near = star.mapInArrow(lambda it: _near(it, radius), "a long, b long")
-        confirmed = materialize(self.confirm(near, sets))
+        star = star.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+        sized = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+        confirmed = materialize(self.confirm(sized, sets))
         groups = materialize(connected_components(confirmed, "a", "b"))
 
         # what one key holds in different components is compared, but for the leader, with everything it may be near to
@@ -116,12 +111,11 @@ class NearDedup:
         # an area of many nodes is compared block by block, so that no task holds all of it
         count = rest.groupBy("around").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         rest = rest.join(count, "around").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rest = rest.join(sigs, "node").join(sets, "node")
+        rest = rest.join(sets, "node")
         rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rest = rest.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        rest = rest.select("around", "x", "y", "own", "node", "component", "sig", "shingles")
-        percent = self.percent
-        more = materialize(rest.groupBy("around", "x", "y").applyInArrow(lambda t: _cross(t, radius, percent), "a long, b long"))
+        rest = rest.select("around", "x", "y", "own", "node", "component", "shingles")
+        more = materialize(rest.groupBy("around", "x", "y").applyInArrow(lambda t: _cross(t, percent), "a long, b long"))
         return connected_components(confirmed.unionByName(more), "a", "b")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -174,17 +168,10 @@ def _sets(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
 
 
-def _near(it: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        distance = (_signatures(batch.column("sig_a")) != _signatures(batch.column("sig_b"))).sum(1)
-        yield batch.filter(pa.array(distance <= radius)).select(["a", "b"])
-
-
-def _cross(table: pa.Table, radius: int, percent: int) -> pa.Table:
-    """Links between different components in one area (one pair of its blocks): near by signature, exact by sets."""
+def _cross(table: pa.Table, percent: int) -> pa.Table:
+    """Links between different components in one area (one pair of its blocks), by full sets."""
     node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
     own = table.column("own").to_numpy()
-    sig = _signatures(table.column("sig").combine_chunks())
     sets = table.column("shingles").combine_chunks()
     first = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
     values, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
@@ -196,7 +183,6 @@ def _cross(table: pa.Table, radius: int, percent: int) -> pa.Table:
     for i in left:
         far = right[(component[right] != component[i]) & ((node[right] > node[i]) | (x != y))]
         far = far[100 * np.minimum(size[far], size[i]) >= percent * np.maximum(size[far], size[i])]
-        far = far[(sig[far] != sig[i]).sum(1) <= radius]
         if not len(far):
             continue
         held[code[first[i] : first[i + 1]]] = True

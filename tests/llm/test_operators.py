@@ -152,6 +152,14 @@ def test_near_dedup_finds_links_beside_the_leader(spark):
     assert got == brute_near(rows)
 
 
+def test_near_dedup_links_far_signatures(spark):
+    """Two texts of similarity 0.75 with 24 of 48 components apart share keys: as leader and member, and beside a leader."""
+    long, short, first = (" ".join(f"p2476w{j}" for j in range(n)) for n in (8, 7, 6))
+    for rows in ([(1, long), (2, short)], [(0, first), (1, long), (2, short)]):
+        got = sorted((tuple(r) for r in NearDedup().run(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+        assert got == brute_near(rows) and got[-1][2] == 1
+
+
 def test_near_dedup_keep(docs):
     kept = NearDedup().keep(docs)
     assert kept.columns == docs.columns
