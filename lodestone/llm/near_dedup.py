@@ -62,28 +62,48 @@ class NearDedup:
         is kept. Equal ids are one document where their sets are equal; rows that repeat are given each.
         Other columns are not read.
         """
+        judged = self.judge(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
+        return judged.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+    def judge(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, tag, n, component, component_id, kept) for each row of ``docs``; tag is xxhash64 of the text.
+
+        component tells apart what component_id, its smallest id, does not: unlike texts under one id. It is null
+        where the row links with nothing by rule.
+        """
         ship_package(docs.sparkSession)
-        d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         width, k = self.width, self.chunks * self.per_chunk
-        features = materialize(d.mapInArrow(lambda it: _features(it, width, k), "doc_id long, n long, fp1 long, fp2 long, sig binary"))
+        schema = "doc_id long, tag long, n long, fp1 long, fp2 long, sig binary"
+        features = materialize(d.withColumn("tag", F.xxhash64("text")).mapInArrow(lambda it: _features(it, width, k), schema))
         nodes = features.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-        nodes = nodes.select(F.col("m.doc_id").alias("node"), "fp1", "fp2", "n", F.col("m.sig").alias("sig"))
-        links = self.links(d, materialize(nodes))
-        groups = nodes.select("fp1", "fp2", "n", "node").join(links, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
-        out = features.select("doc_id", "n", "fp1", "fp2").join(groups, ["fp1", "fp2", "n"], "left")
+        nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "m.doc_id", "fp1", "fp2", "n", "m.sig")
+        nodes = materialize(nodes)  # from here on a set has one number
+        links = self.links(d, nodes)
+        least = nodes.select("node", "doc_id").join(links, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+        groups = nodes.drop("sig").join(links, "node", "left").join(least, "component", "left")
+        groups = groups.select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"), F.coalesce("least", "doc_id").alias("least"))
+        out = features.drop("sig").join(groups, ["fp1", "fp2", "n"], "left")
         alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-        component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        out = out.withColumns({"component": F.when(~alone, F.col("component")), "component_id": F.when(alone, F.col("doc_id")).otherwise(F.col("least"))})
+        return out.select("doc_id", "tag", "n", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
     def keep(self, docs: DataFrame) -> DataFrame:
-        """One row of ``docs``, with all its columns, of each group of near copies: the smallest id; rows without an id stay."""
-        judged = materialize(self.run(docs).where("doc_id is not null"))
-        gone = judged.where("not kept").select("doc_id").distinct()
-        left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-        repeated = judged.groupBy("doc_id").count().where("count > 1").select("doc_id")
+        """One row of ``docs``, with all its columns, of each group of near copies: the smallest id; rows without an id stay.
+
+        Unlike texts under one id are in groups of their own. Where a group has several texts under its smallest
+        id, the one of the smallest tag stays.
+        """
+        own = ["doc_id", "_tag"]
+        judged = self.judge(docs).where("doc_id is not null").withColumnRenamed("tag", "_tag")
+        texts = materialize(judged.groupBy(*own, "component", "kept").count())
+        stay = texts.where("kept").groupBy("doc_id", "component").agg(F.min("_tag").alias("_tag")).select(*own)
+        gone = texts.select(*own).join(stay, own, "left_anti")
+        left = docs.withColumn("_tag", F.xxhash64("text")).join(gone, own, "left_anti")
+        repeated = texts.where("kept and count > 1").select(*own)
         if repeated.isEmpty():
-            return left
-        return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+            return left.select(*docs.columns)
+        return left.join(repeated, own, "left_anti").select(*docs.columns).unionByName(left.join(repeated, own, "left_semi").dropDuplicates(own).select(*docs.columns))
 
     def links(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, component) of the nodes that some link touches."""
@@ -91,10 +111,12 @@ class NearDedup:
         keys = nodes.select("node", "sig").mapInArrow(lambda it: _keys(it, chunks, per), "node long, key long")
         lead = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
         members = materialize(keys.join(lead, "key"))
-        touched = members.select("node").distinct()
-        wanted = docs.join(touched, docs["doc_id"] == touched["node"], "left_semi")
+        own = ["doc_id", "fp1", "fp2", "n"]
+        touched = nodes.join(members.select("node"), "node", "left_semi").select("node", *own)
+        wanted = docs.join(touched, "doc_id", "left_semi")
         width = self.width
-        sets = materialize(wanted.mapInArrow(lambda it: _sets(it, width), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "node").distinct())
+        sets = wanted.mapInArrow(lambda it: _sets(it, width), "doc_id long, fp1 long, fp2 long, n long, shingles array<long>")
+        sets = materialize(sets.groupBy(*own).agg(F.first("shingles").alias("shingles")).join(touched, own).select("node", "shingles"))
 
         star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         star = star.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
@@ -126,20 +148,30 @@ class NearDedup:
         return p.where(100 * F.col("both") >= self.percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
+def _fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over the mixed hashes of each set, which tell sets apart."""
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    fp = np.zeros((2, len(n)), np.uint64)
+    if len(full):
+        for i in range(2):
+            fp[i, full] = np.add.reduceat(mix(h ^ _SEEDS[-1, i]), first[:-1][full])
+    return fp[0].view(np.int64), fp[1].view(np.int64)
+
+
 def _features(it: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     for piece in pieces(it, "text"):
         h, first = shingle_sets(piece, width)
         n = np.diff(first)
         full = np.flatnonzero(n)
         at = first[:-1][full]
-        fp1, fp2, least = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.zeros((len(n), k), np.uint64)
+        fp1, fp2 = _fingerprints(h, first)
+        least = np.zeros((len(n), k), np.uint64)
         if len(full):
-            fp1[full] = np.add.reduceat(mix(h ^ _SEEDS[-1, 0]), at)
-            fp2[full] = np.add.reduceat(mix(h ^ _SEEDS[-1, 1]), at)
             for j in range(k):
                 least[full, j] = np.minimum.reduceat((h ^ _SEEDS[j, 0]) * _SEEDS[j, 1], at)
         sig = (mix(least) >> np.uint64(48)).astype("<u2")
-        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n": n, "fp1": fp1.view(np.int64), "fp2": fp2.view(np.int64), "sig": pa.array([s.tobytes() for s in sig], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "tag": piece.column("tag"), "n": n, "fp1": fp1, "fp2": fp2, "sig": pa.array([s.tobytes() for s in sig], pa.binary())})
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -165,7 +197,8 @@ def _keys(it: Iterator[pa.RecordBatch], chunks: int, per: int) -> Iterator[pa.Re
 def _sets(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for piece in pieces(it, "text"):
         h, first = shingle_sets(piece, width)
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
+        fp1, fp2 = _fingerprints(h, first)
+        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "fp1": fp1, "fp2": fp2, "n": np.diff(first), "shingles": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))})
 
 
 def _cross(table: pa.Table, percent: int) -> pa.Table:

@@ -168,6 +168,18 @@ def test_near_dedup_keep(docs):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
 
+def test_near_dedup_unlike_texts_under_one_id(spark):
+    rng = np.random.default_rng(11)
+    a, b, c = (prose(60, 5000, rng) for _ in "abc")
+    rows = [(5, a), (5, b), (3, a), (5, b), (7, b + " more"), (8, c), (8, c + " more"), (9, ""), (9, None), (9, a.upper()), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in NearDedup().run(docs).collect()}
+    assert got == {(5, 56, 3, False), (3, 56, 3, True), (5, 56, 5, True), (7, 57, 5, False), (8, 56, 8, True), (8, 57, 8, True), (9, 0, 9, True), (9, 56, 3, False), (5, 0, 5, True)}
+    kept = [tuple(r) for r in NearDedup().keep(docs).collect()]
+    assert sorted(r for r in kept if r[0] < 8) == [(3, a), (5, ""), (5, b)]
+    assert [r[0] for r in kept if r[0] == 8] == [8] and [r[1] or "" for r in kept if r[0] == 9] == [""]
+
+
 def test_quality_held_out(spark):
     """Held-out accuracy is far over chance; the score reads the text alone."""
     sf = "/root/testdata/sf0.01"
