@@ -251,6 +251,18 @@ def test_licences_run_no_python(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_urls_with_queries_and_relative_targets(spark):
+    link = '<link rel="canonical" href="{}">'
+    links = {
+        "http://r.com/a/b/old?x=1": "../c?y=2&amp;z=3", "http://r.com/a/c?y=2&z=3": "http://s.com/de/1#top", "http://r.com/a/b/p": "?id=9", "http://r.com/a/b/p?id=9": "q.html", "http://r.com/a/b/q.html": "./../c?y=2&z=3", "http://t.com": "u", "http://t.com/u": "//s.com/x/../de/1",
+        "http://r.com/a/c": None, "http://r.com/a/b/old": "", "http://r.com/a/b/old?x=2": "mailto:a@s.com", "http://r.com/a/b/p?id=8": "#top", "http://r.com/a/c?y=3": "/go?u=http://s.com/de/1",
+    }
+    pages = spark.createDataFrame([(i, u, t and link.format(t)) for i, (u, t) in enumerate(links.items())], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in filter_urls(pages, spark.createDataFrame(RULES, "verdict string, host string, path string")).collect()}
+    assert [got[i]["verdict"] for i in range(12)] == ["block"] * 7 + ["allow"] * 5
+    assert {got[i]["component"] for i in range(7)} == {"r.com/a/b/old?x=1"} and got[9]["component"] == "r.com/a/b/old?x=2"
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [
