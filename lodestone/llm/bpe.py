@@ -2,28 +2,35 @@
 
 1. Texts are cut into the pattern's matches (``cut``), whole texts at a time on their buffers; every task
    counts its distinct words and Spark sums the counts.
-2. The ``cache_words`` most frequent words are encoded once each by the fold and broadcast as a table - its
-   size is bounded by that parameter, whatever the corpus holds.
-3. Texts look their words up in the table. Words that it lacks go, distinct by document, through the same fold
-   beside their document, so nothing is shuffled and no word is left out.
+2. The ``cache_words`` most frequent words are encoded once each by the fold; their hashes and ids reach the
+   workers as one broadcast of bounded size, whatever the corpus holds.
+3. Texts look their words up. Words that the broadcast lacks go, distinct by document, through the same fold
+   beside their document, so nothing is shuffled and no word is left out. Rare words make up most of the
+   distinct words but few of the occurrences, so this costs less than a shuffle of them to be encoded once.
+
+A fold takes steps in proportion to a word's bytes, each over what is left of the word; words of over
+``LONG_WORD`` bytes are merged in the order of a heap instead (``merge_by_heap``), which gives the same ids.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from lodestone.llm.textops import pieces, span_hashes, text_buffer
-from lodestone.session import materialize, ship_package
+from lodestone.session import discard, materialize, ship_package
 
+LONG_WORD = 256
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
 
@@ -125,8 +132,10 @@ class RankMap:
         a, b = (F.shiftright(key, 20), key.bitwiseAND(0xFFFFF)) if isinstance(key, Column) else (key >> 20, key & 0xFFFFF)
         return (a * (mult * 31 + 7) + b * mult) % self.size
 
-    def literal(self) -> Column:
-        return F.from_json(F.lit(json.dumps({"slots": self.slots, "bytes": self.bytes})), "slots array<bigint>, bytes array<int>")
+    def literal(self, spark: SparkSession) -> Column:
+        """The map as one value of a query: a scalar subquery, so that plans name it without printing it."""
+        one = {"slots": pa.array([self.slots], pa.list_(pa.int64())), "bytes": pa.array([self.bytes], pa.list_(pa.int32()))}
+        return spark.createDataFrame(pa.table(one)).select(F.struct("slots", "bytes")).scalar()
 
     def fold(self, word: Column, table: Column) -> Column:
         """Token ids of one word, an array of its bytes: pairs joined one by one, lowest rank first, leftmost first."""
@@ -169,7 +178,32 @@ class RankMap:
 
 def encode_words(words: DataFrame, ranks: RankMap, column: str = "word", out: str = "ids") -> DataFrame:
     """``words`` with the token ids of a column of words as arrays of bytes (0 to 255)."""
-    return words.withColumn(out, _let(ranks.literal(), lambda t: ranks.fold(F.col(column), t)))
+    own = "_ranks"
+    while own in words.columns:
+        own += "_"
+    held = words.withColumn(own, ranks.literal(words.sparkSession))
+    return held.withColumn(out, _let(F.col(own), lambda t: ranks.fold(F.col(column), t))).drop(own)
+
+
+def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word as ``RankMap.fold`` gives them, in n log n steps: for words of any length."""
+    ends = list(range(1, len(word) + 1))  # of the token that begins at each place
+    before = list(range(-1, len(word) - 1))  # where the token before it begins
+    heap = [(r, i, i + 2) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        middle = ends[i]
+        if not i < middle < end or ends[middle] != end:  # either token is no longer there
+            continue
+        ends[i], ends[middle] = end, 0
+        if end < len(word):
+            before[end] = i
+            if (r := ranks.get(word[i : ends[end]])) is not None:
+                heapq.heappush(heap, (r, i, ends[end]))
+        if i and (r := ranks.get(word[before[i] : end])) is not None:
+            heapq.heappush(heap, (r, before[i], end))
+    return [ranks[word[i:e]] for i, e in enumerate(ends) if e]
 
 
 class WordTable:
@@ -181,11 +215,25 @@ class WordTable:
         self.hash, self.length = h[order], length[order].astype(np.int32)
         size, start = count[order], (np.cumsum(count) - count)[order]
         to = np.cumsum(size) - size
-        self.flat = flat[np.repeat(start - to, size) + np.arange(size.sum())].astype(np.int32) if len(h) else np.zeros(0, np.int32)
+        self.flat = flat[np.repeat(start - to, size) + np.arange(size.sum())].astype(np.int32, copy=False) if len(h) else np.zeros(0, np.int32)
         self.first = np.concatenate(([0], np.cumsum(size)))
         self.bits = max(1, len(h).bit_length() + 1)
         self.heads = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
+    @staticmethod
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(hash, length, ids) of words, a row of packed columns for each batch."""
+        for batch in it:
+            ids = batch.column("ids")
+            columns = {"hash": batch.column("hash").to_numpy(), "length": batch.column("length").to_numpy().astype("<u2"), "ids": ids.flatten().to_numpy().astype("<i4"), "count": ids.value_lengths().to_numpy().astype("<u2")}
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()]) for k, v in columns.items()})
+
+    @classmethod
+    def unpacked(cls, rows: list[tuple[bytes, ...]]) -> WordTable:
+        hash_, length, ids, count = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<u8", "<u2", "<i4", "<u2")))
+        return cls(hash_, length.astype(np.int64), ids, count.astype(np.int64))
+
     @classmethod
     def of(cls, words: list[bytes], ids: list[list[int]]) -> WordTable:
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -215,7 +263,7 @@ class WordTable:
 class BytePairEncoding:
     """Encodes and decodes whole texts by the ranks of a file in tiktoken's format."""
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         self.ranks = read_ranks(path)
         self.cache_words = cache_words
 
@@ -225,13 +273,13 @@ class BytePairEncoding:
         counted = docs.select(F.col(text).alias("text")).mapInArrow(_count, "word binary, n long")
         return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
-    def known(self, docs: DataFrame, table: RankMap, text: str = "text") -> WordTable:
+    def known(self, docs: DataFrame, table: RankMap, tokens: Broadcast, text: str = "text") -> list[tuple[bytes, ...]]:
         """The most frequent words that are not tokens themselves, each encoded once; at most ``cache_words``.
 
         Frequencies are cut at a limit on an eighth of a power of two, found from a histogram of a few hundred
-        rows; words that occur once are never kept.
+        rows; words that occur once are never kept. Comes as packed columns of ``WordTable.packed``.
         """
-        words = materialize(self.words(docs, text).where("n > 1"))
+        words = materialize(self.words(docs, text).where("n > 1").mapInArrow(lambda it: _untokened(it, tokens), "word binary, n long"))
         step = F.floor(F.log2("n") * 8)
         left, least = self.cache_words, None
         for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
@@ -239,36 +287,33 @@ class BytePairEncoding:
                 break
             left, least = left - r["count"], r["step"]
         if least is None:
-            return WordTable.of([], [])
-        tokens = self.ranks
-        chosen = words.where(step >= least).select("word").mapInArrow(lambda it: _as_bytes(it, tokens), "hash long, length int, bytes array<int>, whole int")
-        chosen = encode_words(chosen, table, "bytes").select("hash", "length", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.col("ids")).alias("ids"))
-        got = chosen.toArrow().combine_chunks()  # hashes, not words: of bounded size
-        ids = got.column("ids").combine_chunks()
-        return WordTable(got.column("hash").to_numpy().view(np.uint64), got.column("length").to_numpy(), ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64))
+            discard(words)
+            return []
+        chosen = words.where(step >= least).mapInArrow(lambda it: _as_bytes(it, tokens), "hash long, length int, bytes array<int>, heap array<int>")
+        chosen = encode_words(chosen, table, "bytes").select("hash", "length", F.coalesce("heap", "ids").alias("ids"))
+        found = chosen.mapInArrow(WordTable.packed, "hash binary, length binary, ids binary, count binary").collect()  # of bounded size
+        discard(words)
+        return [tuple(map(bytes, r)) for r in found]
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, ids array<int>) for each row of ``docs``. Null and empty texts have no ids; other columns are not read."""
         spark = docs.sparkSession
-        ship_package(docs.sparkSession)
+        ship_package(spark)
         table = RankMap(self.ranks)
         d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-        known = spark.sparkContext.broadcast(self.known(d, table))
         tokens = spark.sparkContext.broadcast(self.ranks)
+        known = spark.sparkContext.broadcast(self.known(d, table, tokens))
         kind = d.schema["doc_id"].dataType.simpleString()
         seen = d.mapInArrow(lambda it: _look_up(it, known, tokens), f"doc_id {kind}, sequence array<int>, holes array<array<int>>")
-        filled = _let(table.literal(), lambda t: F.transform("holes", lambda w: table.fold(w, t)))
-        # bound once, as the inner lambda would else fold all words again for each place
-        joined = _let(filled, lambda f: F.flatten(F.transform("sequence", lambda x: F.when(x >= 0, F.array(x)).otherwise(F.get(f, -1 - x)))))
-        return seen.select("doc_id", F.when(F.size("holes") > 0, joined).otherwise(F.col("sequence")).alias("ids"))
+        filled = seen.withColumn("ranks", table.literal(spark)).withColumn("holes", _let(F.col("ranks"), lambda t: F.transform("holes", lambda w: table.fold(w, t))))
+        return filled.drop("ranks").mapInArrow(_fill, f"doc_id {kind}, ids array<int>")
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
-        """``encoded`` with the bytes of its token ids, one after another. Null: no bytes. An id that is no token raises."""
-        by_id = {r: t.hex() for t, r in self.ranks.items()}
-        pieces_ = F.from_json(F.lit(json.dumps([by_id.get(i) for i in range(max(by_id) + 1)])), "array<string>")
-        piece = lambda t, i: F.coalesce(F.get(t, i), F.raise_error(F.lit("an id is no token")).cast("string"))
-        whole = _let(pieces_, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: piece(t, i)), "")))
-        return encoded.withColumn(out, F.coalesce(whole, F.lit(b"")))
+        """``encoded`` with the bytes of its token ids, one binary piece after another. Null: no bytes. An id that is no token raises."""
+        ship_package(encoded.sparkSession)
+        by_id = encoded.sparkSession.sparkContext.broadcast({r: t for t, r in self.ranks.items()})
+        schema = StructType([f for f in encoded.schema if f.name != out]).add(out, BinaryType())
+        return encoded.select(*[c for c in encoded.columns if c != out]).mapInArrow(lambda it: _concatenated(it, by_id, ids, out), schema)
 
 
 def _spans(piece: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, ...]:
@@ -307,19 +352,45 @@ def _count(it: Iterator[pa.RecordBatch], flush: int = 150_000) -> Iterator[pa.Re
         yield out()
 
 
-def _as_bytes(it: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+def _untokened(it: Iterator[pa.RecordBatch], tokens: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Words that are no tokens; those of over 2**16 bytes are left to their documents."""
+    ranks = tokens.value
+    for batch in it:
+        yield batch.filter(pa.array([w not in ranks and len(w) < 1 << 16 for w in batch.column("word").to_pylist()], pa.bool_()))
+
+
+def _lists(words: list[bytes]) -> pa.Array:
+    off = np.cumsum([0, *map(len, words)])
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
+
+
+def _as_bytes(it: Iterator[pa.RecordBatch], tokens: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Hash, length and bytes of each word; of long ones the ids, and no bytes."""
+    ranks = tokens.value
     for batch in it:
         word = batch.column("word")
         data, off = text_buffer(word)
         h, length = span_hashes(data, off[:-1], off[1:]), np.diff(off).astype(np.int32)
-        whole = pa.array([ranks.get(w) for w in word.to_pylist()], pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(data.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(length), lists, whole], ["hash", "length", "bytes", "whole"])
+        words = word.to_pylist()
+        heap = pa.array([merge_by_heap(w, ranks) if len(w) > LONG_WORD else None for w in words], pa.list_(pa.int32()))
+        lists = _lists([w if len(w) <= LONG_WORD else b"" for w in words])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(length), lists, heap], ["hash", "length", "bytes", "heap"])
+
 
+_HELD: dict = {}
 
-def _look_up(it: Iterator[pa.RecordBatch], known, tokens) -> Iterator[pa.RecordBatch]:
+
+def _table_of(known: Broadcast) -> WordTable:
+    """The table of a broadcast, built once in each Python worker."""
+    if _HELD.get("of") is not known.value:
+        _HELD.clear()
+        _HELD.update(of=known.value, table=WordTable.unpacked(known.value))
+    return _HELD["table"]
+
+
+def _look_up(it: Iterator[pa.RecordBatch], known: Broadcast, tokens: Broadcast) -> Iterator[pa.RecordBatch]:
     """Ids of known words in order; a word that is not known stands as -1 - its number in the document's list of them."""
-    table, ranks = known.value, tokens.value
+    table, ranks = _table_of(known), tokens.value
     for piece in pieces(it, "text"):
         data, begin, end, first = _spans(piece)
         h, length = span_hashes(data, begin, end), end - begin
@@ -335,22 +406,56 @@ def _look_up(it: Iterator[pa.RecordBatch], known, tokens) -> Iterator[pa.RecordB
         words = _slices(data, begin[l[new]], end[l[new]])
         own = d[new]
         single = np.fromiter((ranks.get(w, -1) for w in words), np.int64, len(words))  # tokens as they are
+        long = {i: merge_by_heap(words[i], ranks) for i in np.flatnonzero((single < 0) & (length[l[new]] > LONG_WORD)).tolist()}
         hole = single < 0
+        hole[list(long)] = False
         base = np.searchsorted(own[hole], np.arange(piece.num_rows))
         mark = np.where(hole, -1 - (np.cumsum(hole) - 1 - base[own]), single) if len(own) else np.zeros(0, np.int64)
         count = np.ones(len(begin), np.int64)
         hit = at >= 0
         count[hit] = table.first[at[hit] + 1] - table.first[at[hit]]
+        at_long = np.flatnonzero(np.isin(number, list(long))) if long else np.zeros(0, np.int64)
+        count[l[at_long]] = [len(long[k]) for k in number[at_long].tolist()]
         to = np.concatenate(([0], np.cumsum(count)))
         sequence = np.empty(to[-1], np.int32)
         source = np.repeat(table.first[np.where(hit, at, 0)] - to[:-1], count) + np.arange(to[-1])
         known_slot = np.repeat(hit, count)
         sequence[known_slot] = table.flat[source[known_slot]] if len(table.flat) else 0
         sequence[to[l]] = mark[number]
+        for i, k in zip(l[at_long].tolist(), number[at_long].tolist(), strict=True):
+            sequence[to[i] : to[i + 1]] = long[k]
         ids = pa.ListArray.from_arrays(pa.array(to[first], pa.int32()), pa.array(sequence))
-        holes = [w for w, x in zip(words, hole.tolist(), strict=True) if x]
-        inner = np.cumsum([0, *map(len, holes)])
-        flat = np.frombuffer(b"".join(holes), np.uint8).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat))
         outer = np.append(base, int(hole.sum()))
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids, pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)], ["doc_id", "sequence", "holes"])
+        holes = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), _lists([w for w, x in zip(words, hole.tolist(), strict=True) if x]))
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids, holes], ["doc_id", "sequence", "holes"])
+
+
+def _fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the ids of folded words where ``_look_up`` marked them."""
+    for batch in it:
+        rows, words = batch.column("sequence"), batch.column("holes")
+        sequence, inner = rows.flatten().to_numpy(), words.flatten()
+        base = np.cumsum(words.value_lengths().to_numpy()) - words.value_lengths().to_numpy()
+        doc = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+        size, flat = inner.value_lengths().to_numpy(), inner.flatten().to_numpy()
+        mark = np.flatnonzero(sequence < 0)
+        word = base[doc[mark]] - 1 - sequence[mark]
+        count = np.ones(len(sequence), np.int64)
+        count[mark] = size[word]
+        to = np.concatenate(([0], np.cumsum(count)))
+        out = np.repeat(sequence, count)
+        n = count[mark]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[mark], n) + step] = flat[np.repeat((np.cumsum(size) - size)[word], n) + step]
+        off = np.concatenate(([0], np.cumsum(rows.value_lengths().to_numpy())))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(to[off], pa.int32()), pa.array(out))], ["doc_id", "ids"])
+
+
+def _concatenated(it: Iterator[pa.RecordBatch], by_id: Broadcast, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    token = by_id.value.__getitem__
+    for batch in it:
+        column = batch.column(ids)
+        off = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())))
+        parts = list(map(token, column.flatten().to_pylist()))
+        whole = pa.array([b"".join(parts[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, whole], [*batch.schema.names, out])

@@ -128,7 +128,7 @@ def _encode(it: Iterator[pa.RecordBatch], shared, most: int = 200_000) -> Iterat
             if len(known[0]) > most:  # bounded: the table starts anew
                 known, lacking = none, np.arange(len(h))
             own = lacking[np.unique(h[lacking], return_index=True)[1]]
-            ids = [encoding._encode_single_piece(w) for w in _slices(data, begin[own], end[own])]
+            ids = [encoding.encode_ordinary(w.decode()) for w in _slices(data, begin[own], end[own])]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
             fresh = (h[own], length[own], np.fromiter((i for x in ids for i in x), np.int32), count)
             known = tuple(map(np.concatenate, zip(known, fresh, strict=True)))

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE_BYTES = 1 << 19
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)  # a random value for each byte
-_B = np.uint64(0x9E3779B97F4A7C15)
-_BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 64  # bytes; longer spans are hashed by xxhash, one by one
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Bytes that end a word: ASCII white space; all ASCII but letters and digits.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -23,7 +23,6 @@ WORD = np.ones(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POWERS = {"n": 0}
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -48,17 +47,6 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POWERS["n"] < n:
-        n = max(n, 1 << 16)
-        for name, b in (("p", _B), ("i", _BINV)):
-            x = np.full(n + 1, b, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-        _POWERS["n"] = n
-    return _POWERS["p"], _POWERS["i"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,11 +54,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, wherever it stands (polynomial prefix hash, then mixed)."""
-    power, inverse = _powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span, wherever it stands.
+
+    Eight bytes at a time are mixed into the state by a bijection, so spans of one length of up to eight bytes
+    never share a hash, and longer ones only by chance: nothing is summed, as in a polynomial hash, where texts
+    of a regular pattern would meet. Spans of over 64 bytes go to xxhash.
+    """
+    size = ends - starts
+    at_byte = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))  # eight bytes from each place on
+    out = mix((at_byte[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _SEED)
+    live = np.flatnonzero((size > 8) & (size <= _LONG))
+    for done in range(8, _LONG, 8):
+        if not len(live):
+            break
+        left = size[live] - done
+        chunk = at_byte[starts[live] + done] & _MASK[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ chunk) * _SEED)
+        live = live[left > 8]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,11 +107,13 @@ def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, width: int, factor: int = 0x9FB21C651E98DF25) -> np.ndarray:
-    """A 64-bit hash of each window of words."""
+    """A 64-bit hash of each window of words; the state is mixed after each word, so that no pattern of words cancels out."""
     f = np.uint64(factor | 1)
     if not len(starts):
         return np.zeros(0, np.uint64)
     h = np.zeros(len(words) - width + 1, np.uint64)
     for k in range(width):
-        h = h * f + words[k : k + len(h)]
+        h ^= words[k : k + len(h)]
+        h *= f
+        h ^= h >> np.uint64(31)
     return mix(h[starts])

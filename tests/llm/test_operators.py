@@ -304,6 +304,33 @@ def test_bpe(spark, sf_dir, docs, encoding, cache):
             assert list(r["ids"]) == encoding.encode_ordinary(bytes(r["bytes"]).decode())
 
 
+def thue_morse(k):
+    """A text of 2**k letters a and b; with its complement it fools hashes that are sums of powers."""
+    t = "a"
+    for _ in range(k):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_bpe_of_long_and_regular_words(spark, encoding):
+    """Words whose polynomial hashes meet, and runs of letters of many lengths."""
+    pairs = [thue_morse(k) for k in (10, 11, 12)]
+    rows = [(i, f"{a}1{b} {a} x{b}") for i, (a, b) in enumerate(pairs)] * 2
+    rows += [(10, "ab" * 100_000), (11, "\u4e2d\u6587\u5b57" * 3000), (12, "x" * 255 + " " + "x" * 256 + " " + "x" * 257), (13, " ".join("abc"[: n % 3 + 1] * n for n in range(80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cache in (0, 500_000):
+        bpe = BytePairEncoding(Q.tokenizer_path(), cache_words=cache)
+        for r in bpe.decode(bpe.encode(df)).collect():
+            text = bytes(r["bytes"]).decode()
+            assert (r["doc_id"], text) in rows and list(r["ids"]) == encoding.encode_ordinary(text)
+
+
+def test_bpe_rejects_what_is_no_token(spark):
+    df = spark.createDataFrame([(1, [60000])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="60000"):
+        BytePairEncoding(Q.tokenizer_path()).decode(df).collect()
+
+
 def test_bpe_digests(spark, sf_dir, encoding):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in Q.op6_byte_bpe(spark, sf_dir).collect():
