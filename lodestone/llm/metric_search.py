@@ -1,16 +1,21 @@
 """Exact top-k inner products by best-first search in M-trees.
 
-Inner products become distances: with M the greatest norm, a vector x gets one more coordinate
-sqrt(M^2 - |x|^2), a query gets 0, and d^2 = |q|^2 + M^2 - 2 q.x. Vectors are dealt out to pivots, each pivot's
+Inner products become distances: vectors are scaled so that no norm is over 1, a vector x gets one more coordinate
+sqrt(1 - |x|^2), a query gets 0, and d^2 = |q|^2 + 1 - 2 q.x. Vectors are dealt out to pivots, each pivot's
 vectors in parts of bounded size; a part is an M-tree of paged nodes that keep a centre, a covering radius and
 the distance to the centre of their parent. A query goes only to pivots whose ball it may gain from, and in a tree
-only to nodes that the stored distances cannot exclude. Scores are exact integers.
+only to nodes that the stored distances cannot exclude. Scores are exact integers; the scaled numbers only bound.
+
+A tree is built once, in the task of its part, and queries stream past it: rows travel once, a query once to
+each part that it may gain from, and neither is ever held whole. Where vectors have no structure the bounds
+exclude little, and an exact search is queries times rows of work.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +24,9 @@ from pyspark.sql import functions as F
 
 from lodestone.session import materialize, ship_package
 
-_SLACK = 1e-6
+_SLACK = 1e-6  # far over the rounding of distances between vectors of norm 1
+_LARGEST = float(np.finfo(float).max)
+_MOST = 10**38 - 1
 
 
 class Node:
@@ -95,69 +102,73 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class MetricSearch:
-    """``pivots`` bounds the routing table, ``part`` the rows of a tree, ``block`` the queries that meet it at once."""
+    """``pivots`` and ``sample`` bound the routing table, ``part_bytes`` the vectors of a tree."""
 
-    def __init__(self, k: int = 10, pivots: int = 64, sample: int = 4096, part: int = 4096, block: int = 4096, page: int = 64):
-        self.k, self.pivots, self.sample, self.part, self.block, self.page = k, pivots, sample, part, block, page
+    def __init__(self, k: int = 10, pivots: int = 64, sample: int = 4096, part_bytes: int = 16 << 20, page: int = 64):
+        self.k, self.pivots, self.sample, self.part_bytes, self.page = k, pivots, sample, part_bytes, page
 
     def run(self, vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
         """(query_id, rank, vec_id, score): the k highest integer inner products of each query with other rows.
 
         Components become floor(scale * x). Ties go to the smaller id. Null vectors, null ids, vectors that hold
         null or non-finite components and empty ones take no part; nor do vectors whose length differs from the
-        query's. A row is its id: rows that share a query's id are not its candidates. ``is_query`` is a SQL
-        condition on vec_id; other columns are not read.
+        query's. A row is its id: rows that share a query's id are not its candidates, queries that share an id
+        are answered as one. Scores are ranked exactly, but for those of over 38 digits, which are not told apart,
+        and given where they fit 64 bits, else null; what scales beyond the largest double counts as it. ``is_query`` is a SQL condition on vec_id;
+        other columns are not read.
         """
-        ship_package(vectors.sparkSession)
+        spark, k, page, part_bytes = vectors.sparkSession, self.k, self.page, self.part_bytes
+        ship_package(spark)
         e = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
         # null wins over non-finite in forall, so nulls are turned into NaN first
         fine = F.forall("x", lambda c: F.coalesce(F.abs(F.coalesce(c, F.lit(float("nan")))) < float("inf"), F.lit(False)))
-        e = e.where("vec_id is not null and x is not null and size(x) > 0").where(fine)
-        e = materialize(e.select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("x")))
-        sizes = [r["n"] for r in e.select(F.size("x").alias("n")).distinct().limit(64).collect()]
-        out = None
-        for n in sizes or [0]:
-            found = self._of_one_size(e.where(F.size("x") == n), is_query)
-            out = found if out is None else out.unionByName(found)
-        return out
-
-    def _of_one_size(self, e: DataFrame, is_query: str) -> DataFrame:
-        k, part, block, page = self.k, self.part, self.block, self.page
-        spark = e.sparkSession
-        norm = F.aggregate("x", F.lit(0).cast("bigint"), lambda a, c: a + c * c)
-        top = float(e.agg(F.max(norm)).first()[0] or 0)
-        rows = e.orderBy(F.xxhash64("vec_id", "x")).limit(self.sample).toArrow()  # of bounded size
-        ids, sample = rows.column("vec_id").to_numpy(), _matrix(rows.column("x").combine_chunks())
-        pivots = _far_apart(_lifted(sample, top), self.pivots) if len(sample) else np.zeros((1, 1))
-        dealt = materialize(e.mapInArrow(lambda it: _deal(it, pivots, top), "vec_id long, x array<long>, pivot int, away double"))
-        balls = {r["pivot"]: (r["n"], r["radius"]) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # a row a pivot
-        queries = dealt.where(is_query)
-        load = {r["pivot"]: r["n"] for r in queries.groupBy("pivot").count().withColumnRenamed("count", "n").collect()}
-        parts = {p: -(-n // part) for p, (n, _) in balls.items()}
-        blocks = max(1, -(-sum(load.values()) // block))
-
-        routed = queries.mapInArrow(lambda it: _route(it, pivots, top, balls, ids, sample, k), "query_id long, q array<long>, pivot int, least double")
-        number = F.create_map(*[F.lit(v) for p in sorted(parts) for v in (p, parts[p])]) if parts else F.create_map(F.lit(0), F.lit(1))
-        n = F.element_at(number, F.col("pivot"))
-        spread = routed.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-        trees = dealt.select("vec_id", "x", "pivot", F.pmod(F.xxhash64("vec_id", "x"), n).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        key = ["pivot", "part", "block"]
-        hits = trees.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(lambda a, b: _search(a, b, top, k, page), "query_id long, vec_id long, score long")
+        e = materialize(e.where("vec_id is not null and x is not null and size(x) > 0").where(fine))
+        at_most = lambda c: F.least(F.abs(c) * scale, F.lit(_LARGEST / 2)) + 1
+        high = e.agg(F.max(F.array_max(F.transform("x", at_most)))).first()[0] or 1.0
+        norm = F.aggregate(F.transform("x", lambda c: at_most(c) / high), F.lit(0.0), lambda s, c: s + c * c)
+        unit = 1 / (high * float(np.sqrt(e.agg(F.max(norm)).first()[0] or 1.0)))  # no scaled norm is over 1
+
+        rows = e.orderBy(F.xxhash64("vec_id", "x")).limit(self.sample).toArrow().combine_chunks()  # of bounded size
+        routes = _routes(rows, scale, unit, self.pivots)
+        schema = "vec_id long, x array<double>, dim int, pivot int, away double"
+        dealt = materialize(e.mapInArrow(lambda it: _deal(it, routes, scale, unit), schema))
+        parts = F.ceil(F.count("*") * F.col("dim") * 8 / part_bytes).cast("int")
+        counts = materialize(dealt.groupBy("dim", "pivot").agg(parts.alias("parts"), F.max("away").alias("radius")))
+        balls = {(r["dim"], r["pivot"]): r["radius"] for r in counts.where("pivot >= 0").collect()}  # a row a pivot of the routing table
+        n_parts = counts.agg(F.sum("parts")).first()[0] or 1
+
+        routed = dealt.where(is_query).mapInArrow(lambda it: _route(it, routes, balls, scale, unit, k), "id long, x array<double>, dim int, pivot int, least double")
+        routed = routed.join(counts, ["dim", "pivot"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        trees = dealt.withColumn("row", F.monotonically_increasing_id()).join(counts, ["dim", "pivot"])
+        trees = trees.select(F.col("vec_id").alias("id"), "x", "dim", "pivot", F.lit(None).cast("double").alias("least"), F.pmod("row", "parts").cast("int").alias("part"), F.lit(0).alias("kind"))
+        both = trees.unionByName(routed.select("id", "x", "dim", "pivot", "least", "part", F.lit(1).alias("kind")))
+        tasks = min(n_parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+        key = ["dim", "pivot", "part"]
+        both = both.repartition(int(tasks), *key).sortWithinPartitions(*key, "kind")
+        hits = both.mapInArrow(lambda it: _search(it, scale, unit, k, page), "query_id long, vec_id long, score decimal(38,0)")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return best.select("query_id", "rank", "vec_id", F.col("score").try_cast("bigint").alias("score"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
+def _by_length(lists: pa.Array, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each length, the rows that have it, and a matrix of their whole components."""
+    size = lists.value_lengths().to_numpy()
+    flat, first = lists.flatten().to_numpy(), np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        flat = np.floor(np.clip(flat * float(scale), -_LARGEST, _LARGEST))
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        yield int(n), rows, flat[first[rows][:, None] + np.arange(n)]
 
 
-def _lifted(x: np.ndarray, top: float) -> np.ndarray:
-    x = x.astype(float)
-    return np.hstack((x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]))
+def _lifted(x: np.ndarray, unit: float) -> np.ndarray:
+    x = x * unit
+    return np.hstack((x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))[:, None]))
 
 
-def _query(x: np.ndarray) -> np.ndarray:
-    return np.hstack((x.astype(float), np.zeros((len(x), 1))))
+def _query(x: np.ndarray, unit: float) -> np.ndarray:
+    return np.hstack((x * unit, np.zeros((len(x), 1))))
 
 
 def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
@@ -170,58 +181,133 @@ def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def _deal(it: Iterator[pa.RecordBatch], pivots: np.ndarray, top: float) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        x = _lifted(_matrix(batch.column("x")), top)
-        p = _nearest(x, pivots)
-        away = np.sqrt(((x - pivots[p]) ** 2).sum(1))
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(p, pa.int32()), pa.array(away)], ["vec_id", "x", "pivot", "away"])
+def _routes(rows: pa.Table, scale: int, unit: float, pivots: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length in the sample: its ids, its vectors and its pivots."""
+    out = {}
+    if rows.num_rows:
+        ids = rows.column("vec_id").to_numpy()
+        for n, at, x in _by_length(rows.column("x").combine_chunks(), scale):
+            lifted = _lifted(x, unit)
+            out[n] = ids[at], lifted, _far_apart(lifted, pivots)
+    return out
 
 
-def _route(it: Iterator[pa.RecordBatch], pivots: np.ndarray, top: float, balls: dict, ids: np.ndarray, sample: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Each query with the pivots that may hold one of its k best; least is its k-th score in the sample."""
-    numbers = np.array(sorted(balls))
-    radius = np.array([balls[p][1] for p in numbers])
+def _deal(it: Iterator[pa.RecordBatch], routes: dict, scale: int, unit: float) -> Iterator[pa.RecordBatch]:
+    """Each row with its nearest pivot, -1 where the sample has none of its length."""
+    for batch in it:
+        dim, pivot, away = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+        for n, at, x in _by_length(batch.column("x"), scale):
+            dim[at] = n
+            if n in routes:
+                x, pivots = _lifted(x, unit), routes[n][2]
+                pivot[at] = _nearest(x, pivots)
+                away[at] = np.sqrt(((x - pivots[pivot[at]]) ** 2).sum(1))
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(dim), pa.array(pivot), pa.array(away)], ["vec_id", "x", "dim", "pivot", "away"])
+
+
+def _route(it: Iterator[pa.RecordBatch], routes: dict, balls: dict, scale: int, unit: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query with the pivots that may hold one of its k best; least is its k-th (scaled) score in the sample."""
     for batch in it:
-        x = _matrix(batch.column("x"))
         own = batch.column("vec_id").to_numpy()
-        scores = (x.astype(float) @ sample.T.astype(float)) if len(x) else np.zeros((0, len(sample)))
-        scores[own[:, None] == ids[None]] = -np.inf
-        least = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] > k else np.full(len(x), -np.inf)
-        q = _query(x)
-        reach = np.sqrt(np.maximum((q * q).sum(1) + top - 2 * least, 0)) * (1 + _SLACK) + _SLACK
-        away = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (pivots[numbers] ** 2).sum(1)[None] - 2 * q @ pivots[numbers].T, 0))
-        at, to = np.nonzero(away - radius[None] <= reach[:, None] + _SLACK * (1 + away))
-        rows = pa.array(at)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), batch.column("x").take(rows), pa.array(numbers[to], pa.int32()), pa.array(least[at])], ["query_id", "q", "pivot", "least"])
-
-
-def _search(table: pa.Table, asked: pa.Table, top: float, k: int, page: int) -> pa.Table:
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if table.num_rows and asked.num_rows:
-        ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("x").combine_chunks())
-        tree = MTree(_lifted(x, top), page)
-        queries = _matrix(asked.column("q").combine_chunks())
-        for own, q, least in zip(asked.column("query_id").to_numpy(), queries, asked.column("least").to_numpy(), strict=True):
-            own_ids, own_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            norm = float((q * q).sum())
-            limit = least
-
-            def best(rows: np.ndarray, own=own, q=q, norm=norm) -> float:
-                nonlocal own_ids, own_scores, limit
-                rows = rows[ids[rows] != own]
-                a, s = np.append(own_ids, ids[rows]), np.append(own_scores, x[rows] @ q)
-                order = np.lexsort((a, -s))[:k]
-                own_ids, own_scores = a[order], s[order]
-                if len(own_ids) == k:
-                    limit = max(limit, float(own_scores[-1]))
-                return _reach(norm, top, limit)
-
-            tree.search(_query(q[None])[0], _reach(norm, top, limit), best)
-            out.append((np.full(len(own_ids), own), own_ids, own_scores))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
-
-
-def _reach(norm: float, top: float, limit: float) -> float:
-    return float(np.sqrt(max(norm + top - 2 * limit, 0))) * (1 + _SLACK) + _SLACK if limit > -np.inf else float("inf")
+        for n, at, x in _by_length(batch.column("x"), scale):
+            if n in routes:
+                ids, sample, pivots = routes[n]
+                numbers = np.array(sorted(p for d, p in balls if d == n))
+                radius = np.array([balls[n, p] for p in numbers])
+                q = _query(x, unit)
+                scores = q @ sample.T
+                scores[own[at][:, None] == ids[None]] = -np.inf
+                least = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] > k else np.full(len(x), -np.inf)
+                norm = (q * q).sum(1)
+                reach = np.array([_reach(a, b) for a, b in zip(norm, least, strict=True)])
+                away = np.sqrt(np.maximum(norm[:, None] + (pivots[numbers] ** 2).sum(1)[None] - 2 * q @ pivots[numbers].T, 0))
+                row, to = np.nonzero(away - radius[None] <= reach[:, None] + _SLACK)
+                pivot, least = numbers[to], least[row]
+            else:
+                row, pivot, least = np.arange(len(at)), np.full(len(at), -1), np.full(len(at), -np.inf)
+            take = pa.array(at[row])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id").take(take), batch.column("x").take(take), pa.array(np.full(len(row), n), pa.int32()), pa.array(pivot, pa.int32()), pa.array(least)],
+                ["id", "x", "dim", "pivot", "least"],
+            )
+
+
+class _Part:
+    """The vectors of one part in a tree, with their ids."""
+
+    def __init__(self, held: list[pa.RecordBatch], scale: int, unit: float, page: int):
+        self.ids = np.concatenate([b.column("id").to_numpy() for b in held])
+        self.x = np.concatenate([next(_by_length(b.column("x"), scale))[2] for b in held])
+        self.tree = MTree(_lifted(self.x, unit), page)
+        self.high = float(np.abs(self.x).max())
+        self.scale, self.unit = scale, unit
+
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact inner products: in doubles or 64 bits where no sum can leave them, else in Python's integers."""
+        most = len(q) * max(self.high, 1.0) * max(float(np.abs(q).max()), 1.0)
+        if most < 2**53:
+            return (self.x[rows] @ q).astype(np.int64)
+        if most < 2**62:
+            return self.x[rows].astype(np.int64) @ q.astype(np.int64)
+        whole = [int(c) for c in q]
+        return np.array([sum(int(a) * b for a, b in zip(x, whole, strict=True)) for x in self.x[rows]], object)
+
+    def best(self, own: int, q: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows that are not the query's own, of those over ``least``."""
+        asked = _query(q[None], self.unit)[0]
+        norm, limit = float(asked @ asked), least
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def meet(rows: np.ndarray) -> float:
+            nonlocal ids, scores, limit
+            rows = rows[self.ids[rows] != own]
+            a, s = np.append(ids, self.ids[rows]), np.append(scores, self.scores(rows, q))
+            order = np.lexsort((a, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda i: (-s[i], a[i])), np.int64)
+            ids, scores = a[order[:k]], s[order[:k]]
+            if len(rows) and len(ids) == k:
+                near = np.sort(np.append(held, self.tree.x[rows] @ asked))[-k:]
+                held[:] = near
+                limit = max(limit, float(near[0]))
+            elif len(rows):
+                held.extend((self.tree.x[rows] @ asked).tolist())
+            return _reach(norm, limit)
+
+        held: list[float] = []  # scaled scores of the best so far
+        self.tree.search(asked, _reach(norm, limit), meet)
+        return ids, scores
+
+
+def _search(it: Iterator[pa.RecordBatch], scale: int, unit: float, k: int, page: int) -> Iterator[pa.RecordBatch]:
+    """Answers of each part: its vectors come first, then queries, which meet one tree batch by batch."""
+    key, held, part = None, [], None
+    for batch in it:
+        marks = np.stack([batch.column(c).to_numpy() for c in ("dim", "pivot", "part", "kind")])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            run = batch.slice(a, b - a)
+            *own, kind = marks[:, a].tolist()
+            if own != key:
+                key, held, part = own, [], None
+            if not kind:
+                held.append(run)
+            elif held:
+                part = part or _Part(held, scale, unit, page)
+                queries = next(_by_length(run.column("x"), scale))[2]
+                found = [(i, *part.best(i, q, least, k)) for i, q, least in zip(run.column("id").to_pylist(), queries, run.column("least").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([i for i, *_ in found], [len(x) for _, x, _ in found]), pa.int64()), pa.array(np.concatenate([x for _, x, _ in found]), pa.int64()), pa.concat_arrays([_decimals(s) for *_, s in found])],
+                    ["query_id", "vec_id", "score"],
+                )
+
+
+def _decimals(scores: np.ndarray) -> pa.Array:
+    kind = pa.decimal128(38, 0)
+    if scores.dtype != object:
+        return pa.array(scores, pa.int64()).cast(kind)
+    return pa.array([Decimal(min(max(int(s), -_MOST), _MOST)) for s in scores], kind)
+
+
+def _reach(norm: float, limit: float) -> float:
+    return float(np.sqrt(max(norm + 1 - 2 * limit, 0))) * (1 + _SLACK) + _SLACK if limit > -np.inf else float("inf")

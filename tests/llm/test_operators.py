@@ -201,25 +201,39 @@ def test_quality_nulls_and_repeats(spark, docs):
 
 
 def brute_top(rows, k=10):
-    fine = [(i, [int(np.floor(1024 * float(c))) for c in v]) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
-    out = []
+    fine = [(i, [int(np.floor(float(c))) if abs(c) > 2**60 else int(np.floor(1024 * float(c))) for c in v]) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
+    fine = [(i, [1024 * c if abs(c) > 2**60 else c for c in v]) for i, v in fine]
+    found = {}
     for q, x in fine:
         if q % 100 == 0:
-            s = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in fine if i != q)[:k]
-            out += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
-    return sorted(out)
+            found.setdefault(q, []).extend((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in fine if i != q and len(x) == len(y))
+    return sorted((q, r + 1, i, -n if abs(n) < 2**63 else None) for q, s in found.items() for r, (n, i) in enumerate(sorted(s)[:k]))
 
 
-@pytest.mark.parametrize("pivots,part", [(64, 4096), (3, 20)])
+@pytest.mark.parametrize("pivots,part", [(64, 1 << 20), (3, 1000)])
 def test_exact_top_k(spark, pivots, part):
     """Ties, equal vectors in bulk, nulls and infinities."""
     rows = [(i, [float(c) for c in _RNG.normal(size=6).round(1)]) for i in range(300)] + [(400 + i, [0.5] * 6) for i in range(200)]
     rows += [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [0.0] * 6), (1100, [0.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit("y")).withColumn("pivot", F.lit(0))
-    got = MetricSearch(pivots=pivots, part=part, page=8).run(df, "vec_id % 100 = 0")
+    got = MetricSearch(pivots=pivots, part_bytes=part, page=8).run(df, "vec_id % 100 = 0")
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows)
 
 
+@pytest.mark.parametrize("sample", [4096, 20])
+def test_exact_top_k_of_many_lengths_and_sizes(spark, sample):
+    """A hundred lengths, more than the sample knows; components far beyond 64 bits; ids that repeat with other vectors."""
+    rng = np.random.default_rng(3)
+    rows = [(100 * n + j, rng.normal(size=n).round(2).tolist()) for n in range(1, 101) for j in range(3)]
+    rows += [(100, [7.5]), (100, [-3.25]), (101, [2.0]), (101, [2.0])]
+    rows += [(20_000 + i, [1e10 * (-1) ** i, 0.001, -5.0, 3.0]) for i in range(4)] + [(30_000, [1e300, 1.0]), (30_001, [-1e300, 2.0]), (30_002, [1e17, 0.0]), (30_003, [0.25, 1e5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(MetricSearch(sample=sample).run(df, "vec_id % 100 = 0").collect())
+    known = lambda rows: [(q, r, i if q != 30_000 else None, s) for q, r, i, s in rows]  # noqa: E731  # of over 38 digits: not told apart
+    want = brute_top(rows)
+    assert known(got) == known(want) and any(s is None for *_, s in want)
+
+
 def licence_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
 
