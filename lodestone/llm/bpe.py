@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from lodestone.llm.textops import pieces, span_hashes, text_buffer
+from lodestone.llm.textops import PIECE_BYTES, pieces, span_hashes, text_buffer
 from lodestone.session import discard, materialize, ship_package
 
 LONG_WORD = 256
@@ -129,8 +129,9 @@ class RankMap:
     def _slot(self, key, which: int):
         """Of a pair's key, in Python or as a column."""
         mult = (40503, 2654435)[which]
-        a, b = (F.shiftright(key, 20), key.bitwiseAND(0xFFFFF)) if isinstance(key, Column) else (key >> 20, key & 0xFFFFF)
-        return (a * (mult * 31 + 7) + b * mult) % self.size
+        if isinstance(key, Column):
+            return (F.shiftright(key, 20) * (mult * 31 + 7) + key.bitwiseAND(0xFFFFF) * mult).bitwiseAND(self.size - 1)
+        return ((key >> 20) * (mult * 31 + 7) + (key & 0xFFFFF) * mult) & self.size - 1
 
     def literal(self, spark: SparkSession) -> Column:
         """The map as one value of a query: a scalar subquery, so that plans name it without printing it."""
@@ -230,17 +231,14 @@ class WordTable:
                 yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()]) for k, v in columns.items()})
 
     @classmethod
-    def unpacked(cls, rows: list[tuple[bytes, ...]]) -> WordTable:
+    def unpacked(cls, rows: list[tuple[bytes, ...]], ranks: dict[bytes, int]) -> WordTable:
+        """The packed words, and every token as a word of its own."""
         hash_, length, ids, count = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<u8", "<u2", "<i4", "<u2")))
-        return cls(hash_, length.astype(np.int64), ids, count.astype(np.int64))
-
-    @classmethod
-    def of(cls, words: list[bytes], ids: list[list[int]]) -> WordTable:
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(length)
-        h = span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - length, ends) if words else np.zeros(0, np.uint64)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        return cls(h, length, np.fromiter((i for x in ids for i in x), np.int32), count)
+        size = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        ends = np.cumsum(size)
+        own = span_hashes(np.frombuffer(b"".join(ranks), np.uint8), ends - size, ends)
+        ids = np.concatenate((ids, np.fromiter(ranks.values(), np.int32, len(ranks))))
+        return cls(np.concatenate((hash_, own)), np.concatenate((length, size)), ids, np.concatenate((count, np.ones(len(ranks), np.int64))))
 
     def find(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Position of each word in the table, -1 where it lacks it."""
@@ -297,6 +295,17 @@ class BytePairEncoding:
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, ids array<int>) for each row of ``docs``. Null and empty texts have no ids; other columns are not read."""
+        filled, kind = self._folded(docs, id_col, text)
+        return filled.mapInArrow(_fill, f"doc_id {kind}, ids array<int>")
+
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+        """``decode`` of ``encode``, (doc_id, ids, bytes), with one Python worker less a task."""
+        filled, kind = self._folded(docs, id_col, text)
+        tokens = docs.sparkSession.sparkContext.broadcast(_token_bytes(self.ranks))
+        return filled.mapInArrow(lambda it: _concatenated(_fill(it), tokens, "ids", "bytes"), f"doc_id {kind}, ids array<int>, bytes binary")
+
+    def _folded(self, docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
+        """(doc_id, sequence, holes) with the ids of the words that each document folds for itself, and doc_id's type."""
         spark = docs.sparkSession
         ship_package(spark)
         table = RankMap(self.ranks)
@@ -306,14 +315,14 @@ class BytePairEncoding:
         kind = d.schema["doc_id"].dataType.simpleString()
         seen = d.mapInArrow(lambda it: _look_up(it, known, tokens), f"doc_id {kind}, sequence array<int>, holes array<array<int>>")
         filled = seen.withColumn("ranks", table.literal(spark)).withColumn("holes", _let(F.col("ranks"), lambda t: F.transform("holes", lambda w: table.fold(w, t))))
-        return filled.drop("ranks").mapInArrow(_fill, f"doc_id {kind}, ids array<int>")
+        return filled.drop("ranks"), kind
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
         """``encoded`` with the bytes of its token ids, one binary piece after another. Null: no bytes. An id that is no token raises."""
         ship_package(encoded.sparkSession)
-        by_id = encoded.sparkSession.sparkContext.broadcast({r: t for t, r in self.ranks.items()})
+        tokens = encoded.sparkSession.sparkContext.broadcast(_token_bytes(self.ranks))
         schema = StructType([f for f in encoded.schema if f.name != out]).add(out, BinaryType())
-        return encoded.select(*[c for c in encoded.columns if c != out]).mapInArrow(lambda it: _concatenated(it, by_id, ids, out), schema)
+        return encoded.select(*[c for c in encoded.columns if c != out]).mapInArrow(lambda it: _concatenated(it, tokens, ids, out), schema)
 
 
 def _spans(piece: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, ...]:
@@ -380,17 +389,17 @@ def _as_bytes(it: Iterator[pa.RecordBatch], tokens: Broadcast) -> Iterator[pa.Re
 _HELD: dict = {}
 
 
-def _table_of(known: Broadcast) -> WordTable:
+def _table_of(known: Broadcast, tokens: Broadcast) -> WordTable:
     """The table of a broadcast, built once in each Python worker."""
     if _HELD.get("of") is not known.value:
         _HELD.clear()
-        _HELD.update(of=known.value, table=WordTable.unpacked(known.value))
+        _HELD.update(of=known.value, table=WordTable.unpacked(known.value, tokens.value))
     return _HELD["table"]
 
 
 def _look_up(it: Iterator[pa.RecordBatch], known: Broadcast, tokens: Broadcast) -> Iterator[pa.RecordBatch]:
     """Ids of known words in order; a word that is not known stands as -1 - its number in the document's list of them."""
-    table, ranks = _table_of(known), tokens.value
+    table, ranks = _table_of(known, tokens), tokens.value
     for piece in pieces(it, "text"):
         data, begin, end, first = _spans(piece)
         h, length = span_hashes(data, begin, end), end - begin
@@ -405,12 +414,10 @@ def _look_up(it: Iterator[pa.RecordBatch], known: Broadcast, tokens: Broadcast)
         number = np.cumsum(new) - 1
         words = _slices(data, begin[l[new]], end[l[new]])
         own = d[new]
-        single = np.fromiter((ranks.get(w, -1) for w in words), np.int64, len(words))  # tokens as they are
-        long = {i: merge_by_heap(words[i], ranks) for i in np.flatnonzero((single < 0) & (length[l[new]] > LONG_WORD)).tolist()}
-        hole = single < 0
-        hole[list(long)] = False
+        long = {i: merge_by_heap(words[i], ranks) for i in np.flatnonzero(length[l[new]] > LONG_WORD).tolist()}
+        hole = length[l[new]] <= LONG_WORD
         base = np.searchsorted(own[hole], np.arange(piece.num_rows))
-        mark = np.where(hole, -1 - (np.cumsum(hole) - 1 - base[own]), single) if len(own) else np.zeros(0, np.int64)
+        mark = -1 - (np.cumsum(hole) - 1 - base[own])
         count = np.ones(len(begin), np.int64)
         hit = at >= 0
         count[hit] = table.first[at[hit] + 1] - table.first[at[hit]]
@@ -432,7 +439,7 @@ def _look_up(it: Iterator[pa.RecordBatch], known: Broadcast, tokens: Broadcast)
 
 def _fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Puts the ids of folded words where ``_look_up`` marked them."""
-    for batch in it:
+    for batch in pieces(it, "sequence"):
         rows, words = batch.column("sequence"), batch.column("holes")
         sequence, inner = rows.flatten().to_numpy(), words.flatten()
         base = np.cumsum(words.value_lengths().to_numpy()) - words.value_lengths().to_numpy()
@@ -451,11 +458,25 @@ def _fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(to[off], pa.int32()), pa.array(out))], ["doc_id", "ids"])
 
 
-def _concatenated(it: Iterator[pa.RecordBatch], by_id: Broadcast, ids: str, out: str) -> Iterator[pa.RecordBatch]:
-    token = by_id.value.__getitem__
-    for batch in it:
+def _token_bytes(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
+    """The bytes of all tokens by id, and how many each has; -1 for an id that is no token."""
+    by_id = {r: t for t, r in ranks.items()}
+    most = max(by_id) + 1
+    return b"".join(by_id.get(i, b"") for i in range(most)), np.array([len(by_id[i]) if i in by_id else -1 for i in range(most)])
+
+
+def _concatenated(it: Iterator[pa.RecordBatch], tokens: Broadcast, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    data, size = np.frombuffer(tokens.value[0], np.uint8), tokens.value[1]
+    start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+    for batch in pieces(it, ids):
         column = batch.column(ids)
-        off = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())))
-        parts = list(map(token, column.flatten().to_pylist()))
-        whole = pa.array([b"".join(parts[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, whole], [*batch.schema.names, out])
+        i = column.flatten().to_numpy(zero_copy_only=False)
+        bad = (i < 0) | (i >= len(size)) | (size[np.clip(i, 0, len(size) - 1)] < 0) if i.dtype.kind in "iu" else np.ones(len(i), bool)
+        if bad.any():
+            raise ValueError(f"an id is no token: {i[bad][0]}")
+        n = size[i]
+        to = np.concatenate(([0], np.cumsum(n)))
+        whole = [data[np.repeat(start[i[a : a + PIECE_BYTES]] - to[:-1][a : a + PIECE_BYTES] + to[a], n[a : a + PIECE_BYTES]) + np.arange(to[min(a + PIECE_BYTES, len(i))] - to[a])] for a in range(0, len(i), PIECE_BYTES)]
+        row = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())))
+        binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(to[row].astype(np.int32).tobytes()), pa.py_buffer(np.concatenate(whole or [data[:0]]).tobytes())])
+        yield pa.RecordBatch.from_arrays([*batch.columns, binary], [*batch.schema.names, out])

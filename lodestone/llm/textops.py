@@ -26,9 +26,11 @@ LOWER[65:91] += 32
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes in ``column``, or one row."""
+    """Slices of the batches with at most ``limit`` bytes (of a list: values) in ``column``, or one row."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        x = batch.column(column)
+        length = pc.list_value_length(x) if pa.types.is_list(x.type) else pc.binary_length(x)
+        ends = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

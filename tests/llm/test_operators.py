@@ -334,6 +334,7 @@ def test_bpe_of_long_and_regular_words(spark, encoding):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for cache in (0, 500_000):
         bpe = BytePairEncoding(Q.tokenizer_path(), cache_words=cache)
+        assert sorted(bpe.round_trip(df).collect()) == sorted(bpe.decode(bpe.encode(df)).collect())
         for r in bpe.decode(bpe.encode(df)).collect():
             text = bytes(r["bytes"]).decode()
             assert (r["doc_id"], text) in rows and list(r["ids"]) == encoding.encode_ordinary(text)
