@@ -22,8 +22,9 @@ from lodestone.llm.textops import mix, pieces, text_buffer, window_hashes, windo
 from lodestone.session import ship_package
 
 _SECOND = 0xA24BAED4963EE407
-_ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("tag", "u1"), ("pos", "<u4")])
-_FLAG = np.dtype([("doc", "<i8"), ("tag", "u1"), ("pos", "<u4")])
+#: A row is known by its id and its tag, a hash of the text; the tag shrinks to nothing where no id has two texts.
+_FLAG = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("pos", "<u4")])
+_ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), *_FLAG.descr])
 _PAYLOAD = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
@@ -65,9 +66,11 @@ class SubstringDedup:
         """
         ship_package(docs.sparkSession)
         spark = docs.sparkSession
-        tag = F.xxhash64("text").bitwiseAND(0xFF).cast("int")
-        d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", tag)
-        size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+        d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        tag = F.xxhash64("text")
+        by_id = d.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("b"), (F.min(tag) < F.max(tag)).alias("unlike"))
+        size, unlike = by_id.agg(F.coalesce(F.sum("b"), F.lit(0)), F.bool_or(F.col("unlike") & F.col("doc_id").isNotNull())).first()
+        d = d.withColumn("tag", tag if unlike else F.lit(0).cast("long"))
         cells = self.cells_log2 or max(16, min(self.max_cells_log2, int(np.ceil(np.log2(max(size / 6.5, 1)))) + 2))
         blocks_log2 = max(0, cells - 22)
         known = d.where("doc_id is not null")
@@ -163,9 +166,10 @@ def _payload(bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
 
 def _pack_flags(flags: np.ndarray) -> bytes:
     """Sorted, as differences: documents and positions that follow one another shrink to little."""
-    flags = flags[np.lexsort((flags["pos"], flags["doc"]))]
+    flags = flags[np.lexsort((flags["pos"], flags["tag"], flags["doc"]))]
     out = np.empty(len(flags), _FLAG)
-    out["doc"], out["tag"], out["pos"] = np.diff(flags["doc"], prepend=0), np.diff(flags["tag"], prepend=np.uint8(0)), np.diff(flags["pos"], prepend=np.uint32(0))
+    for name in _FLAG.names:
+        out[name] = np.diff(flags[name], prepend=flags[name].dtype.type(0))
     return _pack(out)
 
 

@@ -94,6 +94,17 @@ def test_substring_dedup(docs, cells):
     assert sorted(map(repr, got)) == sorted(map(repr, brute_substring(fixture_texts())))
 
 
+def test_substring_dedup_of_unlike_texts_under_one_id(spark):
+    """Texts of many lengths share ids; some words fool polynomial hashes."""
+    a, b = thue_morse(10)
+    rng = np.random.default_rng(2)
+    shared = prose(30, 500, rng)
+    rows = [(i % 3, prose(int(rng.integers(1, 60)), 500, rng) + " " + (shared if i % 2 else "")) for i in range(600)]
+    rows += [(10, " ".join([a] * 6 + [b] * 20)), (11, " ".join([b] * 6 + [a] * 20)), (11, " ".join([b] * 13))]
+    got = [tuple(r) for r in SubstringDedup().run(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_substring(rows)))
+
+
 def test_empty_tables(spark, docs, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
