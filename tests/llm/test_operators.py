@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import queries as Q
 from lodestone.llm.bpe import BytePairEncoding, read_ranks
 from lodestone.llm.components import connected_components
-from lodestone.llm.decontamination import Decontamination
+from lodestone.llm.decontamination import Decontamination, tile
 from lodestone.llm.licenses import BASE, scan_licenses
 from lodestone.llm.metric_search import MetricSearch
 from lodestone.llm.near_dedup import NearDedup
@@ -421,6 +421,22 @@ def brute_tiles(text, item, least):
         covered, n = covered + k, n + 1
 
 
+@pytest.mark.parametrize("words", [2, 4, 30])
+def test_tiles_of_repetitive_texts(words):
+    """As by comparing every pair of places, for texts that repeat themselves, with gaps between the words looked at."""
+    rng = np.random.default_rng(words)
+    for _ in range(40):
+        text, item = (rng.integers(0, words, int(n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in rng.integers(1, 60, 2))
+        covered, n = brute_tiles(text.tolist(), item.tolist(), 3)
+        got = tile(text, np.arange(len(text)), item, 3)
+        assert (sum(k for *_, k in got), len(got)) == (covered, n)
+        assert all((text[a : a + k] == item[b : b + k]).all() for a, b, k in got)
+    a, b = thue_morse(10)
+    code = lambda t: np.array([ord(c) for c in t], np.uint64)
+    assert max(k for *_, k in tile(code(a), np.arange(1024), code(b), 5)) < 1024
+    assert tile(code("abcdef"), np.array([0, 1, 2, 7, 8, 9]), code("abcdef"), 3) == [(0, 0, 3), (7, 3, 3)]
+
+
 def test_decontamination(spark):
     """Whole, reordered and halved items; items shorter than the seed; null and repeated rows."""
     items = [(i, prose(40, 300)) for i in range(4)] + [(10, None), (11, ""), (12, "tiny Item"), (13, prose(12, 3))]
@@ -437,7 +453,7 @@ def test_decontamination(spark):
                 covered, n = brute_tiles(text, item, min(5, len(item)))
                 if covered / len(item) >= 0.5:
                     want.add((d, i, round(covered / len(item), 9), n))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("seeds", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("seeds", F.lit(1)).withColumns({c: F.lit(2) for c in ("_id", "_tag", "id", "Tag")})
     it = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], round(r["coverage"], 9), r["n_tiles"]) for r in Decontamination().run(df, it).collect()}
     assert got == want and {(1, 0), (2, 0), (7, 12), (9, 1), (9, 2), (None, 3)} <= {g[:2] for g in got}
