@@ -13,14 +13,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-#: Named values of 6 characters or more, runs of 16 or more with a digit, private key blocks.
-CANDIDATE = rf"{_NAMED}[^\s\"',;]{{6,}}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}+|-----BEGIN [A-Z ]{{0,24}}PRIVATE KEY-----"
-#: Words of placeholders and identifiers that are no secrets.
-DICTIONARY = [
-    "example", "sample", "dummy", "test", "your", "here", "change", "changeme", "placeholder", "password", "secret", "token", "insert", "replace", "default", "redacted",
-    "null", "none", "undefined", "value", "string", "version", "release", "build", "image", "chapter", "section", "figure", "table", "page", "article", "index", "file", "path", "user", "name", "config", "local", "host", "data", "demo",
-]
+from lodestone.llm.textops import free_name
+
+_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?|auth)[\"']?[ \t]*+[=:][ \t]*+[\"']?"
+_IN_URL = r"://[^\s/:@\"']{1,64}+:"  # a user before the password
+_KEY = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+#: Private key blocks, passwords in urls, named values of 6 characters or more, runs of 16 or more with a digit.
+CANDIDATE = rf"{_KEY}|{_IN_URL}[^\s/@\"']{{6,128}}+(?=@)|{_NAMED}[^\s\"',;]{{6,}}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}+"
+#: Words of placeholders, identifiers and plain prose, which secrets are not made of.
+DICTIONARY = (
+    "about above access account action active address admin after alpha always another answer api app application archive area array article asset async attribute author back base before below beta between body book bool "
+    "boolean branch browser buffer build button cache call case change changeme channel chapter char check class clean client close cloud code collection color column command comment common company component config connect console "
+    "container content context control copy core count country create current custom data database date debug default delete demo deploy description design detail device dev dictionary directory display document domain download draft driver dummy edit element "
+    "email empty engine entry error event example export false feature field figure file filter final first folder font form format frame function global group guide handler header height hello help here home host html http image import "
+    "index info input insert install int item job json key label language last layout left level library line link list local log login long main manager map master media member menu message method model module month name network new none null number "
+    "object option order output package page param parent password path pattern payload pending person phone placeholder plugin point policy port post prefix preview private process product profile project property public query random read record redacted "
+    "region release remove replace report request required reset resource response result return right role root route row sample schema screen script search secret section select server service session set setting sheet short simple site size source "
+    "staging start state static status step store stream string style system table tag target task team template test text theme thread time title token tool total track true type undefined update upload url user utils value variable version video view "
+    "web welcome widget width window word work world write year your"
+).split()
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "hex", "distinct", "changes", "vowels", "longest_letters", "dictionary", "known", "named", "assigned", "quoted", "path", "digest_word", "secret_word", "dashes"]
 _DIGEST = r"(?i)\b(?:commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|guid|rev|revision|etag|build|version|isbn|doi|order|invoice|id|session)\b[^A-Za-z0-9]{0,4}$"
 _SECRET = r"(?i)(?:passw|pwd|secret|token|key|credential|auth|bearer)[^\s]*[^A-Za-z0-9]{0,6}$"
@@ -47,7 +58,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "longest_letters": F.coalesce(F.array_max(F.transform(F.split(v, "[^A-Za-z]+"), lambda w: F.length(w))), F.lit(0)) / n,
         "dictionary": 1 - F.length(words) / n,
         "known": is_(v.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}|^xox[abprs]-|^eyJ[A-Za-z0-9_-]{10,}|^sk[-_][A-Za-z0-9]{16,}|^-----BEGIN")),
-        "named": is_(before.rlike(_NAMED + "$")),
+        "named": is_(before.rlike(f"(?:{_NAMED}|{_IN_URL})$")),
         "assigned": is_(before.rlike(r"[=:]\s{0,3}[\"']?$")),
         "quoted": is_(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "path": is_(before.rlike(r"(?:[/\\]|://\S*|\.)$") | after.rlike(r"^[./\\][A-Za-z0-9]") | v.rlike(r"^[^/]*(?:/[A-Za-z_.-]{2,}){2,}")),
@@ -62,7 +73,7 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     """(value, before, after, label): findings as scans meet them, made by rule from hashes of their number.
 
     Label 1: keys of known form, random hexadecimal and mixed values assigned to secret names. Label 0: digests,
-    uuids, commits, numbers, versions, slugs, paths, placeholders, repeated characters. Twenty-four kinds, ``each``
+    uuids, commits, numbers, versions, slugs, paths, placeholders, repeated characters. Thirty kinds, ``each``
     of every kind.
     """
     rows = [dict(zip(("value", "before", "after", "label"), r, strict=True)) for i in range(each) for r in _made(i)]
@@ -92,6 +103,10 @@ def _made(i: int) -> list[tuple[str, str, str, float]]:
         ("-".join((u[:8], u[8:12], u[12:16], u[16:20], u[20:])), prose() + pick(["uuid ", "id: ", "session ", ""]), 0), (digits(draw.randint(16, 24)), prose(), 0), ("-".join(digits(4) for _ in range(4)), prose() + pick(["order ", "", "invoice "]), 0),
         ("-".join((word(), word(), word(), digits(3))), pick(["/", "see ", "https://host/", ""]), 0), ("/".join((word(), word(), word() + digits(2))), pick(["/", "https://", " ", "path: "]), 0), ("_".join((word(), word(), word(), digits(2))), prose(), 0),
         (pick(holders), named(), 0), (pick("x0*a") * 20 + "1", named(), 0), (pick([word() + word() + word() + digits(1), pick(code), word() + "-" + digits(1) + "-" + digits(2) + "-" + digits(8)]), prose(), 0),
+    ] + [
+        (mixed(draw.randint(8, 20)) + pick("!#$%"), prose() + pick(["postgres", "https", "amqp"]) + "://" + word() + ":", 1), (mixed(draw.randint(10, 24)), prose() + "://" + pick(["root", "admin", word()]) + ":", 1),
+        (mixed(draw.randint(12, 24)), prose() + pick(["credential: ", "auth=", "credentials = ", 'auth": "']), 1), ("-----BEGIN PRIVATE KEY-----\n" + mixed(64) + "\n" + mixed(20) + "==\n-----END PRIVATE KEY-----", prose(), 1),
+        (pick(["password", "yourpassword", "changeme", "placeholder", "secret-here"]), prose() + "://user:", 0), (pick(["required", "disabled", "undefined", word() + word(), "optional", "None,None"]), prose() + pick(["auth: ", "auth=", "credentials: ", "token: "]), 0),
     ]
     close = lambda before: before[-1:] + " " if before[-1:] in ("'", '"') else pick([" ", " and", ".", ", ", "\n", ""])
     return [(v, b, close(b), float(label)) for v, b, label in kinds]
@@ -113,16 +128,20 @@ class SecretScan:
         d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
         d = d.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).where(F.size("found") > 0)
         d = d.select("doc_id", F.xxhash64("text").alias("tag"), "found", F.split("text", CANDIDATE).alias("rest"))
-        size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-        d = d.select("doc_id", "tag", "found", "rest", F.posexplode("found").alias("i", "match"))
-        name = F.regexp_extract("match", f"^{_NAMED}", 0)
-        left = F.element_at("rest", F.col("i") + 1)
-        right = F.element_at("rest", F.col("i") + 2)
-        start = size(F.col("rest"), F.col("i") + 1) + size(F.col("found"), F.col("i")) + F.length(name)
-        return d.select(
-            "doc_id", "tag", start.alias("start"), F.substring(F.col("match"), F.length(name) + 1, F.length("match")).alias("value"),
-            F.concat(F.right(left, F.lit(c)), name).alias("before"), F.left(right, F.lit(c)).alias("after"),
-        )
+        # where each candidate stands; from here on rows hold its surroundings, not the text. Lambdas see their element
+        # alone: what else they named would be computed again for each
+        n = F.size("found")
+        near = lambda m, r: F.struct(m.alias("match"), F.length(r).alias("gap"), F.right(r, F.lit(c)).alias("left"))
+        ends = F.transform(F.slice("rest", F.lit(2), n), lambda r: F.left(r, F.lit(c)))
+        d = d.select("doc_id", "tag", F.arrays_zip(F.zip_with("found", F.slice("rest", F.lit(1), n), near).alias("near"), ends.alias("right")).alias("places"))
+        step = lambda acc, p: F.struct(F.concat(acc["out"], F.array(acc["at"] + p["near"]["gap"])).alias("out"), (acc["at"] + p["near"]["gap"] + F.length(p["near"]["match"])).alias("at"))
+        none = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+        at = F.aggregate("places", none, step, lambda acc: acc["out"])
+        d = d.select("doc_id", "tag", F.explode(F.arrays_zip("places", at.alias("at"))).alias("p"))
+        d = d.select("doc_id", "tag", "p.at", "p.places.near.match", "p.places.near.left", "p.places.right")
+        name = F.regexp_extract("match", f"^(?:{_NAMED}|{_IN_URL})", 0)
+        value = F.substring(F.col("match"), F.length(name) + 1, F.length("match"))
+        return d.select("doc_id", "tag", (F.col("at") + F.length(name)).alias("start"), value.alias("value"), F.concat("left", name).alias("before"), F.col("right").alias("after"))
 
     def run(self, docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, tag, start, value, score) of each secret; tag is xxhash64 of its text.
@@ -139,10 +158,13 @@ class SecretScan:
     def redact(self, docs: DataFrame, findings: DataFrame | None = None, mask: str = "[secret]") -> DataFrame:
         """``docs`` with each secret in ``text`` replaced; all rows and columns stay."""
         found = self.run(docs, findings)
+        own_id, own_tag, own_spans = (free_name(docs.columns, c) for c in ("id", "tag", "spans"))
         spans = found.select("doc_id", "tag", "start", F.length("value").alias("n")).distinct()
-        spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("_spans"))
-        own = F.xxhash64("text").eqNullSafe(F.col("_tag")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-        step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mask)).alias("out"), (s["start"] + s["n"]).alias("at"))
-        done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-        joined = docs.join(spans, own, "left").withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
+        spans = spans.groupBy(F.col("doc_id").alias(own_id), F.col("tag").alias(own_tag)).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias(own_spans))
+        own = F.xxhash64("text").eqNullSafe(F.col(own_tag)) & docs["doc_id"].eqNullSafe(F.col(own_id))
+        between = lambda acc, s: F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        step = lambda acc, s: F.struct(F.concat(acc["out"], F.array(between(acc, s), F.lit(mask))).alias("out"), (s["start"] + s["n"]).alias("at"))
+        last = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), "")
+        done = F.aggregate(own_spans, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")), step, last)
+        joined = docs.join(spans, own, "left").withColumn("text", F.when(F.size(own_spans) > 0, done).otherwise(F.col("text")))
         return joined.select(*docs.columns)
