@@ -42,6 +42,15 @@ def discard(df: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark's context cleaner drop the shuffles and broadcasts of plans that are gone.
+
+    It acts only after a collection in the driver, which by default is asked for every half hour; a loop of many
+    small jobs should not keep its files for as long.
+    """
+    spark._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors' Python once a session, so that functions of it can run there."""
     context = spark.sparkContext

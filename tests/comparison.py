@@ -2,6 +2,7 @@
 
 import decimal
 import math
+import os
 
 import duckdb
 
@@ -28,7 +29,8 @@ def spark_rows(df):
 def duck_rows(sql, sf_dir):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        files = f"{sf_dir}/{t}.parquet" + ("/*.parquet" if os.path.isdir(f"{sf_dir}/{t}.parquet") else "")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{files}'")
     found = con.execute(sql)
     names = [d[0] for d in found.description]
     order = sorted(range(len(names)), key=names.__getitem__)
