@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from lodestone.llm.textops import PIECE_BYTES, pieces, span_hashes, text_buffer
-from lodestone.session import discard, materialize, ship_package
+from lodestone.session import collect_garbage, discard, materialize, ship_package
 
 LONG_WORD = 256
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -291,6 +291,7 @@ class BytePairEncoding:
         chosen = encode_words(chosen, table, "bytes").select("hash", "length", F.coalesce("heap", "ids").alias("ids"))
         found = chosen.mapInArrow(WordTable.packed, "hash binary, length binary, ids binary, count binary").collect()  # of bounded size
         discard(words)
+        collect_garbage(docs.sparkSession)
         return [tuple(map(bytes, r)) for r in found]
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

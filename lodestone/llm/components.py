@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize
+from lodestone.session import collect_garbage, discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -16,8 +16,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     only a minimum (combined on the map side) meets in one task, and the join back can be split.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(e)
+    e, state = _written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -25,14 +24,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct())
-        state, before = _state(e), state
+        old, before = e, state
+        e, state = _written(small.where("u <> v").distinct())
+        discard(old)
         if state == before:
             break
+    collect_garbage(e.sparkSession)
     roots = e.groupBy("v").count().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _written(e: DataFrame) -> tuple[DataFrame, tuple[int, object]]:
+    """``e`` in the shared folder; its rows and a sum over them, observed as they were written."""
+    seen = Observation()
+    e = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    return e, (seen.get["n"], seen.get["s"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,11 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "te
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", anchors: int = 2, least_match: float = 0.75) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
-    Each template is entered in a positional index under its ``anchors`` words of highest inverse document
-    frequency in this corpus. A file's words that are anchors give, less their position in the template,
-    the places where the template may start; at such a place every key phrase must stand word for word and
-    ``least_match`` of all words must agree. A base phrase is its own key phrase and has one anchor, so each
-    of its places is found. ``places`` lists (label, start, match).
+    Each template is entered in a positional index under those ``anchors`` words of its key phrases that have
+    the highest inverse document frequency in this corpus. A file's postings of these words, less their position
+    in the template, are intersected: what is left are the places where the template may start. There every key
+    phrase must stand word for word - so no place is lost by the intersection - and ``least_match`` of all words
+    must agree. A base phrase is its own key phrase. ``places`` lists (label, start, match).
 
     Null and empty texts have no words, no labels and score 0. Repeated rows and ids are scanned one by one;
     other columns are not read.
@@ -82,15 +83,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
     index = []  # (template, anchor word, position in the template)
     for t in all_templates:
-        ranked = sorted(range(len(t.words)), key=lambda i, t=t: (-idf[t.words[i]], i))
-        index += [(t, t.words[i], i) for i in ranked[: 1 if t.base else anchors]]
+        mandatory = sorted({at + i for at, k in t.key_offsets for i in range(len(k))})
+        ranked = sorted(mandatory, key=lambda i, t=t: (-idf[t.words[i]], i))
+        index += [(t, t.words[i], i) for i in ranked[:anchors]]
     looked_up = sorted({w for _, w, _ in index})
 
     d = docs.select(F.col(id_col).alias("doc_id"), words(text).alias("words"))
     d = d.withColumn("hits", F.when(F.arrays_overlap("words", F.lit(looked_up)), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(looked_up))))
+    postings = F.transform(F.lit(looked_up), lambda w: F.transform(F.filter("hits", lambda h: h["w"] == w), lambda h: h["i"]))
+    d = d.withColumn("postings", F.when(F.size("hits") > 0, postings)).drop("hits")
     none = F.array().cast("array<struct<label:string,start:int,match:double,base:boolean>>")
-    found = [_places(t, [(w, i) for u, w, i in index if u is t], least_match) for t in all_templates]
-    d = d.withColumn("found", F.when(F.size("hits") > 0, F.concat(*found)).otherwise(none))
+    found = [_places(t, [(looked_up.index(w), i) for u, w, i in index if u is t], least_match) for t in all_templates]
+    d = d.withColumn("found", F.when(F.col("postings").isNotNull(), F.concat(*found)).otherwise(none))
     base = F.filter("found", lambda p: p["base"])
     d = d.select("doc_id", F.size("words").cast("long").alias("n_words"), "found", base.alias("base"))
     label = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
@@ -102,12 +106,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a
     )
 
 
-def _places(t: Template, anchors: list[tuple[str, int]], least_match: float) -> Column:
-    """Starts of a template in ``words``, from the anchors' hits, verified."""
-    def of(word: str, at: int) -> Column:
-        return F.transform(F.filter("hits", lambda h: h["w"] == word), lambda h: h["i"] - F.lit(at))
+def _places(t: Template, anchors: list[tuple[int, int]], least_match: float) -> Column:
+    """Starts of a template in ``words``, where the postings of all anchors (their number, their place in it) agree, verified."""
+    def of(number: int, at: int) -> Column:
+        return F.transform(F.get("postings", F.lit(number)), lambda i: i - F.lit(at))
 
-    starts = F.array_distinct(F.concat(*[of(w, i) for w, i in anchors]))
+    starts = reduce(F.array_intersect, [of(*a) for a in anchors])
     at = lambda o, k, phrase: F.slice("words", o + F.lit(k + 1), len(phrase)) == F.lit(list(phrase))
 
     def fits(o: Column) -> Column:

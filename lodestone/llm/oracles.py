@@ -21,18 +21,32 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+#: For tables whose links are absolute urls without dot segments.
 _OP5 = r"""
-WITH p AS (
-  SELECT page_id,
+WITH RECURSIVE tag AS (
+  SELECT url AS u, unnest(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is')) AS t
+  FROM pages WHERE html IS NOT NULL),
+link AS (SELECT u, replace(regexp_extract(t, '(?:\bhref\s*=\s*["'']?|\burl\s*=\s*[''"]?)([^"''\s>]+)', 1, 'is'), '&amp;', '&') AS v FROM tag),
+part AS (
+  SELECT url,
     translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
-  FROM pages),
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^?#]*(\?[^#]*)', 1) AS query
+  FROM (SELECT url FROM pages UNION SELECT v FROM link)),
+node AS (SELECT *, host || CASE WHEN host <> '' AND path = '' THEN '/' ELSE path END || query AS node FROM part),
 r(verdict, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 hit AS (
   SELECT host, path, max_by(h || q, length(h || q)) AS rule, max_by(verdict, length(h || q)) AS verdict
-  FROM (SELECT DISTINCT host, path FROM p) d JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path)
-SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
-FROM p LEFT JOIN hit ON p.host = hit.host AND p.path = hit.path
+  FROM (SELECT DISTINCT host, path FROM node) d JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path),
+edge AS (
+  SELECT DISTINCT a.node AS x, b.node AS y FROM link JOIN node a ON a.url = u JOIN node b ON b.url = v
+  WHERE v LIKE '%://%' AND a.host <> '' AND b.host <> ''),
+both_ways AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge),
+reach AS (SELECT x, y FROM both_ways UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON reach.y = b.x),
+spread AS (
+  SELECT x, min(verdict) AS spread FROM reach JOIN node ON node.node = reach.y JOIN hit ON hit.host = node.host AND hit.path = node.path GROUP BY x)
+SELECT page_id, n.host, n.path, hit.rule, coalesce(hit.verdict, spread, 'allow') AS verdict
+FROM pages p JOIN node n ON n.url IS NOT DISTINCT FROM p.url LEFT JOIN hit ON n.host = hit.host AND n.path = hit.path LEFT JOIN spread ON spread.x = n.node
 """
 
 _OP9 = f"""

@@ -72,7 +72,7 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     full = full.otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), to))
     p = p.select("u", full.alias("to")).where("to is not null")
     src = [host_of(u).alias("src_host"), path_of(u).alias("src_path"), query_of(u).alias("src_query")]
-    return p.select(*src, host_of(to).alias("dst_host"), without_dots(path_of(to)).alias("dst_path"), query_of(to).alias("dst_query")).where("src_host <> ''")
+    return p.select(*src, host_of(to).alias("dst_host"), without_dots(path_of(to)).alias("dst_path"), query_of(to).alias("dst_query")).where("src_host <> '' and dst_host <> ''")
 
 
 def rule_for(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -109,8 +109,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
     urls = p.select(*whole).unionByName(end("src")).unionByName(end("dst")).distinct()
     judged = urls.join(rule_for(urls, rules), ["host", "path"])
     groups = connected_components(edges.select(key("src_host", "src_path", "src_query").alias("src"), key("dst_host", "dst_path", "dst_query").alias("dst")))
-    judged = judged.withColumn("node", key(*whole)).join(groups, "node", "left")
-    of_group = judged.where("component is not null and verdict is not null").groupBy("component").agg(F.min("verdict").alias("spread"))  # allow sorts before block
+    # an url without links is a component of its own: no key that all of them share
+    judged = judged.withColumn("node", key(*whole)).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_group = judged.join(groups.select("component").distinct(), "component", "left_semi").where("verdict is not null")
+    of_group = of_group.groupBy("component").agg(F.min("verdict").alias("spread"))  # allow sorts before block
     judged = judged.join(of_group, "component", "left")
-    judged = judged.select(*whole, "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict"), F.coalesce("component", "node").alias("component"))
-    return p.join(judged, whole).select("page_id", "host", "path", "rule", "verdict", "component")
+    judged = judged.select(*whole, "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict"), "component")
+    out = p.where("host <> '' or path <> ''").join(judged, whole).select("page_id", "host", "path", "rule", "verdict", "component")
+    none = p.where("host = '' and path = ''")  # nothing judges these, so they need not meet
+    return out.unionByName(none.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit("").alias("component")))
