@@ -1,34 +1,220 @@
 """Paired bootstraps: each row has one Poisson(1) weight a replicate, the same for all models and budgets.
 
-Weights are a hash of (row_id, replicate, seed), so that any task can make them and none are stored. Rankings
-are reduced to tie groups inside each replicate before they are cumulated.
+Weights are a hash of (row_id, replicate, seed), made where they are needed: none are stored and no row is
+repeated. Rows are dealt out once by ranges of (model, falling score); a task walks its range and holds the
+running sums of all replicates at once, as vectors. Ranges' totals give each range its start, and its ends are
+joined at last, so neither a model nor a long tie needs one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.signals import poisson_weight, uniform
-from lodestone.operators.curves import normalised_area, policy_area, policy_curve
+from lodestone.functions.signals import POISSON, uniform
+from lodestone.operators.curves import policy_area, policy_curve
+from lodestone.session import materialize, ship_package
+
+_M = np.uint64(0xFFFFFFFF)
+#: Fixed values of the weights' hash, which the registered SQL repeats.
+LOW, HIGH, TURN, SEED, ROUND = 1640531527, 668265263, 374761393, 1274126177, 73244475
+_ROWS = 2048  # rows whose weights are held at once
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(ROUND)) & _M
+    return x ^ (x >> np.uint64(16))
+
 
+def weights(row_id: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """A row for each id, a column for each replicate: counts of a Poisson distribution with mean 1."""
+    ids = row_id.astype(np.uint64)
+    own = (((ids & _M) * np.uint64(LOW)) & _M) ^ (((ids >> np.uint64(32)) * np.uint64(HIGH)) & _M)
+    turn = _mixed((np.arange(replicates, dtype=np.uint64) * np.uint64(TURN) + np.uint64(seed * SEED)) & _M)
+    u = _mixed(own[:, None] ^ turn[None]) / 4294967296.0
+    return np.searchsorted(np.array(POISSON), u.ravel(), "right").reshape(u.shape).astype(float)
 
-def replicated(df: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``df`` once for each replicate with its weight; rows of weight 0 are gone."""
-    r = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    return r.withColumn("w", poisson_weight(uniform("row_id", F.col("replicate"), seed))).where("w > 0")
+
+def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(column).to_numpy(zero_copy_only=False).astype(float)
 
 
 def bootstrap_mean(df: DataFrame, columns: list[str], replicates: int, seed: int) -> DataFrame:
-    """(replicate, policy, value): weighted sums of contributions over the number of rows - no sort."""
-    n = df.agg(F.count("*").alias("_n"))
-    sums = replicated(df.select("row_id", *columns), replicates, seed).groupBy("replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
-    return sums.join(n).select("replicate", *[(F.col(c) / F.col("_n")).alias(c) for c in columns]).unpivot(["replicate"], columns, "policy", "value")
+    """(replicate, policy, value): weighted sums of contributions over the number of rows - one pass, no sort."""
+    ship_package(df.sparkSession)
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(columns), replicates)), 0
+        for batch in it:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                total += np.stack([_numbers(part, c) for c in columns]) @ weights(part.column("row_id").to_numpy(), replicates, seed)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n]), **{c: pa.array([t]) for c, t in zip(columns, total, strict=True)}})
+
+    d = df.select("row_id", *columns).mapInArrow(sums, "n long, " + ", ".join(f"`{c}` array<double>" for c in columns))
+    n = d.agg(F.sum("n").alias("_n"))
+    long = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("policy"), F.col(c).alias("v")) for c in columns])).alias("p")).select("p.policy", F.posexplode("p.v").alias("replicate", "v"))
+    return long.groupBy("replicate", "policy").agg(F.sum("v").alias("v")).join(n).select(F.col("replicate").cast("int").alias("replicate"), "policy", (F.col("v") / F.col("_n")).alias("value"))
+
+
+_SUMS = ["N", "N1", "Y1", "Y0", "G"]
+#: From running sums and totals (each a vector by replicate) the points of a curve: x, and rows of y.
+Points = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
+
+
+def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=b != 0)
+
+
+def _qini_points(s: dict, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    return s["N"], (s["Y1"] - _divide(s["Y0"] * s["N1"], s["N"] - s["N1"]))[None]
+
+
+def _policy_points(s: dict, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    return _divide(s["N"], t["N"]), _divide(s["G"], t["N"])[None]
+
+
+def _rate_points(s: dict, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    share, toc = _divide(s["N"], t["N"]), _divide(s["G"], s["N"]) - _divide(t["G"], t["N"])
+    return share, np.stack((toc, share * toc))
+
+
+def _increments(batch: pa.RecordBatch, signal: str | None, replicates: int, seed: int) -> np.ndarray:
+    """Of each row and replicate what it adds to the running sums."""
+    w = weights(batch.column("row_id").to_numpy(), replicates, seed)
+    t, y = _numbers(batch, "treatment"), _numbers(batch, "outcome")
+    g = _numbers(batch, signal) if signal else np.zeros(len(t))
+    return np.stack([w * c[:, None] for c in (np.ones(len(t)), t, t * y, (1 - t) * y, g)])
+
+
+def ranked_draws(scored: DataFrame, signal: str | None, points: Points, trapezoid: bool, grid: list[float], replicates: int, seed: int) -> DataFrame:
+    """(model, totals, areas, values) of long scores: arrays by replicate.
+
+    totals are the last running sums, areas the integrals of each row of y over x, by trapezoids or by the value at
+    the right end, from the origin on; values y's first row on ``grid``, by straight lines between points. Points
+    stand at the ends of ties. Rows without a score or a model take no part.
+    """
+    spark = scored.sparkSession
+    ship_package(spark)
+    columns = ["row_id", "treatment", "outcome", *([signal] if signal else [])]
+    d = scored.where("model is not null and score is not null").select("model", F.col("score").cast("double").alias("score"), *columns)
+    order = [F.asc("model"), F.desc("score"), F.xxhash64("row_id")]  # a long tie is cut too
+    parted = materialize(d.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order))
+
+    def total(table: pa.Table) -> pa.Table:
+        sums = np.zeros((len(_SUMS), replicates))
+        for batch in table.to_batches(max_chunksize=_ROWS):
+            sums += _increments(batch, signal, replicates, seed).sum(1)
+        score = table.column("score").to_numpy()
+        return pa.table({"model": table.column("model").slice(0, 1), "_range": table.column("_range").slice(0, 1), "high": [float(score.max())], "low": [float(score.min())], "sums": [sums.ravel()]})
+
+    kind = d.schema["model"].dataType.simpleString()
+    key = ["model", "_range"]
+    totals = materialize(parted.groupBy(*key).applyInArrow(total, f"model {kind}, _range int, high double, low double, sums array<double>"))
+
+    def starts(table: pa.Table) -> pa.Table:
+        """Of a model's ranges, a row each: sums before them, the model's, and whether the last tie goes on."""
+        table = table.sort_by("_range")
+        sums = np.stack(table.column("sums").to_numpy(zero_copy_only=False))
+        before = np.cumsum(sums, 0) - sums
+        high, low = table.column("high").to_numpy(), table.column("low").to_numpy()
+        goes_on = np.append(low[:-1] == high[1:], False)
+        return pa.table({"model": table.column("model"), "_range": table.column("_range"), "before": list(before), "all": [sums.sum(0)] * len(sums), "goes_on": goes_on})
+
+    begun = totals.groupBy("model").applyInArrow(starts, f"model {kind}, _range int, before array<double>, all array<double>, goes_on boolean")
+
+    def walk(table: pa.Table, start: pa.Table) -> pa.Table:
+        shape = (len(_SUMS), replicates)
+        held, all_ = (np.asarray(start.column(c)[0].values).reshape(shape) for c in ("before", "all"))
+        named = lambda x: dict(zip(_SUMS, x, strict=True))
+        score = table.column("score").to_numpy()
+        order = np.argsort(-score, kind="stable")
+        table, score = table.take(pa.array(order)), score[order]
+        end = np.append(score[1:] != score[:-1], not start.column("goes_on")[0].as_py())
+        first = last = area = None
+        low = np.full((len(grid), 2, replicates), np.nan)
+        high = np.full((len(grid), 2, replicates), np.nan)
+        for at in range(0, len(score), _ROWS):
+            cum = held[:, None] + np.cumsum(_increments(table.slice(at, _ROWS).combine_chunks().to_batches()[0], signal, replicates, seed), 1)
+            held = cum[:, -1]
+            cum = cum[:, end[at : at + _ROWS]]
+            if not cum.shape[1]:
+                continue
+            x, y = points(named(cum), named(all_))
+            if last is None:
+                first, area = (x[0], y[:, 0]), np.zeros((len(y), replicates))
+            else:
+                x, y = np.concatenate((last[0][None], x)), np.concatenate((last[1][:, None], y), 1)
+            height = (y[:, 1:] + y[:, :-1]) / 2 if trapezoid else y[:, 1:]
+            area = area + (np.diff(x, axis=0)[None] * height).sum(1)
+            last = x[-1], y[:, -1]
+            for k, b in enumerate(grid):
+                below, r = (x <= b).sum(0) - 1, np.arange(replicates)  # x never falls
+                ok = below >= 0
+                low[k][:, ok] = np.stack((x[below[ok], r[ok]], y[0][below[ok], r[ok]]))
+                # the first point at b or over it; of equal points the first
+                above = (x < b).sum(0)
+                ok = (above < len(x)) & np.isnan(high[k, 0])
+                high[k][:, ok] = np.stack((x[above[ok], r[ok]], y[0][above[ok], r[ok]]))
+        none = np.zeros(0)
+        columns = {"model": start.column("model"), "_range": start.column("_range"), "all": start.column("all")}
+        parts = {"first": first, "last": last}
+        for name, p in parts.items():
+            columns[name] = [none if p is None else np.concatenate((p[0][None], p[1])).ravel()]
+        return pa.table(columns | {"area": [none if area is None else area.ravel()], "low": [low.ravel()], "high": [high.ravel()]})
+
+    schema = f"model {kind}, _range int, all array<double>, first array<double>, last array<double>, area array<double>, low array<double>, high array<double>"
+    walked = parted.groupBy(*key).cogroup(begun.groupBy(*key)).applyInArrow(walk, schema)
+
+    def joined(table: pa.Table) -> pa.Table:
+        """Of a model's ranges, a row each: their areas and the steps between them."""
+        table = table.sort_by("_range")
+        get = lambda c, r: np.asarray(table.column(c)[r].values).reshape(-1, replicates)
+        last, area = None, None
+        low, high = np.full((len(grid), 2, replicates), np.nan), np.full((len(grid), 2, replicates), np.nan)
+        for r in range(table.num_rows):
+            first = get("first", r)
+            if len(first):
+                if last is None:
+                    last, area = np.zeros_like(first), np.zeros((len(first) - 1, replicates))
+                    low[:] = 0.0  # the origin
+                    high[np.array(grid) <= 0] = 0.0
+                height = (first[1:] + last[1:]) / 2 if trapezoid else first[1:]
+                area = area + (first[0] - last[0])[None] * height + get("area", r)
+                last = get("last", r)
+                a, b = (get(c, r).reshape(low.shape) for c in ("low", "high"))
+                low = np.where(np.isnan(a), low, a)
+                high = np.where(np.isnan(high), b, high)
+        low, high = np.where(np.isnan(low), high, low), np.where(np.isnan(high), low, high)
+        slope = _divide(high[:, 1] - low[:, 1], high[:, 0] - low[:, 0])
+        values = low[:, 1] + slope * (np.array(grid)[:, None] - low[:, 0]) if grid else np.zeros((0, replicates))
+        return pa.table({"model": table.column("model").slice(0, 1), "totals": table.column("all").slice(0, 1), "areas": [area.ravel()], "values": [values.ravel()]})
+
+    return walked.groupBy("model").applyInArrow(joined, f"model {kind}, totals array<double>, areas array<double>, values array<double>")
+
+
+def _cell(column: str, row: int, replicates: int):
+    """The value of a replicate in one row of a flattened matrix."""
+    return F.get(column, F.col("replicate") + F.lit(row * replicates))
+
+
+def _by_replicate(draws: DataFrame, replicates: int) -> DataFrame:
+    """Replicates without any weight have no curve."""
+    d = draws.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return d.where(_cell("totals", 0, replicates) > 0)
 
 
 def bootstrap_policy(scored: DataFrame, signal: str, budgets: list[float], replicates: int, seed: int) -> DataFrame:
-    """(replicate, model, budget, value) of long scores (row_id, model, score, signal)."""
-    return policy_curve(replicated(scored, replicates, seed), signal, budgets, ["replicate", "model"], weight=F.col("w"))
+    """(replicate, model, budget, value) of long scores (row_id, model, score, treatment, outcome, signal)."""
+    d = _by_replicate(ranked_draws(scored, signal, _policy_points, True, budgets, replicates, seed), replicates)
+    cells = F.array(*[F.struct(F.lit(float(b)).alias("budget"), _cell("values", k, replicates).alias("value")) for k, b in enumerate(budgets)])
+    return d.select("replicate", "model", F.inline(cells))
 
 
 def bootstrap_policy_area(draws: DataFrame) -> DataFrame:
@@ -36,17 +222,20 @@ def bootstrap_policy_area(draws: DataFrame) -> DataFrame:
 
 
 def bootstrap_rate(scored: DataFrame, signal: str, replicates: int, seed: int) -> DataFrame:
-    from lodestone.operators.ranking import cumulate, tie_groups
-
-    by = ["replicate", "model"]
-    c = cumulate(tie_groups(replicated(scored, replicates, seed), by=by, signal=signal, weight=F.col("w")), by)
-    c = c.join(c.groupBy(*by).agg(F.max(F.struct("N", "G")).alias("_t")), by)
-    toc, share = F.col("G") / F.col("N") - F.col("_t.G") / F.col("_t.N"), F.col("g_n") / F.col("_t.N")
-    return c.groupBy(*by).agg(F.sum(toc * share).alias("autoc"), F.sum(F.col("N") / F.col("_t.N") * toc * share).alias("rate_qini"))
+    """(replicate, model, autoc, rate_qini)."""
+    d = _by_replicate(ranked_draws(scored, signal, _rate_points, False, [], replicates, seed), replicates)
+    return d.select("replicate", "model", _cell("areas", 0, replicates).alias("autoc"), _cell("areas", 1, replicates).alias("rate_qini"))
 
 
 def bootstrap_qini(scored: DataFrame, replicates: int, seed: int) -> DataFrame:
-    return normalised_area(replicated(scored, replicates, seed), "qini", ["replicate", "model"], weight=F.col("w"))
+    """(replicate, model, qini_score); null where the best ranking is as good as the diagonal."""
+    d = _by_replicate(ranked_draws(scored, None, _qini_points, True, [], replicates, seed), replicates)
+    n, n1, a, b = (_cell("totals", k, replicates) for k in range(4))  # a: treated events, b: control events
+    # the best ranking has three ties: treated events, rows without event, control events
+    end = a - F.coalesce(F.try_divide(b * n1, n - n1), F.lit(0.0))
+    best = a * a / 2 + (n - a - b) * a + b * (a + end) / 2
+    line = n * end / 2
+    return d.select("replicate", "model", F.when(F.abs(best - line) > 0, F.try_divide(_cell("areas", 0, replicates) - line, best - line)).alias("qini_score"))
 
 
 def intervals(draws: DataFrame, value: str, by: list[str], alpha: float = 0.05) -> DataFrame:

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from lodestone.functions.signals import POISSON
 from lodestone.functions.stats import z
+from lodestone.operators.resample import HIGH, LOW, ROUND, SEED, TURN
 
 Z95, ZPOWER = z(0.975), z(0.975) + z(0.8)
 FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5"]
 BUDGETS = [0.01, 0.05, 0.1, 0.2, 0.3]
 _GRID = ", ".join(f"({b}::DOUBLE)" for b in BUDGETS)
 
+QINI_DRAWS, POLICY_DRAWS, RANDOM_SEEDS = 500, 300, 20
+
+
+def weights(rows: str, replicates: int, seed: int = 5) -> str:
+    """(row_id, replicate, w): the bootstrap's hashed Poisson counts."""
+    m = 4294967296
+    turn = "SELECT replicate, xor(b, b >> 16) AS turn FROM (SELECT replicate, xor(a, a >> 16) * %d %% %d AS b FROM (SELECT replicate, xor(k, k >> 16) * %d %% %d AS a FROM (SELECT t.replicate, (t.replicate * %d + %d) %% %d AS k FROM range(0, %d) AS t(replicate))))" % (ROUND, m, ROUND, m, TURN, seed * SEED, m, replicates)
+    x = f"SELECT row_id, replicate, xor(xor((row_id % {m}) * {LOW} % {m}, (row_id // {m}) * {HIGH} % {m}), turn) AS x FROM ({rows}), ({turn})"
+    u = f"SELECT row_id, replicate, xor(z, z >> 16) / {m}.0 AS u FROM (SELECT row_id, replicate, xor(y, y >> 16) * {ROUND} % {m} AS z FROM (SELECT row_id, replicate, xor(x, x >> 16) * {ROUND} % {m} AS y FROM ({x})))"
+    return f"SELECT row_id, replicate, {' + '.join(f'(u >= {c})::INT' for c in POISSON)} AS w FROM ({u})"
+
+
 # Common table expressions; a statement names those it needs in its first line.
 PARTS: dict[str, tuple[list[str], str]] = {
     "trial": ([], """
@@ -31,9 +44,8 @@ PARTS: dict[str, tuple[list[str], str]] = {
       UNION ALL SELECT row_id, treatment, conversion, dr, 'level', f3 FROM signalled UNION ALL SELECT row_id, treatment, conversion, dr, 'effect', round(mu1 - mu0, 9) FROM signalled"""),
     "one": (["scored"], "SELECT 0 AS m, 1 AS w, * FROM scored"),
     "many": (["long"], "SELECT model AS m, 1 AS w, * FROM long"),
-    "boot": (["long"], f"""
-      SELECT replicate || ':' || model AS m, replicate, model, {" + ".join(f"(u >= {c})::INT" for c in POISSON)} AS w, row_id, treatment, outcome, dr, score
-      FROM (SELECT *, ('0x' || substr(md5(row_id || ':' || replicate || ':5'), 1, 8))::BIGINT / 4294967296.0 AS u FROM long, unnest(range(0, 10)) AS t(replicate))"""),
+    "boot": (["long"], "SELECT replicate || ':' || model AS m, replicate, model, w, row_id, treatment, outcome, dr, score FROM long JOIN (" + weights("SELECT DISTINCT row_id FROM long", POLICY_DRAWS) + ") AS ws USING (row_id)"),
+    "bootq": (["long"], "SELECT replicate || ':' || model AS m, replicate, model, w, row_id, treatment, outcome, dr, score FROM long JOIN (" + weights("SELECT DISTINCT row_id FROM long", QINI_DRAWS) + ") AS ws USING (row_id)"),
     "grid": ([], f"SELECT * FROM (VALUES {_GRID}) AS g(budget)"),
     "results": ([], "SELECT 'm' || (o_orderkey % 4) AS model, 101 * (o_orderkey % 3 + 1) AS fold_seed, round(avg(o_totalprice) / 1e6, 6) AS qini_score FROM orders GROUP BY 1, 2"),
 }
@@ -107,7 +119,7 @@ _SEED = f"""x AS ({_X}), s AS (SELECT x.model, x.candidate, count(DISTINCT x.val
   median(x.qini_score - b.qini_score) AS median_delta, avg(x.qini_score - b.qini_score) AS mean_delta, count(*) FILTER (x.qini_score > b.qini_score) AS wins, sum(x.fit_seconds) AS total_seconds
   FROM x LEFT JOIN x b ON b.candidate = 'm0' AND b.validation_seed = x.validation_seed GROUP BY 1, 2)"""
 _TENTHS = ", ".join(str(i / 10) for i in range(11))
-_PCT = ", ".join(str(i / 100) for i in range(101))
+_PCT = ", ".join(str(i / 1000) for i in range(1001))
 _MODES = "modes AS (SELECT " + ", ".join(f"(SELECT {f} FROM trial GROUP BY {f} ORDER BY count(*) DESC, {f} LIMIT 1) AS m{i}" for i, f in enumerate(FEATURES)) + ")"
 _FLAGS = "flags AS (SELECT " + ", ".join(f"(f{i} = m{i})::INT AS s{i}" for i in range(6)) + ", trial.* FROM trial, modes)"
 _SELECT_DR = "SELECT dr, mu1 - mu0 AS effect, f3 / 1000 AS level FROM signalled"
@@ -148,8 +160,8 @@ STATEMENTS: dict[str, tuple[str, str, str, int]] = {
     "top_tail_support": ("scored grid", f"r AS ({_TOP}), t AS (SELECT budget, count(*) AS n_target, sum(treatment) AS n_treated, sum(1 - treatment) AS n_control, sum(treatment * outcome) AS events_treated, sum((1 - treatment) * outcome) AS events_control, min(score) AS s FROM r, grid WHERE rn <= floor(n * budget) GROUP BY 1)", "SELECT budget, n_target, n_treated::BIGINT AS n_treated, n_control::BIGINT AS n_control, events_treated::BIGINT AS events_treated, events_control::BIGINT AS events_control, (SELECT count(*) FROM scored WHERE score = s) AS boundary_tie_size FROM t", 6),
     "top_tail_overlap": ("trial grid", "r AS (SELECT row_number() OVER (ORDER BY f0 DESC, row_id) AS ra, row_number() OVER (ORDER BY f3 DESC, row_id) AS rb, count(*) OVER () AS n FROM trial), o AS (SELECT budget, floor(max(n) * budget) AS k, count(*) FILTER (greatest(ra, rb) <= floor(n * budget)) AS \"both\", count(*) FILTER (least(ra, rb) <= floor(n * budget)) AS either FROM r, grid GROUP BY 1)", 'SELECT budget, "both", either, CASE WHEN k > 0 THEN "both" / k ELSE 1 END AS overlap, CASE WHEN either > 0 THEN "both" / either ELSE 1 END AS jaccard FROM o', 6),
     "ordering_condition": ("signalled grid", "r AS (SELECT mu0, abs(mu1 - mu0) AS beta, row_number() OVER (ORDER BY f0 DESC, row_id DESC) AS rn, count(*) OVER () AS n FROM signalled), o AS (SELECT budget, max(mu0) AS theta_max, max(beta) AS beta_max FROM r, grid WHERE rn <= greatest(1, floor(n * budget)) GROUP BY 1)", "SELECT budget, theta_max, beta_max, (theta_max < (1 - beta_max) / 2)::BIGINT AS holds FROM o", 6),
-    "percentile_grid": ("trial", f"q AS (SELECT quantile_cont(f3, [{_PCT}]) AS v FROM trial), p AS (SELECT unnest(v) AS value, unnest(range(0, 101)) AS i FROM q)", "SELECT value, min(i) / 100 AS quantile FROM p GROUP BY value", 6),
-    "batch_target": ("trial", f"q AS (SELECT quantile_cont(f3, [{_PCT}]) AS v FROM trial), p AS (SELECT unnest(v) AS value, unnest(range(0, 101)) AS i FROM q), g AS (SELECT value, min(i) / 100 AS quantile FROM p GROUP BY value), b AS (SELECT row_id, f3, row_number() OVER (ORDER BY f3 DESC, row_id) AS rn, count(*) OVER () AS n FROM trial WHERE row_id % 10 = 0), e AS (SELECT row_id, f3, rn, n, max({{'v': value, 'q': quantile}}) FILTER (value <= f3) AS lo, min({{'v': value, 'q': quantile}}) FILTER (value >= f3) AS hi FROM b, g GROUP BY ALL)", "SELECT row_id, (rn <= floor(n * 0.1::DOUBLE))::BIGINT AS target, coalesce(lo.q, hi.q) + CASE WHEN hi.v > lo.v THEN (f3 - lo.v) / (hi.v - lo.v) * (hi.q - lo.q) ELSE 0 END AS percentile FROM e", 6),
+    "percentile_grid": ("trial", f"q AS (SELECT quantile_cont(f3, [{_PCT}]) AS v FROM trial), p AS (SELECT unnest(v) AS value, unnest(range(0, 1001)) AS i FROM q)", "SELECT value, min(i) / 1000 AS quantile FROM p GROUP BY value", 6),
+    "batch_target": ("trial", f"q AS (SELECT quantile_cont(f3, [{_PCT}]) AS v FROM trial), p AS (SELECT unnest(v) AS value, unnest(range(0, 1001)) AS i FROM q), g AS (SELECT value, min(i) / 1000 AS quantile FROM p GROUP BY value), b AS (SELECT row_id, f3, row_number() OVER (ORDER BY f3 DESC, row_id) AS rn, count(*) OVER () AS n FROM trial), e AS (SELECT row_id, f3, rn, n, max({{'v': value, 'q': quantile}}) FILTER (value <= f3) AS lo, min({{'v': value, 'q': quantile}}) FILTER (value >= f3) AS hi FROM b, g GROUP BY ALL)", "SELECT row_id, (rn <= floor(n * 0.1::DOUBLE))::BIGINT AS target, coalesce(lo.q, hi.q) + CASE WHEN hi.v > lo.v THEN (f3 - lo.v) / (hi.v - lo.v) * (hi.q - lo.q) ELSE 0 END AS percentile FROM e", 6),
     "simulate_scenario": ("one grid", f"{tie_groups('one')}, {_POLICY}, a AS (SELECT max(value) FILTER (budget = 0.1) AS x, max(value) FILTER (budget = 0.2) AS y FROM pol), v AS (SELECT x + (y - x) * 0.5 AS v FROM a)", "SELECT 0.15::DOUBLE AS budget, v AS gross_per_customer, v - 0.0005 * 0.15 AS net_per_customer, (v - 0.0005 * 0.15) * 1000000 AS net_total, 150000 AS n_targeted, v * 0.8 - 0.0005 * 0.15 AS net_low, v * 1.2 - 0.0005 * 0.15 AS net_high, v / 0.15 AS break_even_cost, 0 AS guardrail FROM v", 6),
     "qini_curve": ("one", f"{tie_groups('one')}, {curve(_QINI)}", "SELECT x, y FROM pts", 6),
     "uplift_curve": ("one", f"{tie_groups('one')}, {curve(_UPLIFT)}", "SELECT x, y FROM pts", 6),
@@ -160,7 +172,7 @@ STATEMENTS: dict[str, tuple[str, str, str, int]] = {
     "policy_value_curve": ("many grid", f"{tie_groups('many')}, {_POLICY}", "SELECT m AS model, budget, value FROM pol", 6),
     "policy_area": ("many grid", f"{tie_groups('many')}, {_POLICY}, {_PAREA}", "SELECT m AS model, policy_area FROM parea", 6),
     "expected_random": ("signalled grid", "", "SELECT budget, budget * (SELECT avg(dr) FROM signalled) AS value FROM grid", 6),
-    "random_topk_sensitivity": ("scored grid", f"rnd AS (SELECT draw AS m, 1 AS w, row_id, 0 AS treatment, 0 AS outcome, dr, ('0x' || substr(md5(row_id || ':' || draw || ':3'), 1, 8))::BIGINT / 4294967296.0 AS score FROM scored, unnest(range(0, 5)) AS t(draw)), {tie_groups('rnd')}, {_POLICY}", "SELECT budget, avg(value) AS mean, min(value) AS min, max(value) AS max FROM pol GROUP BY 1", 6),
+    "random_topk_sensitivity": ("scored grid", f"rnd AS (SELECT draw AS m, 1 AS w, row_id, 0 AS treatment, 0 AS outcome, dr, ('0x' || substr(md5(row_id || ':' || draw || ':3'), 1, 8))::BIGINT / 4294967296.0 AS score FROM scored, unnest(range(0, {RANDOM_SEEDS})) AS t(draw)), {tie_groups('rnd')}, {_POLICY}", "SELECT budget, avg(value) AS mean, min(value) AS min, max(value) AS max FROM pol GROUP BY 1", 6),
     "euce": ("effect", "c AS (SELECT *, ntile(10) OVER (ORDER BY score, row_id) AS k FROM effect), b AS (SELECT count(*) AS n, avg(outcome) FILTER (treatment = 1) AS r1, avg(outcome) FILTER (treatment = 0) AS r0, avg(score) AS s FROM c GROUP BY k)", "SELECT sum(n * abs(r1 - r0 - s)) / sum(n) AS euce FROM b WHERE r1 IS NOT NULL AND r0 IS NOT NULL", 6),
     "decile_policy": ("scored", "c AS (SELECT *, ntile(10) OVER (ORDER BY score DESC, row_id DESC) AS decile FROM scored), b AS (SELECT decile, sum(treatment)::DOUBLE AS n1, sum(1 - treatment)::DOUBLE AS n0, sum(treatment * outcome)::DOUBLE AS y1, sum((1 - treatment) * outcome)::DOUBLE AS y0 FROM c GROUP BY 1), u AS (SELECT *, y1 / n1 - y0 / n0 AS uplift, sqrt(y1 / n1 * (1 - y1 / n1) / n1 + y0 / n0 * (1 - y0 / n0) / n0) AS se, sum(y1) OVER d / sum(n1) OVER d - sum(y0) OVER d / sum(n0) OVER d AS cumulative_uplift FROM b WINDOW d AS (ORDER BY decile))", "SELECT decile, n1::BIGINT AS n1, n0::BIGINT AS n0, uplift, uplift - 1.96 * se AS ci_low, uplift + 1.96 * se AS ci_high, cumulative_uplift, uplift * (n1 + n0) AS incremental FROM u", 6),
     "transformed_outcome_mse": ("signalled", "", "SELECT avg((conversion * (treatment - 0.85) / (0.85 * 0.15) - (mu1 - mu0)) ** 2) AS mse FROM signalled", 6),
@@ -169,13 +181,13 @@ STATEMENTS: dict[str, tuple[str, str, str, int]] = {
     "spearman_matrix": ("trial", f"r AS (SELECT *, {rank_of('f0')} AS r0, {rank_of('f3')} AS r3, {rank_of('f4')} AS r4 FROM trial)", " UNION ALL ".join(f"SELECT 'f{a}' AS a, 'f{b}' AS b, corr(f{a}, f{b}) AS pearson, corr(r{a}, r{b}) AS spearman FROM r" for a, b in ((0, 3), (0, 4), (3, 4))), 6),
     "rank_average": ("trial", "", f"SELECT row_id, ({rank_of('f0')} + {rank_of('f3')}) / 2 / count(*) OVER () AS rank_average FROM trial", 6),
     "propensity_rank_auc": ("trial", f"r AS (SELECT treatment, {rank_of('f3')} AS r FROM trial)", "SELECT (sum(r * treatment) - sum(treatment) * (sum(treatment) + 1) / 2) / (sum(treatment) * sum(1 - treatment)) AS auc FROM r", 6),
-    "bootstrap_policy_value": ("scored", f"r AS ({_TOP}), b AS (SELECT replicate, {' + '.join(f'(u >= {c})::INT' for c in POISSON)} AS w, dr, rn, n FROM (SELECT *, ('0x' || substr(md5(row_id || ':' || replicate || ':5'), 1, 8))::BIGINT / 4294967296.0 AS u FROM r, unnest(range(0, 10)) AS t(replicate)))", "SELECT replicate, 'top10' AS policy, sum(w * (rn <= floor(n * 0.1::DOUBLE))::INT * dr) / max(n) AS value FROM b GROUP BY 1 UNION ALL SELECT replicate, 'top30', sum(w * (rn <= floor(n * 0.3::DOUBLE))::INT * dr) / max(n) FROM b GROUP BY 1", 6),
+    "bootstrap_policy_value": ("scored", f"r AS ({_TOP}), b AS (SELECT * FROM r JOIN ({weights('SELECT row_id FROM scored', POLICY_DRAWS)}) AS ws USING (row_id))", "SELECT replicate, 'top10' AS policy, sum(w * (rn <= floor(n * 0.1::DOUBLE))::INT * dr) / max(n) AS value FROM b GROUP BY 1 UNION ALL SELECT replicate, 'top30', sum(w * (rn <= floor(n * 0.3::DOUBLE))::INT * dr) / max(n) FROM b GROUP BY 1", 6),
     "bootstrap_policy_area": ("boot grid", f"{tie_groups('boot')}, {_POLICY}, {_PAREA}", "SELECT split_part(m, ':', 1)::BIGINT AS replicate, split_part(m, ':', 2) AS model, policy_area FROM parea", 6),
     "bootstrap_rate": ("boot", tie_groups("boot"), f"SELECT split_part(m, ':', 1)::BIGINT AS replicate, split_part(m, ':', 2) AS model, {_RATE} FROM cum JOIN tot USING (m) GROUP BY m", 6),
-    "bootstrap_qini": ("boot", f"{tie_groups('boot')}, {areas(_QINI, _BEST_QINI)}", f"SELECT split_part(m, ':', 1)::BIGINT AS replicate, split_part(m, ':', 2) AS model, {_NORMAL} AS qini_score FROM area JOIN barea USING (m)", 6),
-    "bootstrap_qini_interval": ("boot", f"{tie_groups('boot')}, {areas(_QINI, _BEST_QINI)}, s AS (SELECT split_part(m, ':', 2) AS model, {_NORMAL} AS q FROM area JOIN barea USING (m))", "SELECT model, avg(q) AS mean, quantile_cont(q, 0.025) AS ci_low, quantile_cont(q, 0.975) AS ci_high, count(*) AS n_replicates FROM s WHERE q IS NOT NULL GROUP BY 1", 6),
+    "bootstrap_qini": ("bootq", f"{tie_groups('bootq')}, {areas(_QINI, _BEST_QINI)}", f"SELECT split_part(m, ':', 1)::BIGINT AS replicate, split_part(m, ':', 2) AS model, {_NORMAL} AS qini_score FROM area JOIN barea USING (m)", 6),
+    "bootstrap_qini_interval": ("bootq", f"{tie_groups('bootq')}, {areas(_QINI, _BEST_QINI)}, s AS (SELECT split_part(m, ':', 2) AS model, {_NORMAL} AS q FROM area JOIN barea USING (m))", "SELECT model, avg(q) AS mean, quantile_cont(q, 0.025) AS ci_low, quantile_cont(q, 0.975) AS ci_high, count(*) AS n_replicates FROM s WHERE q IS NOT NULL GROUP BY 1", 6),
     "paired_difference": ("boot grid", f"{tie_groups('boot')}, {_POLICY}, {_PAREA}, s AS (SELECT split_part(m, ':', 1) AS r, split_part(m, ':', 2) AS model, policy_area AS v FROM parea), f AS (SELECT s.model, s.v - b.v AS diff FROM s JOIN s b ON b.r = s.r AND b.model = 'tied' WHERE s.model <> 'tied')", f"SELECT model, {_DIFF} FROM f GROUP BY 1", 6),
-    "pairwise_comparison": ("boot", f"{tie_groups('boot')}, {areas(_QINI, _BEST_QINI)}, s AS (SELECT split_part(m, ':', 1) AS r, split_part(m, ':', 2) AS model, {_NORMAL} AS v FROM area JOIN barea USING (m)), f AS (SELECT s.model AS a, t.model AS b, s.v - t.v AS diff FROM s JOIN s t ON t.r = s.r AND s.model < t.model)", f"SELECT a, b, {_DIFF} FROM f GROUP BY 1, 2", 6),
+    "pairwise_comparison": ("bootq", f"{tie_groups('bootq')}, {areas(_QINI, _BEST_QINI)}, s AS (SELECT split_part(m, ':', 1) AS r, split_part(m, ':', 2) AS model, {_NORMAL} AS v FROM area JOIN barea USING (m)), f AS (SELECT s.model AS a, t.model AS b, s.v - t.v AS diff FROM s JOIN s t ON t.r = s.r AND s.model < t.model)", f"SELECT a, b, {_DIFF} FROM f GROUP BY 1, 2", 6),
     "simultaneous_band": ("boot grid", f"""{tie_groups('boot')}, {_POLICY}, d AS (SELECT split_part(p.m, ':', 1) AS r, split_part(p.m, ':', 2) AS model, p.budget, p.value - q.value AS diff FROM pol p JOIN pol q ON q.budget = p.budget AND q.m = split_part(p.m, ':', 1) || ':tied' WHERE split_part(p.m, ':', 2) <> 'tied'),
       otg AS (SELECT model, score, count(*) AS n, sum(dr) AS g FROM long GROUP BY 1, 2), oc AS (SELECT model, sum(n) OVER w / (SELECT count(*) FROM trial) AS x, sum(g) OVER w / (SELECT count(*) FROM trial) AS y FROM otg WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), op AS (SELECT * FROM oc UNION ALL SELECT DISTINCT model, 0.0, 0.0 FROM otg), oe AS (SELECT model, budget, max({{'x': x, 'y': y}}) FILTER (x <= budget) AS lo, min({{'x': x, 'y': y}}) FILTER (x >= budget) AS hi FROM op, grid GROUP BY 1, 2), ov AS (SELECT model, budget, lo.y + CASE WHEN hi.x > lo.x THEN (hi.y - lo.y) / (hi.x - lo.x) ELSE 0 END * (budget - lo.x) AS value FROM oe),
       ob AS (SELECT a.model, a.budget, a.value - b.value AS observed FROM ov a JOIN ov b ON b.model = 'tied' AND b.budget = a.budget WHERE a.model <> 'tied'), se AS (SELECT model, budget, stddev_samp(diff) AS se FROM d GROUP BY 1, 2), cr AS (SELECT quantile_cont(t, 0.95) AS critical FROM (SELECT r, max(CASE WHEN se > 0 THEN abs(diff - observed) / se ELSE 0 END) AS t FROM d JOIN ob USING (model, budget) JOIN se USING (model, budget) GROUP BY r))""", "SELECT model, budget, observed, se, critical, observed - critical * se AS low, observed + critical * se AS high FROM ob JOIN se USING (model, budget), cr", 5),

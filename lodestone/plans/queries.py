@@ -17,13 +17,15 @@ from lodestone.operators import registry as R
 from lodestone.operators import resample as B
 from lodestone.operators import sampling as N
 from lodestone.operators.ranking import row_numbers
-from lodestone.session import ship_package, table
+from lodestone.session import materialize, ship_package, table
 from lodestone.sources.trial import events_trial
 
 FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5"]
 BINARIES = ["treatment", "conversion", "visit", "exposure"]
 BUDGETS = [0.01, 0.05, 0.1, 0.2, 0.3]
 PROPENSITY = 0.85
+#: Replicates of the bootstraps, and seeds of random rankings.
+QINI_DRAWS, POLICY_DRAWS, RANDOM_SEEDS = 500, 300, 20
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -251,13 +253,13 @@ def ordering_condition(spark, d):
 
 @query
 def percentile_grid(spark, d):
-    return rounded(P.percentile_grid(trial(spark, d), "f3", 101))
+    return rounded(P.percentile_grid(trial(spark, d), "f3"))
 
 
 @query
 def batch_target(spark, d):
     t = trial(spark, d)
-    return rounded(P.batch_target(t.where("row_id % 10 = 0"), "f3", 0.1, P.percentile_grid(t, "f3", 101)).select("row_id", "target", "percentile"))
+    return rounded(P.batch_target(t, "f3", 0.1, P.percentile_grid(t, "f3")).select("row_id", "target", "percentile"))
 
 
 @query
@@ -317,7 +319,7 @@ def expected_random(spark, d):
 
 @query
 def random_topk_sensitivity(spark, d):
-    return rounded(B.random_policy_sensitivity(scored(spark, d).select("row_id", "dr"), "dr", BUDGETS, 5, 3))
+    return rounded(B.random_policy_sensitivity(scored(spark, d).select("row_id", "dr"), "dr", BUDGETS, RANDOM_SEEDS, 3))
 
 
 @query
@@ -369,45 +371,45 @@ def propensity_rank_auc(spark, d):
 def bootstrap_policy_value(spark, d):
     t = P.top_budget(P.top_budget(scored(spark, d), "score", 0.1, out="t10"), "score", 0.3, out="t30")
     c = t.select("row_id", (F.col("t10") * F.col("dr")).alias("top10"), (F.col("t30") * F.col("dr")).alias("top30"))
-    return rounded(B.bootstrap_mean(c, ["top10", "top30"], 10, 5))
+    return rounded(B.bootstrap_mean(c, ["top10", "top30"], POLICY_DRAWS, 5))
 
 
 @query
 def bootstrap_policy_area(spark, d):
-    return rounded(B.bootstrap_policy_area(B.bootstrap_policy(long_scores(spark, d), "dr", BUDGETS, 10, 5)))
+    return rounded(B.bootstrap_policy_area(B.bootstrap_policy(long_scores(spark, d), "dr", BUDGETS, POLICY_DRAWS, 5)))
 
 
 @query
 def bootstrap_rate(spark, d):
-    return rounded(B.bootstrap_rate(long_scores(spark, d), "dr", 10, 5))
+    return rounded(B.bootstrap_rate(long_scores(spark, d), "dr", POLICY_DRAWS, 5))
 
 
 @query
 def bootstrap_qini(spark, d):
-    return rounded(B.bootstrap_qini(long_scores(spark, d), 10, 5))
+    return rounded(B.bootstrap_qini(long_scores(spark, d), QINI_DRAWS, 5))
 
 
 @query
 def bootstrap_qini_interval(spark, d):
-    return rounded(B.intervals(B.bootstrap_qini(long_scores(spark, d), 10, 5), "qini_score", ["model"]))
+    return rounded(B.intervals(B.bootstrap_qini(long_scores(spark, d), QINI_DRAWS, 5), "qini_score", ["model"]))
 
 
 @query
 def paired_difference(spark, d):
-    draws = B.bootstrap_policy_area(B.bootstrap_policy(long_scores(spark, d), "dr", BUDGETS, 10, 5))
+    draws = B.bootstrap_policy_area(B.bootstrap_policy(long_scores(spark, d), "dr", BUDGETS, POLICY_DRAWS, 5))
     return rounded(B.difference_summary(B.differences(draws, "policy_area", "tied"), ["model"]))
 
 
 @query
 def pairwise_comparison(spark, d):
-    draws = B.bootstrap_qini(long_scores(spark, d), 10, 5)
+    draws = B.bootstrap_qini(long_scores(spark, d), QINI_DRAWS, 5)
     return rounded(B.difference_summary(B.pairwise_differences(draws, "qini_score"), ["a", "b"]))
 
 
 @query
 def simultaneous_band(spark, d):
-    s = long_scores(spark, d)
-    diffs = B.differences(B.bootstrap_policy(s, "dr", BUDGETS, 10, 5), "value", "tied", on=["budget"])
+    s = materialize(long_scores(spark, d))
+    diffs = B.differences(B.bootstrap_policy(s, "dr", BUDGETS, POLICY_DRAWS, 5), "value", "tied", on=["budget"])
     c = C.policy_curve(s, "dr", BUDGETS, ["model"])
     seen = B.differences(c.withColumn("replicate", F.lit(0)), "value", "tied", on=["budget"]).select("model", "budget", F.col("diff").alias("observed"))
     return rounded(B.simultaneous_band(diffs, seen, ["model", "budget"]), 5)
