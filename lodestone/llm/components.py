@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.session import collect_garbage, discard, materialize
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
 
 def _written(e: DataFrame) -> tuple[DataFrame, tuple[int, object]]:
-    """``e`` in the shared folder; its rows and a sum over them, observed as they were written."""
-    seen = Observation()
-    e = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
-    return e, (seen.get["n"], seen.get["s"])
+    """``e`` in the shared folder; its rows and a sum over them."""
+    e = materialize(e)
+    row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    return e, (row["n"], row["s"])
