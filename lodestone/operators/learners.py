@@ -319,6 +319,14 @@ def cross_fit(df: DataFrame, builder: str, p: Params, fold: str, folds: int) ->
     return out.withColumn("score", F.when(bad, F.raise_error("a score is not finite").cast("double")).otherwise(F.col("score")))
 
 
+def propensity_auc(train: DataFrame, test: DataFrame, features: list[str], tree: bool = False, label: str = "treatment") -> DataFrame:
+    """(auc): how well features tell the arms apart on rows that the model, logistic or boosted trees, has not seen; 0.5 in a fair trial."""
+    kind = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=20, maxDepth=3, seed=7) if tree else LogisticRegression(featuresCol="_x", labelCol="_y")
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), kind]).fit(train.withColumn("_y", F.col(label).cast("double")))
+    scored = model.transform(test).select(F.col(label), vector_to_array("probability")[1].alias("_p"))
+    return exact_auc(scored, "_p", label)
+
+
 def exact_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by average ranks."""
     d = average_ranks(df.select(F.col(score).alias("s"), F.col(label).alias("y")), "s", "r")

@@ -1,5 +1,6 @@
 """Each query of the experiment operators against its DuckDB statement, on the smallest tables."""
 
+import lodestone.plans.result_queries  # noqa: F401  registers more queries
 import pytest
 from comparison import duck_rows, spark_rows
 from lodestone.plans.oracles import ORACLES
