@@ -1,11 +1,14 @@
-"""Connected components by alternating large-star and small-star contraction."""
+"""Connected components by alternating large-star and small-star contraction, each task's edges first made a forest."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import collect_garbage, discard, materialize
+from lodestone.session import collect_garbage, discard, materialize, ship_package
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -13,10 +16,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Nulls and loops link nothing. Each round hangs neighbours onto the smallest node known to them, so the
     number of rounds grows with the logarithm of the longest path. A hub's neighbours are never gathered:
-    only a minimum (combined on the map side) meets in one task, and the join back can be split.
+    only a minimum (combined on the map side) meets in one task, and the join back can be split. Before a round is
+    written each task replaces the edges that it holds, up to a bounded number at a time, by edges to the smallest
+    node that they reach, so few rounds are left to do.
     """
+    ship_package(edges.sparkSession)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e, state = _written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e, state = _written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -25,7 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         small = large.join(low, F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         old, before = e, state
-        e, state = _written(small.where("u <> v").distinct())
+        e, state = _written(small.where("u <> v"))
         discard(old)
         if state == before:
             break
@@ -35,7 +41,40 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
 
 def _written(e: DataFrame) -> tuple[DataFrame, tuple[int, object]]:
-    """``e`` in the shared folder; its rows and a sum over them."""
-    e = materialize(e)
+    """The distinct edges as forests in the shared folder; their number and a sum over them."""
+    kind = e.schema["u"].dataType.simpleString()
+    e = materialize(e.distinct().mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
     row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return e, (row["n"], row["s"])
+
+
+def _forest(it: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Edges from each node to the smallest one that the task's edges reach from it."""
+    above: dict = {}
+    schema = None
+
+    def root(x):
+        path = []
+        while (up := above.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for p in path:
+            above[p] = x
+        return x
+
+    def out() -> pa.RecordBatch:
+        pairs = [(x, root(x)) for x in list(above)]
+        pairs = [(x, r) for x, r in pairs if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], schema.field(k).type) for k in (0, 1)], ["u", "v"])
+
+    for batch in it:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+        if len(above) >= most:
+            yield out()
+            above.clear()
+    if above:
+        yield out()
