@@ -50,11 +50,3 @@ def student_p(r: float, n: int) -> float:
     f = [math.cos(lo + i * w) ** (df - 1) for i in range(steps + 1)]
     area = w / 3 * (f[0] + f[-1] + 4 * sum(f[1:-1:2]) + 2 * sum(f[2:-1:2]))
     return min(1.0, 2 * c * math.sqrt(df) * area)
-
-
-def ks_sf(d: float, n: int, m: int) -> float:
-    """Asymptotic p of a two-sample Kolmogorov-Smirnov distance."""
-    x = d * math.sqrt(n * m / (n + m)) if n and m else 0.0
-    if x < 0.2:
-        return 1.0
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * x) ** 2) for k in range(1, 101))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import cumulate, row_numbers, tie_groups
+from lodestone.session import materialize
 
 
 def _zero(a, b) -> Column:
@@ -37,10 +38,16 @@ def uplift_curve(scored: DataFrame, by: list[str] | None = None, **names) -> Dat
 
 
 def area(curve: DataFrame, by: list[str]) -> DataFrame:
-    """Trapezoid area of (x, y), and the last point."""
-    w = Window.partitionBy(*by).orderBy("x") if by else Window.partitionBy(F.lit(0)).orderBy("x")
+    """Trapezoid area of (x, y), and the last point. Ranges of x are summed by themselves, then joined end to end."""
+    parted = materialize(curve.repartitionByRange(*by, "x").withColumn("_range", F.spark_partition_id()))
+    w = Window.partitionBy(*by, "_range").orderBy("x")
     step = (F.col("x") - F.lag("x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2
-    return curve.withColumn("_s", step).groupBy(*by).agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("area"), F.max(F.struct("x", "y")).alias("last"))
+    point = F.struct("x", "y")
+    parts = parted.withColumn("_s", step).groupBy(*by, "_range").agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("_a"), F.min(point).alias("_first"), F.max(point).alias("last"))
+    before = F.lag("last").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range"))  # a row a range
+    parts = parts.withColumn("_before", before)
+    gap = (F.col("_first.x") - F.col("_before.x")) * (F.col("_first.y") + F.col("_before.y")) / 2
+    return parts.groupBy(*by).agg((F.sum("_a") + F.coalesce(F.sum(gap), F.lit(0.0))).alias("area"), F.max("last").alias("last"))
 
 
 def normalised_area(scored: DataFrame, kind: str, by: list[str] | None = None, **names) -> DataFrame:
@@ -49,7 +56,7 @@ def normalised_area(scored: DataFrame, kind: str, by: list[str] | None = None, *
     The best ranking has at most four tie groups, told by the counts of arms and outcomes alone.
     """
     by = by or []
-    g = tie_groups(scored, by=by, **names)
+    g = materialize(tie_groups(scored, by=by, **names))
     value, column = (qini_value(), "qini_score") if kind == "qini" else (uplift_value(), "auuc_score")
     total = g.groupBy(*by).agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "n1", "y1", "y0")])
     n0, a, b = F.col("n") - F.col("n1"), F.col("y1"), F.col("y0")  # a: treated events, b: control events

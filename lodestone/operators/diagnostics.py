@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.signals import pattern_id, render_pattern
-from lodestone.functions.stats import chi2_sf, ks_sf, student_p, z
+from lodestone.functions.stats import z
 from lodestone.operators.ranking import running_sums
 
 Z95 = z(0.975)
@@ -95,8 +95,9 @@ def feature_profile(df: DataFrame, features: list[str], bins: int = 10) -> DataF
     """A row for each feature: nulls, distinct values, mode and top-3 share, moments (bias-corrected), quartiles, bins."""
     long = unpivot(df, [], features)
     counts = long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("c"))
-    rank = Window.partitionBy("feature").orderBy(F.desc("c"), "value")
-    top = counts.withColumn("r", F.row_number().over(rank)).where("r <= 3").groupBy("feature").agg(F.max(F.when(F.col("r") == 1, F.col("value"))).alias("mode"), F.max("c").alias("mode_n"), F.sum("c").alias("top3_n"))
+    # the first three of each of 64 parts of a feature's values, then of those
+    part, rank = (Window.partitionBy("feature", *own).orderBy(F.desc("c"), "value") for own in ([F.pmod(F.xxhash64("value"), F.lit(64))], []))
+    top = counts.withColumn("r", F.row_number().over(part)).where("r <= 3").withColumn("r", F.row_number().over(rank)).where("r <= 3").groupBy("feature").agg(F.max(F.when(F.col("r") == 1, F.col("value"))).alias("mode"), F.max("c").alias("mode_n"), F.sum("c").alias("top3_n"))
     distinct = counts.groupBy("feature").agg(F.count("*").alias("n_distinct"))
     n = F.col("n").cast("double")
     base = long.groupBy("feature").agg(
@@ -119,21 +120,18 @@ def balance(df: DataFrame, features: list[str], treatment: str = "treatment") ->
     pooled, diff = F.sqrt((F.col("s1") + F.col("s0")) / 2), F.col("mean1") - F.col("mean0")
     smd = F.when(pooled > 0, F.try_divide(diff, pooled)).when(diff == 0, 0.0).otherwise(F.signum(diff) * float("inf"))
     groups = long.groupBy("feature", "value").agg(F.count(v1).alias("c1"), F.count(v0).alias("c0"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    d = groups.select("feature", F.sum("c1").over(w).alias("c1"), F.sum("c0").over(w).alias("c0")).join(m.select("feature", "n1", "n0"), "feature")
+    cum = running_sums(groups.where("value is not null"), [F.col("value")], {"k1": "c1", "k0": "c0"}, ["feature"])
+    d = cum.select("feature", F.col("k1").alias("c1"), F.col("k0").alias("c0")).join(m.select("feature", "n1", "n0"), "feature")
     d = d.groupBy("feature").agg(F.max(F.abs(F.try_divide("c1", "n1") - F.try_divide("c0", "n0"))).alias("ks"))
     return m.join(d, "feature").select("feature", "mean1", "mean0", smd.alias("smd"), "ks", "n1", "n0")
 
 
-def balance_p_values(table: DataFrame) -> list[dict]:
-    """Rows of ``balance`` (one a feature) with the asymptotic p of the distance."""
-    return [r.asDict() | {"ks_p": ks_sf(r["ks"], r["n1"], r["n0"])} for r in table.collect()]
-
-
 def sentinel_flags(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
-    """Columns is_<feature>: the value is the feature's mode (the lowest of equals)."""
-    modes = df.agg(*[F.mode(F.col(f), deterministic=True).alias(f) for f in features]).first()
-    flags = {f"is_{f}": F.coalesce(F.col(f) == F.lit(modes[f]), F.lit(False)).cast("int") for f in features}
+    """Columns is_<feature>: the value is the feature's mode (the lowest of equals). Null values have no mode."""
+    counts = unpivot(df, [], features).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("c"))
+    top = counts.groupBy("feature").agg(F.max_by("value", F.struct("c", -F.col("value"))).alias("mode"))
+    modes = {r["feature"]: r["mode"] for r in top.collect()}  # a row a feature
+    flags = {f"is_{f}": F.coalesce(F.col(f).cast("double") == F.lit(modes.get(f)), F.lit(False)).cast("int") for f in features}
     return df.withColumns(flags), list(flags)
 
 
@@ -207,10 +205,6 @@ def cochran_q(strata: DataFrame, estimate: str, se: str, by: list[str] | None =
     return d.select(*(by or []), pooled.alias("pooled"), F.sqrt(1 / F.col("w")).alias("pooled_se"), q.alias("q"), df_.alias("df"), F.when(q > df_, (q - df_) / q).otherwise(0.0).alias("i2"))
 
 
-def cochran_p(row) -> float:
-    return chi2_sf(row["q"], row["df"])
-
-
 def average_ranks(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Ranks from 1, ties averaged, by way of the counts of distinct values."""
     groups = df.groupBy(*(by or []), column).agg(F.count("*").alias("_c"))
@@ -228,10 +222,6 @@ def prognostic_dominance(strata: DataFrame) -> DataFrame:
     return one.join(add).join(mul).select("n_strata", "pearson", "spearman", F.col("q")[1].alias("median_ratio"), (F.col("q")[2] - F.col("q")[0]).alias("iqr_ratio"), "q_additive", "q_multiplicative")
 
 
-def dominance_p_values(row) -> dict:
-    return {"pearson_p": student_p(row["pearson"], row["n_strata"]), "spearman_p": student_p(row["spearman"], row["n_strata"])}
-
-
 def representativity(full: DataFrame, sample: DataFrame, features: list[str]) -> DataFrame:
     stats = lambda d, k: unpivot(d, [], features).groupBy("feature").agg(F.avg("value").alias(f"mean_{k}"), F.var_samp("value").alias(f"var_{k}"))
     d = stats(full, "full").join(stats(sample, "sample"), "feature")

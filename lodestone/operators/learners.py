@@ -7,17 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.signals import dr_signal, hybrid_effect, hybrid_transforms, pattern_id, restore_probability, sigmoid, uniform
 from lodestone.operators.diagnostics import average_ranks, sentinel_flags
+from lodestone.operators.ranking import random_matching
 from lodestone.session import materialize
 
 
@@ -160,6 +162,14 @@ def _with_fold(df: DataFrame, folds: int, seed: int) -> DataFrame:
     return df.withColumn("_fold", F.floor(uniform("row_id", 0, seed) * folds).cast("int"))
 
 
+def cross_base(df: DataFrame, p: Params, folds: int = 2, out: str = "_m") -> DataFrame:
+    """``df`` with the outcome's probability, whatever the arm, from models of the other folds."""
+    d, parts = materialize(_with_fold(df, folds, p.seed)), []
+    for k in range(folds):
+        parts.append(_classifier(p, d.where(F.col("_fold") != k))(d.where(F.col("_fold") == k), out))
+    return materialize(reduce(DataFrame.unionByName, parts).drop("_fold"))
+
+
 def dr_learner(df: DataFrame, p: Params, folds: int = 2) -> Scorer:
     d = materialize(cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds))
     m = _regressor(p, d, dr_signal(p.outcome, "treatment", "mu0", "mu1", p.propensity))
@@ -167,16 +177,14 @@ def dr_learner(df: DataFrame, p: Params, folds: int = 2) -> Scorer:
 
 
 def r_learner(df: DataFrame, p: Params) -> Scorer:
-    base = _classifier(p, df)
     r = F.col("treatment") - F.lit(p.propensity)
-    m = _regressor(p, base(df, "_m"), (F.col(p.outcome) - F.col("_m")) / r, F.pow(r, 2))
+    m = _regressor(p, cross_base(df, p), (F.col(p.outcome) - F.col("_m")) / r, F.pow(r, 2))
     return lambda d: m(d, "score")
 
 
 def anchored_r(df: DataFrame, p: Params, share: float = 0.25) -> Scorer:
-    """alpha * m(x) + share * residual, in [-1, 1]."""
-    base = _classifier(p, df)
-    d = base(df, "_m")
+    """alpha * m(x) + share * residual, in [-1, 1]; rows are corrected by models that have not seen them."""
+    base, d = _classifier(p, df), cross_base(df, p)
     r, y = F.col("treatment") - F.lit(p.propensity), F.col(p.outcome)
     a = float(d.agg(F.try_divide(F.sum(r * F.col("_m") * (y - F.col("_m"))), F.sum(F.pow(r * F.col("_m"), 2)))).first()[0] or 0.0)
     m = _regressor(p, d, ((y - F.col("_m")) - r * a * F.col("_m")) / r, F.pow(r, 2))
@@ -196,13 +204,13 @@ def funnel_s(df: DataFrame, p: Params) -> Scorer:
     return score
 
 
-def _boost(df: DataFrame, p: Params, gradient: Callable[[DataFrame], DataFrame], rounds: int) -> list:
+def _boost(df: DataFrame, p: Params, gradient: Callable[[DataFrame, int], DataFrame], rounds: int) -> list:
     """Newton boosting by hand: each tree fits -gradient / curvature, weighted by curvature. Lineage is cut every round."""
     assembler = VectorAssembler(inputCols=p.features, outputCol="_x")
     d = materialize(df.withColumn("_f", F.lit(0.0)))
     trees = []
     for k in range(rounds):
-        g = assembler.transform(gradient(d)).where("_h > 0").withColumn("_z", -F.col("_g") / F.col("_h"))
+        g = assembler.transform(gradient(d, k)).where("_h > 0").withColumn("_z", -F.col("_g") / F.col("_h"))
         tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_z", weightCol="_h", maxDepth=p.depth, seed=p.seed + k).fit(g)
         trees.append(tree)
         d = materialize(tree.transform(assembler.transform(d)).withColumn("_f", F.col("_f") + F.lit(p.step) * F.col("prediction")).drop("prediction", "_x"))
@@ -216,16 +224,17 @@ def _boosted(trees: list, p: Params, d: DataFrame, out: str) -> DataFrame:
     return d.drop("_x")
 
 
-def dina(df: DataFrame, p: Params, rounds: int = 10, clip: float = 1e-5, limit: float = 3.0) -> Scorer:
+def dina(df: DataFrame, p: Params, rounds: int = 10, clip: float = 1e-5, limit: float = 3.0, folds: int = 2) -> Scorer:
     """Boosted effect on log-odds beside an offset, with a modified propensity; the score is a difference of probabilities."""
     m0, m1 = (_classifier(p, a) for a in _arms(df))
     both = lambda d: m1(m0(d, "_p0"), "_p1").withColumns({c: F.least(F.greatest(F.col(c), F.lit(clip)), F.lit(1 - clip)) for c in ("_p0", "_p1")})
     v1, v0, e = F.col("_p1") * (1 - F.col("_p1")), F.col("_p0") * (1 - F.col("_p0")), F.lit(p.propensity)
     a = e * v1 / (e * v1 + (1 - e) * v0)
     eta = lambda c: F.log(F.col(c) / (1 - F.col(c)))
-    d = both(df).withColumn("_a", a).withColumn("_o", F.col("_a") * eta("_p1") + (1 - F.col("_a")) * eta("_p0"))
+    clipped = {f"_p{k}": F.least(F.greatest(F.col(f"mu{k}"), F.lit(clip)), F.lit(1 - clip)) for k in (0, 1)}
+    d = cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds).withColumns(clipped).drop("mu0", "mu1", "_fold").withColumn("_a", a).withColumn("_o", F.col("_a") * eta("_p1") + (1 - F.col("_a")) * eta("_p0"))
 
-    def gradient(x: DataFrame) -> DataFrame:
+    def gradient(x: DataFrame, turn: int) -> DataFrame:
         r = F.col("treatment") - F.col("_a")
         q = sigmoid(F.col("_o") + r * F.col("_f"))
         return x.withColumns({"_g": r * (q - F.col(p.outcome)), "_h": F.pow(r, 2) * q * (1 - q)})
@@ -240,25 +249,35 @@ def dina(df: DataFrame, p: Params, rounds: int = 10, clip: float = 1e-5, limit:
     return score
 
 
+def pair_labels(pairs: DataFrame, kappa: float, clip: float = 1e-6) -> DataFrame:
+    """``pairs`` (row and other, each with effect, tau and f) with gradient ``_g`` and curvature ``_h`` of the row.
+
+    The soft order of a pair is the logistic of the gap in cross-fitted effects over kappa. Its orthogonal correction
+    adds, at the soft order's slope, what the pair's doubly robust signals say beyond these effects; the sum, clipped,
+    is the label that the logistic of the gap in predictions is pushed to. Curvature is that of the logistic loss.
+    """
+    gap = F.col("effect") - F.col("other.effect")
+    soft = sigmoid(gap / F.lit(kappa))
+    slope = soft * (1 - soft) / F.lit(kappa)
+    label = F.least(F.greatest(soft + slope * ((F.col("tau") - F.col("other.tau")) - gap), F.lit(clip)), F.lit(1 - clip))
+    q = sigmoid(F.col("f") - F.col("other.f"))
+    return pairs.withColumns({"_g": q - label, "_h": q * (1 - q)})
+
+
 def rank_learner(df: DataFrame, p: Params, rounds: int = 10, scale: float = 1.0, folds: int = 2) -> Scorer:
-    """Pairwise ranking of effect signals: each round pairs rows anew by a hash and pushes pairs to their soft order."""
-    d = materialize(cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds).withColumn("_tau", dr_signal(p.outcome, "treatment", "mu0", "mu1", p.propensity)))
-    kappa = scale * float(d.agg(F.stddev_pop(F.col("mu1") - F.col("mu0"))).first()[0] or 1.0) or 1.0
-    turn = [0]
-
-    def gradient(x: DataFrame) -> DataFrame:
-        turn[0] += 1
-        h = F.xxhash64(F.col("row_id"), F.lit(p.seed + turn[0]))
-        # neighbours in hash order inside hash buckets are pairs: no task holds all rows
-        w = Window.partitionBy(F.pmod(h, F.lit(4096))).orderBy(h, "row_id")
-        n = F.row_number().over(w)
-        x = x.withColumn("_n", n)
-        first = (F.col("_n") % 2) == 1
-        other = lambda c: F.when(first, F.lead(c).over(w)).otherwise(F.lag(c).over(w))
-        gap, df_ = (F.col("mu1") - F.col("mu0")) - other(F.col("mu1") - F.col("mu0")), F.col("_f") - other("_f")
-        t = F.least(F.greatest(sigmoid(gap / kappa), F.lit(1e-6)), F.lit(1 - 1e-6))
-        weight, q = t * (1 - t) / kappa, sigmoid(df_)
-        return x.withColumns({"_g": weight * (q - t), "_h": F.coalesce(weight * q * (1 - q), F.lit(0.0))}).withColumn("_g", F.coalesce("_g", F.lit(0.0))).drop("_n")
+    """Pairwise ranking of effects: each round matches all rows anew at random and pushes pairs to their corrected order."""
+    tau = dr_signal(p.outcome, "treatment", "mu0", "mu1", p.propensity)
+    d = cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds).withColumns({"_effect": F.col("mu1") - F.col("mu0"), "_tau": tau})
+    d = materialize(d.drop("mu0", "mu1", "_fold"))
+    kappa = scale * float(d.agg(F.stddev_pop("_effect")).first()[0] or 1.0) or 1.0
+
+    def gradient(x: DataFrame, turn: int) -> DataFrame:
+        pairs = random_matching(x, p.seed + turn)
+        own = pairs.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("_o")).unionByName(pairs.select(F.col("right_id").alias("row_id"), F.col("left_id").alias("_o")))
+        facts = F.struct(F.col("_effect").alias("effect"), F.col("_tau").alias("tau"), F.col("_f").alias("f"))
+        other = x.select(F.col("row_id").alias("_o"), facts.alias("other"))
+        joined = x.join(own, "row_id").join(other, "_o").withColumns({"effect": F.col("_effect"), "tau": F.col("_tau"), "f": F.col("_f")})
+        return pair_labels(joined, kappa).drop("_o", "other", "effect", "tau", "f")
 
     trees = _boost(d, p, gradient, rounds)
     return lambda x: _boosted(trees, p, x, "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.signals import uniform
 from lodestone.session import materialize
 
 
@@ -41,6 +42,14 @@ def hash_rank(df: DataFrame, strata: list[str], seed: int, row_id: str = "row_id
     return d.join(start, [*strata, "_b"]).withColumn(out, F.col("_start") + place).drop("_h", "_b", "_start")
 
 
+def random_matching(df: DataFrame, seed: int) -> DataFrame:
+    """(left_id, right_id): pairs of rows by a hash order, row k with row k + n / 2; of an odd number one row is left out."""
+    r = row_numbers(df.select("row_id", uniform("row_id", 0, seed).alias("h")), [F.asc("h"), F.asc("row_id")])
+    half = r.agg(F.floor(F.count("*") / 2).alias("half"))
+    a, b = r.join(half).select("rn", "half", F.col("row_id").alias("left_id")), r.select(F.col("rn").alias("rb"), F.col("row_id").alias("right_id"))
+    return a.where("rn <= half").join(b, F.col("rb") == F.col("rn") + F.col("half")).select("left_id", "right_id")
+
+
 def tie_groups(scored: DataFrame, score: str = "score", by: list[str] | None = None, treatment: str = "treatment", outcome: str = "outcome", signal: str | None = None, weight: Column | None = None) -> DataFrame:
     """One row for each distinct score: weights of rows, of arms, of arms' events, and of the signal.
 

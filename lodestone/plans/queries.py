@@ -16,7 +16,7 @@ from lodestone.operators import policy as P
 from lodestone.operators import registry as R
 from lodestone.operators import resample as B
 from lodestone.operators import sampling as N
-from lodestone.operators.ranking import row_numbers
+from lodestone.operators.ranking import random_matching as pair_rows
 from lodestone.session import materialize, ship_package, table
 from lodestone.sources.trial import events_trial
 
@@ -538,12 +538,7 @@ def dominated_models(spark, d):
 
 @query
 def random_matching(spark, d):
-    """Pairs of rows by a hash order: row k with row k + n / 2."""
-    t = trial(spark, d).withColumn("h", S.uniform("row_id", 0, 9))
-    r = row_numbers(t.select("row_id", "h"), [F.asc("h"), F.asc("row_id")])
-    half = r.agg(F.floor(F.count("*") / 2).alias("half"))
-    a, b = r.join(half).select("rn", "half", F.col("row_id").alias("left_id")), r.select(F.col("rn").alias("rb"), F.col("row_id").alias("right_id"))
-    return a.where("rn <= half").join(b, F.col("rb") == F.col("rn") + F.col("half")).select("left_id", "right_id")
+    return pair_rows(trial(spark, d), 9)
 
 
 # learners of pyspark.ml: rows only
@@ -551,7 +546,7 @@ def random_matching(spark, d):
 
 def _learner(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        p = L.Params(["f0", "f1", "f3"], trees=5, propensity=PROPENSITY)
+        p = L.Params(FEATURES, trees=10, propensity=PROPENSITY)
         return L.BUILDERS[name](trial(spark, d), p)(trial(spark, d)).select("row_id", F.round("score", 6).alias("score"))
 
     return run
@@ -561,12 +556,19 @@ for _name in ("response", "s_learner", "t_learner", "x_learner", "dr_learner", "
     QUERIES[f"{_name}_gbt"] = _learner(_name)
 
 
+@query
+def hybrid_dina_gbt(spark, d):
+    """The hybrid of six coefficients."""
+    p = L.Params(FEATURES, trees=10, propensity=PROPENSITY)
+    return L.hybrid_logit(trial(spark, d), p, terms=6)(trial(spark, d)).select("row_id", F.round("score", 6).alias("score"))
+
+
 def _few(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         ship_package(spark)
-        p = L.Params(["f0", "f1", "f3"], trees=3, propensity=PROPENSITY)
+        p = L.Params(FEATURES, trees=10, propensity=PROPENSITY)
         t = trial(spark, d)
-        score = L.honest_forest(t, p, 5) if name == "honest_forest" else getattr(L, name)(t, p, rounds=3)
+        score = L.honest_forest(t, p, 20) if name == "honest_forest" else getattr(L, name)(t, p, rounds=10)
         return score(t).select("row_id", F.round("score", 6).alias("score"))
 
     return run

@@ -422,3 +422,26 @@ def propensity_auc_logistic(spark, d):
 @query
 def propensity_auc_tree(spark, d):
     return _auc_of_holdout(spark, d, True)
+
+
+def _undersampled(name: str):
+    def run(spark, d):
+        t = Q.trial(spark, d)
+        sample = Q.materialize(N.undersample(t, 2.0, 7))
+        keep = {r["treatment"]: r["keep_rate"] for r in T.keep_rates(t, sample).collect()}  # a row an arm
+        p = L.Params(Q.FEATURES, trees=10, propensity=PROPENSITY)
+        return getattr(L, name)(sample, p, (keep[0], keep[1]))(t).select("row_id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for _name in ("t_learner", "x_learner"):
+    Q.QUERIES[f"{_name}_undersampled"] = _undersampled(_name)
+
+
+@query
+def cross_fitted_scores(spark, d):
+    """Each fold scored by a learner of the other, as payload rows of an out-of-fold experiment."""
+    t = Q.materialize(N.folds(Q.trial(spark, d), 2, 101))
+    out = L.cross_fit(t, "t_learner", L.Params(Q.FEATURES, trees=10, propensity=PROPENSITY), "fold", 2)
+    return out.select("row_id", "model", F.round("score", 6).alias("score"))
