@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +33,33 @@ _MOST = 10**38 - 1
 class Node:
     """A page: its centre's distance to the parent's centre, its radius, and children or rows."""
 
-    __slots__ = ("centre", "children", "radius", "rows", "spread", "to_parent")
+    __slots__ = ("centre", "children", "first", "radius", "spread", "to_parent")
 
     def __init__(self, centre: np.ndarray, radius: float, to_parent: float):
         self.centre, self.radius, self.to_parent = centre, radius, to_parent
         self.children: list[Node] = []
-        self.rows: np.ndarray | None = None
-        self.spread: np.ndarray | None = None  # of a leaf's rows, the distances to its centre
+        self.first = 0  # of a leaf's rows in the tree's order, which stand together, the nearest to the centre first
+        self.spread: np.ndarray | None = None  # their distances to it
 
 
 class MTree:
-    def __init__(self, x: np.ndarray, page: int = 64, fan: int = 8):
+    """``order`` lists the rows so that each page's stand together; ``search`` speaks of places in it."""
+
+    def __init__(self, x: np.ndarray, page: int = 256, fan: int = 8):
         self.x, self.page, self.fan = x, page, fan
-        centre = x.mean(0)
-        self.root = self._build(np.arange(len(x)), centre, 0.0)
+        self._pages: list[np.ndarray] = []
+        self._placed = 0
+        self.root = self._build(np.arange(len(x)), x.mean(0), 0.0)
+        self.order = np.concatenate(self._pages)
 
     def _build(self, rows: np.ndarray, centre: np.ndarray, to_parent: float) -> Node:
         spread = np.sqrt(((self.x[rows] - centre) ** 2).sum(1))
         node = Node(centre, float(spread.max(initial=0.0)), to_parent)
         if len(rows) <= self.page:
             order = np.argsort(spread)
-            node.rows, node.spread = rows[order], spread[order]
+            node.first, node.spread = self._placed, spread[order]
+            self._pages.append(rows[order])
+            self._placed += len(rows)
             return node
         far, pivots = spread.copy(), []
         for _ in range(self.fan):
@@ -61,7 +68,7 @@ class MTree:
                 break
             pivots.append(p)
             far = np.minimum(far, np.sqrt(((self.x[rows] - self.x[rows[p]]) ** 2).sum(1)))
-        part = np.argmin(((self.x[rows][:, None, :] - self.x[rows[pivots]][None]) ** 2).sum(2), 1) if len(rows) * len(pivots) < 1 << 16 else _nearest(self.x[rows], self.x[rows[pivots]])
+        part = _nearest(self.x[rows], self.x[rows[pivots]])
         groups = [rows[part == k] for k in range(len(pivots))]
         if max(map(len, groups)) > 0.9 * len(rows):  # as good as one place: cut it evenly
             groups = np.array_split(rows, self.fan)
@@ -72,7 +79,7 @@ class MTree:
         return node
 
     def search(self, q: np.ndarray, reach: float, best, visits: list[int] | None = None) -> None:
-        """Calls ``best(rows)`` for rows that may lie within reach; it returns the new reach."""
+        """Calls ``best(a, b)`` for places a to b of rows that may lie within reach; it returns the new reach."""
         d = float(np.sqrt(((q - self.root.centre) ** 2).sum()))
         heap = [(max(0.0, d - self.root.radius), 0, d, self.root)]
         n = 1
@@ -82,10 +89,11 @@ class MTree:
                 return
             if visits is not None:
                 visits[0] += 1
-            if node.rows is not None:
-                rows = node.rows[np.abs(node.spread - d) <= reach]  # by the stored distances, before any is computed
-                if len(rows):
-                    reach = best(rows)
+            if node.spread is not None:
+                # by the stored distances, before any is computed
+                a, b = node.spread.searchsorted(d - reach), node.spread.searchsorted(d + reach, "right")
+                if a < b:
+                    reach = best(node.first + int(a), node.first + int(b))
                 continue
             for child in node.children:
                 if abs(d - child.to_parent) - child.radius > reach:
@@ -104,7 +112,7 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 class MetricSearch:
     """``pivots`` and ``sample`` bound the routing table, ``part_bytes`` the vectors of a tree."""
 
-    def __init__(self, k: int = 10, pivots: int = 64, sample: int = 4096, part_bytes: int = 16 << 20, page: int = 64):
+    def __init__(self, k: int = 10, pivots: int = 32, sample: int = 4096, part_bytes: int = 16 << 20, page: int = 256):
         self.k, self.pivots, self.sample, self.part_bytes, self.page = k, pivots, sample, part_bytes, page
 
     def run(self, vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -233,46 +241,48 @@ def _route(it: Iterator[pa.RecordBatch], routes: dict, balls: dict, scale: int,
 
 
 class _Part:
-    """The vectors of one part in a tree, with their ids."""
+    """The vectors of one part in a tree, with their ids, page by page."""
 
     def __init__(self, held: list[pa.RecordBatch], scale: int, unit: float, page: int):
-        self.ids = np.concatenate([b.column("id").to_numpy() for b in held])
-        self.x = np.concatenate([next(_by_length(b.column("x"), scale))[2] for b in held])
-        self.tree = MTree(_lifted(self.x, unit), page)
-        self.high = float(np.abs(self.x).max())
-        self.scale, self.unit = scale, unit
-
-    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Exact inner products: in doubles or 64 bits where no sum can leave them, else in Python's integers."""
-        most = len(q) * max(self.high, 1.0) * max(float(np.abs(q).max()), 1.0)
-        if most < 2**53:
-            return (self.x[rows] @ q).astype(np.int64)
-        if most < 2**62:
-            return self.x[rows].astype(np.int64) @ q.astype(np.int64)
-        whole = [int(c) for c in q]
-        return np.array([sum(int(a) * b for a, b in zip(x, whole, strict=True)) for x in self.x[rows]], object)
+        ids = np.concatenate([b.column("id").to_numpy() for b in held])
+        x = np.concatenate([next(_by_length(b.column("x"), scale))[2] for b in held])
+        self.tree = MTree(_lifted(x, unit), page)
+        self.ids, self.x = ids[self.tree.order], x[self.tree.order]
+        self.high = float(np.abs(x).max())
+        self.unit = unit
 
     def best(self, own: int, q: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows that are not the query's own, of those over ``least``."""
+        """Ids and exact scores of the k best rows that are not the query's own, of those over ``least``.
+
+        Inner products are taken in doubles or 64 bits where no sum can leave them, else in Python's integers.
+        """
         asked = _query(q[None], self.unit)[0]
         norm, limit = float(asked @ asked), least
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        most = len(q) * max(self.high, 1.0) * max(float(np.abs(q).max()), 1.0)
+        exact, small = most < 2**53, most < 2**62
+        whole = q.astype(np.int64) if small else [int(c) for c in q]
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, float if exact else np.int64 if small else object)
 
-        def meet(rows: np.ndarray) -> float:
+        def meet(a: int, b: int) -> float:
             nonlocal ids, scores, limit
-            rows = rows[self.ids[rows] != own]
-            a, s = np.append(ids, self.ids[rows]), np.append(scores, self.scores(rows, q))
-            order = np.lexsort((a, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda i: (-s[i], a[i])), np.int64)
-            ids, scores = a[order[:k]], s[order[:k]]
-            if len(rows) and len(ids) == k:
-                near = np.sort(np.append(held, self.tree.x[rows] @ asked))[-k:]
-                held[:] = near
-                limit = max(limit, float(near[0]))
-            elif len(rows):
-                held.extend((self.tree.x[rows] @ asked).tolist())
+            if exact:
+                s = self.x[a:b] @ q
+            elif small:
+                s = self.x[a:b].astype(np.int64) @ whole
+            else:
+                s = np.array([sum(int(c) * w for c, w in zip(x, whole, strict=True)) for x in self.x[a:b]], object)
+            keep = self.ids[a:b] != own
+            if len(ids) == k:
+                keep &= s >= scores[-1]
+            at = np.flatnonzero(keep)
+            if len(at):
+                i, s = np.append(ids, self.ids[a:b][at]), np.append(scores, s[at])
+                order = np.lexsort((i, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], i[j])), np.int64)
+                ids, scores = i[order[:k]], s[order[:k]]
+                if len(ids) == k:
+                    limit = max(limit, float(Fraction(scores[-1]) * Fraction(self.unit) ** 2) if s.dtype == object else float(scores[-1]) * self.unit * self.unit)
             return _reach(norm, limit)
 
-        held: list[float] = []  # scaled scores of the best so far
         self.tree.search(asked, _reach(norm, limit), meet)
         return ids, scores
 
@@ -305,7 +315,7 @@ def _search(it: Iterator[pa.RecordBatch], scale: int, unit: float, k: int, page:
 def _decimals(scores: np.ndarray) -> pa.Array:
     kind = pa.decimal128(38, 0)
     if scores.dtype != object:
-        return pa.array(scores, pa.int64()).cast(kind)
+        return pa.array(scores.astype(np.int64), pa.int64()).cast(kind)
     return pa.array([Decimal(min(max(int(s), -_MOST), _MOST)) for s in scores], kind)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
 from lodestone.llm.textops import LOWER, mix, pieces, text_buffer, window_hashes, window_starts, word_hashes
-from lodestone.session import materialize, ship_package
+from lodestone.session import discard, materialize, ship_package
 
 _RNG = np.random.default_rng(7)
 _SEEDS = _RNG.integers(0, 2**64, (512, 2), dtype=np.uint64) | np.uint64(1)
@@ -138,7 +138,10 @@ class NearDedup:
         rest = rest.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
         rest = rest.select("around", "x", "y", "own", "node", "component", "shingles")
         more = materialize(rest.groupBy("around", "x", "y").applyInArrow(lambda t: _cross(t, percent), "a long, b long"))
-        return connected_components(confirmed.unionByName(more), "a", "b")
+        found = connected_components(confirmed.unionByName(more), "a", "b")
+        for table in (members, sets, confirmed, groups, more):
+            discard(table)
+        return found
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
