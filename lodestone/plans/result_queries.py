@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from lodestone.operators import curves as C
 from lodestone.operators import diagnostics as D
 from lodestone.operators import ensemble as E
 from lodestone.operators import learners as L
 from lodestone.operators import policy as P
+from lodestone.operators import registry as R
 from lodestone.operators import reporting as T
 from lodestone.operators import resample as B
 from lodestone.operators import sampling as N
@@ -16,6 +18,7 @@ from lodestone.plans import oracles as O
 from lodestone.plans import queries as Q
 from lodestone.plans.oracles import ORACLES
 from lodestone.plans.queries import query, rounded
+from lodestone.sources import artifacts as A
 
 BUDGETS, PROPENSITY = Q.BUDGETS, Q.PROPENSITY
 
@@ -445,3 +448,52 @@ def cross_fitted_scores(spark, d):
     t = Q.materialize(N.folds(Q.trial(spark, d), 2, 101))
     out = L.cross_fit(t, "t_learner", L.Params(Q.FEATURES, trees=10, propensity=PROPENSITY), "fold", 2)
     return out.select("row_id", "model", F.round("score", 6).alias("score"))
+
+
+@query
+def order_times(spark, d):
+    """Dates to ISO text and back, with a text that is no time."""
+    o = Q.table(spark, d, "orders").select("o_orderkey", A.utc_iso(F.col("o_orderdate").cast("timestamp")).alias("iso"))
+    back = A.parse_iso(F.when(F.col("o_orderkey") % 7 == 0, "soon").otherwise(F.col("iso")))
+    return o.withColumn("parsed", A.utc_iso(back))
+
+
+sql("order_times", "", "SELECT o_orderkey, iso, CASE WHEN o_orderkey % 7 <> 0 THEN iso END AS parsed FROM (SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders)")
+
+
+@query
+def registry_rows(spark, d):
+    """Results with base fields, brought to a schema with defaults for what old rows lack."""
+    schema = Y.StructType().add("run_id", Y.StringType()).add("outcome", Y.StringType()).add("n_boot", Y.LongType())
+    r = Q._results(spark, d).withColumn("run_id", F.concat_ws("-", "model", "fold_seed"))
+    return rounded(R.migrate(A.base_fields(r, schema_version=2, outcome="conversion"), schema, {"n_boot": 500}))
+
+
+sql("registry_rows", "results", "SELECT model || '-' || fold_seed AS run_id, 'conversion' AS outcome, 500::BIGINT AS n_boot, 2::BIGINT AS schema_version, model, fold_seed, qini_score FROM results", "qini_score")
+
+
+@query
+def order_prefix_counts(spark, d):
+    """Urgent and other orders by the prefix of their priority."""
+    o = Q.table(spark, d, "orders").withColumn("urgent", F.col("o_orderpriority").startswith("1-").cast("bigint"))
+    return o.groupBy("urgent").agg(F.count("*").alias("n"))
+
+
+sql("order_prefix_counts", "", "SELECT starts_with(o_orderpriority, '1-')::BIGINT AS urgent, count(*) AS n FROM orders GROUP BY 1")
+
+
+@query
+def candidate_search(spark, d):
+    """Cell learners of three cuts on two validation seeds: Qini scores against the coarsest, and the winner."""
+    t = Q.trial(spark, d)
+    cuts = {"coarse": [F.floor(F.col("f3") / 50)], "middle": [F.floor(F.col("f3") / 25)], "fine": [F.floor(F.col("f3") / 10)]}
+    found = None
+    for seed in (101, 202):
+        for name, (cut,) in cuts.items():
+            m = L.cell_nuisance(N.folds(t.withColumn("cell", cut), 3, seed), ["cell"], "conversion", "fold")
+            s = m.select("treatment", F.col("conversion").alias("outcome"), F.round(F.col("mu1") - F.col("mu0"), 9).alias("score"))
+            part = C.normalised_area(s, "qini").select(F.lit("cells").alias("model"), F.lit(name).alias("candidate"), F.lit(seed).alias("validation_seed"), "qini_score", F.lit(0.0).alias("fit_seconds"))
+            found = part if found is None else found.unionByName(part)
+    found = Q.materialize(found)
+    summary = R.seed_summary(found, found.where("candidate = 'coarse'"))
+    return rounded(summary.join(R.select_winners(summary, 0.0, 1, "coarse"), "model").drop("total_seconds"))

@@ -1,6 +1,7 @@
 """Sources, sinks, registry helpers, streams and contracts on small tables."""
 
 import gzip
+import hashlib
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from lodestone.operators import ensemble as E
 from lodestone.operators import registry as R
 from lodestone.operators import reporting as T
 from lodestone.plans.queries import trial
+from lodestone.sources import artifacts as A
 from lodestone.sources import trial as S
 from lodestone.streaming.arm_counts import stream_arm_counts
 from pyspark.errors import PySparkException
@@ -95,3 +97,27 @@ def test_contracts(spark):
     scored = spark.createDataFrame([("a", float("nan")), ("b", 1.0), ("b", 2.0), ("c", 1.0)], "model string, score double")
     curve = spark.createDataFrame([(m, 0.1, v) for m, v in (("ref", 1.0), ("a", 2.0), ("b", 0.5), ("c", 2.0))], "model string, budget double, value double")
     assert dict(T.early_stop(scored, curve, "ref", 2).collect()) == {"a": "not_finite", "b": "dominated", "c": "too_few_values"}
+
+
+def test_predictions(spark, tmp_path):
+    rows = lambda m, v: spark.createDataFrame([(i, m, v) for i in range(3)], "row_id long, model string, score double")
+    A.write_predictions(rows("a", 1.0).unionByName(rows("b", 2.0)), f"{tmp_path}/p")
+    A.write_predictions(rows("b", 3.0), f"{tmp_path}/p")
+    assert A.read_predictions(spark, f"{tmp_path}/p").agg(F.sum("score")).first()[0] == 12
+    assert A.read_predictions(spark, f"{tmp_path}/p", ["b"]).count() == 3
+
+
+def test_tables_and_manifests(spark, tmp_path):
+    for n in (5, 3):
+        A.replace_csv(spark.range(n), f"{tmp_path}/t.csv")
+        assert spark.read.option("header", True).csv(f"{tmp_path}/t.csv").count() == n
+    A.write_json(spark, {"b": 1, "a": [1, None]}, f"{tmp_path}/m")
+    assert A.read_json(spark, f"{tmp_path}/m") == {"a": [1, None], "b": 1}
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    assert A.file_hashes(spark, f"{tmp_path}/x.bin").first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_logs(spark, tmp_path):
+    (tmp_path / "a.log").write_text("read 1,200 rows\nfit in 3.5 s\nfit took 4.25 s\n")
+    (tmp_path / "b.log").write_text("nothing\n")
+    assert sorted(map(tuple, A.scrape_log(spark, f"{tmp_path}/*.log").collect())) == [("a.log", 4.25, 1200), ("b.log", None, None)]
