@@ -44,7 +44,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
 
-#: The classifier, the forest and the ranked merges cannot be said in SQL; tests hold run() against plain Python.
+#: The classifier, the forest and the ranked merges cannot be said in SQL. Tests hold each stage against plain Python on
+#: what the stage before it kept; the classifier's and the forest's decisions against their operators' own rows.
 ORACLE_SQL: str | None = None
 
 
