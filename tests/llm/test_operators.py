@@ -561,10 +561,39 @@ def test_pipeline(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in one.collect()]
     assert {r["doc_id"] for r in two.collect()} == {i for i, *_, k in brute_near(rows) if k} and two.columns == docs.columns
     three = P.decontamination(spark, two, sf_dir)
-    assert {r["doc_id"] for r in three.collect()} <= {r["doc_id"] for r in two.collect()} and three.columns == docs.columns
+    items = [licence_words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    number = {}
+    code = lambda words: np.array([number.setdefault(w, len(number) + 1) for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    clean = set()
+    for r in two.collect():
+        text = code(licence_words(r["text"]))
+        tiles = [(len(w), tile(text, np.arange(len(text)), code(w), min(5, len(w)))) for w in items if w]
+        if all(sum(n for *_, n in t) < 0.5 * size for size, t in tiles):
+            clean.add(r["doc_id"])
+    assert {r["doc_id"] for r in three.collect()} == clean and three.columns == docs.columns
     four = P.secrets(spark, three, sf_dir)
-    assert {r["doc_id"] for r in four.collect()} == {r["doc_id"] for r in three.collect()} and four.columns == docs.columns
+    masked = {r["doc_id"]: r["text"] for r in three.collect()}
+    for r in sorted(SecretScan().run(three).collect(), key=lambda r: -r["start"]):
+        t = masked[r["doc_id"]]
+        masked[r["doc_id"]] = t[: r["start"]] + "[secret]" + t[r["start"] + len(r["value"]) :]
+    assert {r["doc_id"]: r["text"] for r in four.collect()} == masked and four.columns == docs.columns
     encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(Q.tokenizer_path()), special_tokens={})
     texts = {r["doc_id"]: r["text"] for r in four.collect()}
     last = {r["doc_id"]: r["n_tokens"] for r in P.run(spark, sf_dir).collect()}
     assert last == {i: len(encoding.encode_ordinary(t or "")) for i, t in texts.items()}
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, empty, sf_dir):
+    """Nulls, empty and long texts, repeated rows and clashing columns, and an empty table, through every stage."""
+    import corpus_pipeline as P
+
+    odd = docs.withColumns({c: F.lit(1) for c in ("_id", "_tag", "_spans", "label", "score", "component", "seeds", "y", "kept")})
+    for name, stage in P.STAGES:
+        got = stage(spark, odd, sf_dir)
+        if name == "tokens":
+            assert got.count() == odd.count()
+        else:
+            assert got.columns == odd.columns and got.count() <= odd.count()
+        if name == "secrets":
+            assert sorted(r["text"] or "" for r in got.collect()) == sorted(r["text"] or "" for r in odd.collect())
+        assert stage(spark, empty, sf_dir).count() == 0
