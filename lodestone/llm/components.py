@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def _written(e: DataFrame) -> tuple[DataFrame, tuple[int, object]]:
     """The distinct edges as forests in the shared folder; their number and a sum over them."""
     kind = e.schema["u"].dataType.simpleString()
-    e = materialize(e.distinct().mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
+    tasks = e.sparkSession.sparkContext.defaultParallelism  # one for each core: the more a task holds, the less is left
+    e = materialize(e.distinct().coalesce(tasks).mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
     row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return e, (row["n"], row["s"])
 
