@@ -205,8 +205,8 @@ def _sets(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(table: pa.Table, percent: int) -> pa.Table:
-    """Links between different components in one area (one pair of its blocks), by full sets."""
-    node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+    """Links that join different components in one area (one pair of its blocks), by full sets; one for each two joined."""
+    node, component = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
     own = table.column("own").to_numpy()
     sets = table.column("shingles").combine_chunks()
     first = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
@@ -227,7 +227,10 @@ def _cross(table: pa.Table, percent: int) -> pa.Table:
         both = np.add.reduceat(held[code[np.repeat(first[far] - at, n) + np.arange(n.sum())]].astype(np.int64), at)
         held[code[first[i] : first[i + 1]]] = False
         far = far[100 * both >= percent * (n + size[i] - both)]
-        a.append(np.full(len(far), node[i]))
-        b.append(node[far])
+        for j in far.tolist():
+            if component[j] != component[i]:  # what is joined already needs no more links
+                a.append([node[i]])
+                b.append([node[j]])
+                component[component == component[j]] = component[i]
     a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
