@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textops import mix, pieces, text_buffer, window_hashes, window_starts, word_hashes
+from lodestone.llm.textops import pieces, span_hashes, text_buffer, window_hashes, window_starts, word_spans
 from lodestone.session import ship_package
 
 _SECOND = 0xA24BAED4963EE407
@@ -92,10 +92,10 @@ class SubstringDedup:
 def _windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     """h1, h2, text and position in its text of each window."""
     data, off = text_buffer(batch.column("text"))
-    words, first = word_hashes(data, off)
+    begin, end, first = word_spans(data, off)
     starts, text = window_starts(first, width)
-    h1 = window_hashes(words, starts, width)
-    h2 = window_hashes(mix(words), starts, width, _SECOND)
+    h1 = window_hashes(span_hashes(data, begin, end), starts, width)
+    h2 = window_hashes(span_hashes(data, begin, end, _SECOND), starts, width, _SECOND)
     return h1, h2, text, starts - first[:-1][text]
 
 
@@ -197,7 +197,9 @@ def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _part_column(parts: int) -> Column:
-    return F.coalesce(F.pmod(F.pmod(F.pmod("doc_id", F.lit(2147483647)) * 48271, F.lit(2147483647)), F.lit(parts)), F.lit(0)).cast("int")
+    """The part of a row: by its id, as flags are dealt; rows without an id, which have no flags, by their text."""
+    by_id = F.pmod(F.pmod(F.pmod("doc_id", F.lit(2147483647)) * 48271, F.lit(2147483647)), F.lit(parts))
+    return F.coalesce(by_id, F.pmod(F.xxhash64("text"), F.lit(parts))).cast("int")
 
 
 def _bits(blocks: dict[int, bytes], cells: int) -> np.ndarray:

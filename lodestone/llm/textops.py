@@ -63,17 +63,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, wherever it stands.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, wherever it stands; other seeds give independent hashes.
 
-    Eight bytes at a time are mixed into the state by a bijection, so spans of one length of up to eight bytes
-    never share a hash, and longer ones only by chance: nothing is summed, as in a polynomial hash, where texts
-    of a regular pattern would meet. Spans of over 64 bytes go to xxhash.
+    A span of up to seven bytes and its size make one number, which is mixed by a bijection: no two of them share a
+    hash. Longer ones, and they with those, meet only by chance: the size is mixed in after the first eight bytes, and
+    nothing is summed, as in a polynomial hash, where texts of a regular pattern would meet. Spans of over 64 bytes go
+    to xxhash.
     """
     size = ends - starts
     at_byte = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))  # eight bytes from each place on
-    out = mix((at_byte[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _SEED)
-    live = np.flatnonzero((size > 8) & (size <= _LONG))
+    head = at_byte[starts] & _MASK[np.minimum(size, 8)]
+    out = mix((head | (np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56))) ^ np.uint64(seed))
+    live = np.flatnonzero((size > 7) & (size <= _LONG))
+    out[live] = mix(out[live] ^ (size[live].astype(np.uint64) * _SEED))
+    live = live[size[live] > 8]
     for done in range(8, _LONG, 8):
         if not len(live):
             break
@@ -82,7 +86,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         out[live] = mix((out[live] ^ chunk) * _SEED)
         live = live[left > 8]
     for i in np.flatnonzero(size > _LONG).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 
