@@ -77,4 +77,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": _OP3, "op9_minhash_near_dedup": _OP9, "op1_substring_dedup": _OP1, "op5_url_filters": _OP5}
+_OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, ''))::BIGINT AS n,
+    list_transform(range(4), lambda k: ('0x' || substr(sha256('1:' || doc_id::VARCHAR), 8 * k + 1, 8))::BIGINT) AS h FROM documents),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR coalesce(h[3] % 100 >= 90, true) THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(x, 1, a) AS pre, substr(x, a + 1, b - a) AS mid, substr(x, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM p
+"""
+
+ORACLES: dict[str, str] = {"op3_exact_top_k": _OP3, "op9_minhash_near_dedup": _OP9, "op1_substring_dedup": _OP1, "op5_url_filters": _OP5, "op13_fill_in_middle": _OP13}

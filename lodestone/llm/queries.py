@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import BytePairEncoding
 from lodestone.llm.decontamination import Decontamination
+from lodestone.llm.fill_middle import FillInMiddle
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.metric_search import MetricSearch
 from lodestone.llm.near_dedup import NearDedup
@@ -77,6 +78,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.length("value").alias("n_chars"), F.sha2(F.encode("value", "utf-8"), 256).alias("value_sha256"), "score")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fim = FillInMiddle(seed=1, plain_percent=10, spm_percent=20)
+    out = fim.restore(fim.run(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256).alias(f"{c}_sha256")
+    return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest("output"), digest("restored"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -88,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
