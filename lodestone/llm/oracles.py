@@ -77,6 +77,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: The table of the cyclic redundancy check is made from its polynomial; bytes are read from hexadecimal digits.
+_OP11 = r"""
+WITH RECURSIVE
+k(i, c, step) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM k WHERE step < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM k WHERE step = 8),
+texts AS (SELECT 0 AS side, row_number() OVER () AS id, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS (
+  SELECT side, id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM texts),
+f AS (
+  SELECT side, id, array_to_string(list_slice(ws, i, i + o - 1), ' ') AS f
+  FROM w, unnest([1, 2, 3]) AS a(o), unnest(range(1, greatest(len(ws) - o + 2, 1))) AS t(i)),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+bucket AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda j: ('0x' || substr(x, j, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM h, crc),
+fb AS (SELECT side, id, b FROM f JOIN bucket USING (f)),
+n AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM fb GROUP BY b),
+total AS (SELECT sum(s) AS ss, sum(t) AS tt FROM n),
+gain AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain FROM n, total),
+weight AS (SELECT id, count(*) AS n, sum(gain)::BIGINT AS weight FROM fb JOIN gain USING (b) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT w.id, doc_id, len(ws) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weight ON weight.id = w.id WHERE side = 0),
+placed AS (
+  SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS total FROM scored WHERE words >= 20 AND doc_id IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * total // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (id)
+"""
+
 _OP13 = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, ''))::BIGINT AS n,
@@ -92,4 +121,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": _OP3, "op9_minhash_near_dedup": _OP9, "op1_substring_dedup": _OP1, "op5_url_filters": _OP5, "op13_fill_in_middle": _OP13}
+ORACLES: dict[str, str] = {"op3_exact_top_k": _OP3, "op9_minhash_near_dedup": _OP9, "op1_substring_dedup": _OP1, "op5_url_filters": _OP5, "op11_importance_resampling": _OP11, "op13_fill_in_middle": _OP13}

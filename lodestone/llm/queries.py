@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import BytePairEncoding
 from lodestone.llm.decontamination import Decontamination
 from lodestone.llm.fill_middle import FillInMiddle
+from lodestone.llm.importance import ImportanceResampling
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.metric_search import MetricSearch
 from lodestone.llm.near_dedup import NearDedup
@@ -78,6 +79,12 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.length("value").alias("n_chars"), F.sha2(F.encode("value", "utf-8"), 256).alias("value_sha256"), "score")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draw = ImportanceResampling(orders=3, buckets=10_000, percent=5, least_words=20, seed=42)
+    out = draw.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fim = FillInMiddle(seed=1, plain_percent=10, spm_percent=20)
     out = fim.restore(fim.run(table(spark, sf_dir, "documents")))
@@ -96,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_importance_resampling": op11_importance_resampling,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
