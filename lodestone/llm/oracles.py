@@ -66,6 +66,8 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m, w.doc_id) A
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)
 """
 
+_OP12 = _OP9.replace(">= 75 *", ">= 80 *").replace(", coalesce(m, w.doc_id) = w.doc_id AS kept", "")
+
 _OP3 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
@@ -121,4 +123,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": _OP3, "op9_minhash_near_dedup": _OP9, "op1_substring_dedup": _OP1, "op5_url_filters": _OP5, "op11_importance_resampling": _OP11, "op13_fill_in_middle": _OP13}
+ORACLES: dict[str, str] = {"op3_exact_top_k": _OP3, "op9_minhash_near_dedup": _OP9, "op1_substring_dedup": _OP1, "op5_url_filters": _OP5, "op11_importance_resampling": _OP11, "op12_jaccard_join": _OP12, "op13_fill_in_middle": _OP13}

@@ -11,6 +11,7 @@ from lodestone.llm.bpe import BytePairEncoding
 from lodestone.llm.decontamination import Decontamination
 from lodestone.llm.fill_middle import FillInMiddle
 from lodestone.llm.importance import ImportanceResampling
+from lodestone.llm.jaccard_join import JaccardJoin
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.metric_search import MetricSearch
 from lodestone.llm.near_dedup import NearDedup
@@ -85,6 +86,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return JaccardJoin(width=5, percent=80).run(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fim = FillInMiddle(seed=1, plain_percent=10, spm_percent=20)
     out = fim.restore(fim.run(table(spark, sf_dir, "documents")))
@@ -104,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
