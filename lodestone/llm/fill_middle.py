@@ -2,8 +2,8 @@
 
 A chunk of bytes is a function of the state it is entered in: the state it is left in, the units begun inside and
 whether a mark was completed. Such functions compose associatively, so chunks are scanned without knowing what stands
-before them: inside a chunk the functions of single bytes are composed in pairs, in pairs of pairs and so on; across
-chunks a short fold over their functions gives the state each is entered in and the units before it.
+before them: inside a chunk the functions of short runs of bytes are looked up and composed in pairs, in pairs of pairs
+and so on; across chunks a short fold over their functions gives the state each is entered in and the units before it.
 
 A document of one chunk is scanned and cut where it stands. The chunks of a giant document are dealt out to many
 tasks, its functions meet in one small row, and only the chunks that hold a cut are looked into again.
@@ -96,11 +96,40 @@ def compose(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tupl
     return np.take_along_axis(then[0], to, 1), units + np.take_along_axis(then[1], to, 1), marks | np.take_along_axis(then[2], to, 1)
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, a: Automaton) -> tuple[np.ndarray, ...]:
-    """The function of each span of ``data``, by composing those of its bytes pairwise; of an empty one, identity."""
-    states = len(a.step)
-    to, units, marks = (np.ascontiguousarray(x.T)[data] for x in (a.step.astype(np.intp), a.begins.astype(np.int32), a.found))
-    at = offsets
+@dataclass(frozen=True)
+class Grams:
+    """The functions of all runs of ``size`` byte classes: bytes that an automaton does not tell apart, and a filler that it ignores."""
+
+    kind: np.ndarray
+    base: int
+    size: int
+    functions: tuple[np.ndarray, ...]
+
+
+def grams(a: Automaton, most: int = 1 << 16) -> Grams:
+    """The longest grams of which there are at most ``most``."""
+    _, sample, kind = np.unique(np.concatenate((a.step, a.begins, a.found)).T, axis=0, return_index=True, return_inverse=True)
+    own = np.arange(len(a.step))[None]
+    one = tuple(np.concatenate((x.T[sample].astype(t), y.astype(t))) for x, y, t in ((a.step, own, np.intp), (a.begins, 0 * own, np.int32), (a.found, 0 * own, bool)))
+    base, size, made = len(sample) + 1, 1, one
+    while base ** (size + 1) <= most:
+        made = compose(tuple(x.repeat(base, 0) for x in made), tuple(np.tile(x, (len(made[0]), 1)) for x in one))
+        size += 1
+    return Grams(kind.reshape(-1).astype(np.uint8), base, size, made)
+
+
+def scan(data: np.ndarray, offsets: np.ndarray, g: Grams) -> tuple[np.ndarray, ...]:
+    """The function of each span of ``data``: those of its grams are looked up and composed pairwise; of an empty one, identity."""
+    n = np.diff(offsets)
+    cells = -(-n // g.size)
+    at = np.concatenate(([0], np.cumsum(cells)))
+    filled = np.full(at[-1] * g.size, g.base - 1, np.uint8)
+    filled[np.arange(offsets[0], offsets[-1]) + np.repeat(at[:-1] * g.size - offsets[:-1], n)] = g.kind[data[offsets[0] : offsets[-1]]]
+    code = np.zeros(at[-1], np.int32)
+    for j in range(g.size):
+        code = code * g.base + filled[j :: g.size]
+    to, units, marks = (x[code] for x in g.functions)
+    states = to.shape[1]
     own = (np.tile(np.arange(states, dtype=np.intp), (len(at) - 1, 1)), np.zeros((len(at) - 1, states), np.int32), np.zeros((len(at) - 1, states), bool))
     while len(to):
         # spans of an odd number give their first away, the rest pairs off
@@ -121,37 +150,45 @@ def scan(data: np.ndarray, offsets: np.ndarray, a: Automaton) -> tuple[np.ndarra
 BLOCK = 256
 
 
-def locate(data: np.ndarray, offsets: np.ndarray, a: Automaton, entry: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Where in its span, entered in state ``entry``, unit number ``k`` (from 0) begins; -1 if not inside."""
-    n = len(offsets) - 1
-    blocks = -(-np.diff(offsets) // BLOCK)
-    first = np.concatenate(([0], np.cumsum(blocks)))
-    span = np.repeat(np.arange(n), blocks)
-    begin = offsets[span] + (np.arange(first[-1]) - first[span]) * BLOCK
-    to, units, _ = scan(data, np.append(begin, offsets[-1:]), a)
-    state, before, place = entry.copy(), np.zeros(n, np.int64), np.full(n, -1)
-    block, live = np.full(n, -1), np.flatnonzero(blocks > 0)
-    for b in range(int(blocks.max(initial=0))):  # blocks of a span in turn, spans side by side
-        live = live[blocks[live] > b]
-        at = first[live] + b
-        inside = before[live] + units[at, state[live]] > k[live]
-        block[live[inside]] = at[inside]
-        live, at = live[~inside], at[~inside]
-        before[live] += units[at, state[live]]
-        state[live] = to[at, state[live]]
-    live = np.flatnonzero(block >= 0)
-    at = begin[block[live]]
-    for _ in range(BLOCK):
-        if not len(live):
-            break
-        byte = data[at]
-        new = a.begins[state[live], byte]
-        hit = new & (before[live] == k[live])
-        place[live[hit]] = at[hit] - offsets[live[hit]]
-        before[live] += new
-        state[live] = a.step[state[live], byte]
-        live, at = live[~hit], at[~hit] + 1
-    return place
+class Spans:
+    """Spans of ``data`` entered in the states ``entry``: the state and the units before each block of 256 bytes, and the totals."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: Automaton, g: Grams, entry: np.ndarray):
+        self.data, self.offsets, self.a = data, offsets, a
+        blocks = -(-np.diff(offsets) // BLOCK)
+        first = np.concatenate(([0], np.cumsum(blocks)))
+        span = np.repeat(np.arange(len(blocks)), blocks)
+        self.begin = offsets[span] + (np.arange(first[-1]) - first[span]) * BLOCK
+        to, units, found = scan(data, np.append(self.begin, offsets[-1:]), g)
+        state, seen, marked = entry.copy(), np.zeros(len(blocks), np.int64), np.zeros(len(blocks), bool)
+        self.state, self.before = np.zeros(len(span), np.intp), np.zeros(len(span), np.int64)
+        live = np.flatnonzero(blocks)
+        for b in range(int(blocks.max(initial=0))):  # blocks of a span in turn, spans side by side
+            live = live[blocks[live] > b]
+            at = first[live] + b
+            now = state[live]
+            self.state[at], self.before[at] = now, seen[live]
+            seen[live] += units[at, now]
+            marked[live] |= found[at, now]
+            state[live] = to[at, now]
+        self.units, self.marked, self._key = seen, marked, span * (1 << 33) + self.before
+
+    def locate(self, k: np.ndarray) -> np.ndarray:
+        """Where in its span unit number ``k`` (from 0) begins; the span's length if it has no more than k."""
+        place = np.diff(self.offsets)
+        live = np.flatnonzero(k < self.units)
+        block = np.searchsorted(self._key, live * (1 << 33) + k[live], "right") - 1
+        at, state, seen = self.begin[block], self.state[block], self.before[block]
+        for _ in range(BLOCK):
+            if not len(live):
+                break
+            byte = self.data[at]
+            new = self.a.begins[state, byte]
+            hit = new & (seen == k[live])
+            place[live[hit]] = at[hit] - self.offsets[live[hit]]
+            go = ~hit
+            live, at, seen, state = live[go], at[go] + 1, (seen + new)[go], self.a.step[state, byte][go]
+        return place
 
 
 class FillInMiddle:
@@ -231,19 +268,19 @@ class FillInMiddle:
 
 
 def _cut(it: Iterator[pa.RecordBatch], a: Automaton) -> Iterator[pa.RecordBatch]:
+    g = grams(a)
     for piece in pieces(it, "text"):
         data, off = text_buffer(piece.column("text"))
-        _, units, marked = scan(data, off, a)
-        n = units[:, 0].astype(np.int64)
-        cuts = np.sort([pc.fill_null(piece.column(h), 0).to_numpy(zero_copy_only=False) % (n + 1) for h in ("h1", "h2")], axis=0)
-        start = np.zeros(len(n), np.intp)
-        at = [np.where(k < n, locate(data, off, a, start, k), np.diff(off)) for k in cuts]
-        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "text": piece.column("text"), "n": n, "marked": marked[:, 0], "k1": cuts[0], "k2": cuts[1], "at1": at[0], "at2": at[1]})
+        s = Spans(data, off, a, g, np.zeros(len(off) - 1, np.intp))
+        cuts = np.sort([pc.fill_null(piece.column(h), 0).to_numpy(zero_copy_only=False) % (s.units + 1) for h in ("h1", "h2")], axis=0)
+        at = [s.locate(k) for k in cuts]
+        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "text": piece.column("text"), "n": s.units, "marked": s.marked, "k1": cuts[0], "k2": cuts[1], "at1": at[0], "at2": at[1]})
 
 
 def _functions(it: Iterator[pa.RecordBatch], a: Automaton) -> Iterator[pa.RecordBatch]:
+    g = grams(a)
     for piece in pieces(it, "data"):
-        to, units, marked = scan(*text_buffer(piece.column("data")), a)
+        to, units, marked = scan(*text_buffer(piece.column("data")), g)
         kept = {c: piece.column(c) for c in ("doc_id", "tag", "h1", "h2", "chunk")}
         yield pa.RecordBatch.from_pydict(kept | {"next": list(to.astype(np.int32)), "units": list(units.astype(np.int64)), "marked": list(marked)})
 
@@ -274,6 +311,8 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _find(it: Iterator[pa.RecordBatch], a: Automaton, chunk: int) -> Iterator[pa.RecordBatch]:
+    g = grams(a)
     for piece in pieces(it, "data"):
-        at = locate(*text_buffer(piece.column("data")), a, piece.column("state").to_numpy().astype(np.intp), piece.column("left").to_numpy())
-        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "tag": piece.column("tag"), "cut": piece.column("cut"), "at": at + chunk * piece.column("chunk").to_numpy().astype(np.int64)})
+        s = Spans(*text_buffer(piece.column("data")), a, g, piece.column("state").to_numpy().astype(np.intp))
+        at = s.locate(piece.column("left").to_numpy()) + chunk * piece.column("chunk").to_numpy().astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "tag": piece.column("tag"), "cut": piece.column("cut"), "at": at})

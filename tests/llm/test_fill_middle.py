@@ -70,9 +70,10 @@ def test_functions_compose(spark):
     data = np.frombuffer(bytes(rng.choice(list(b"<PSM> \na\xc3\xa9"), 3000).tolist()), np.uint8)
     for units in UNITS:
         a = units(fm.MARKS)
-        whole = fm.scan(data, np.array([0, len(data)]), a)
+        g = fm.grams(a, 300)
+        whole = fm.scan(data, np.array([0, len(data)]), g)
         cuts = np.unique(np.concatenate(([0, len(data)], rng.integers(0, len(data), 40))))
-        parts = fm.scan(data, cuts, a)
+        parts = fm.scan(data, cuts, g)
         folded = tuple(x[:1] for x in parts)
         for k in range(1, len(cuts) - 1):
             folded = fm.compose(folded, tuple(x[k : k + 1] for x in parts))
