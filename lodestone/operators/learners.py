@@ -6,20 +6,21 @@ A fit never sees the rows it predicts where a fold column is given. Outcomes aft
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.signals import dr_signal, hybrid_effect, hybrid_transforms, pattern_id, restore_probability, sigmoid, uniform
+from lodestone.operators.boosting import Batch, Growth, boost, causal_forest
 from lodestone.operators.diagnostics import average_ranks, sentinel_flags
-from lodestone.operators.ranking import random_matching
 from lodestone.session import materialize
 
 
@@ -89,6 +90,10 @@ class Params:
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+def _growth(p: Params) -> Growth:
+    return Growth(depth=p.depth, leaves=1 << p.depth, seed=p.seed, **p.extra)
+
+
 def _classifier(p: Params, df: DataFrame, features: list[str] | None = None, label: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
     """A function that adds P(label = 1) as a column; without both classes the base rate."""
     label = label or p.outcome
@@ -204,27 +209,7 @@ def funnel_s(df: DataFrame, p: Params) -> Scorer:
     return score
 
 
-def _boost(df: DataFrame, p: Params, gradient: Callable[[DataFrame, int], DataFrame], rounds: int) -> list:
-    """Newton boosting by hand: each tree fits -gradient / curvature, weighted by curvature. Lineage is cut every round."""
-    assembler = VectorAssembler(inputCols=p.features, outputCol="_x")
-    d = materialize(df.withColumn("_f", F.lit(0.0)))
-    trees = []
-    for k in range(rounds):
-        g = assembler.transform(gradient(d, k)).where("_h > 0").withColumn("_z", -F.col("_g") / F.col("_h"))
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_z", weightCol="_h", maxDepth=p.depth, seed=p.seed + k).fit(g)
-        trees.append(tree)
-        d = materialize(tree.transform(assembler.transform(d)).withColumn("_f", F.col("_f") + F.lit(p.step) * F.col("prediction")).drop("prediction", "_x"))
-    return trees
-
-
-def _boosted(trees: list, p: Params, d: DataFrame, out: str) -> DataFrame:
-    d = VectorAssembler(inputCols=p.features, outputCol="_x").transform(d).withColumn(out, F.lit(0.0))
-    for t in trees:
-        d = t.transform(d).withColumn(out, F.col(out) + F.lit(p.step) * F.col("prediction")).drop("prediction")
-    return d.drop("_x")
-
-
-def dina(df: DataFrame, p: Params, rounds: int = 10, clip: float = 1e-5, limit: float = 3.0, folds: int = 2) -> Scorer:
+def dina(df: DataFrame, p: Params, rounds: int | None = None, clip: float = 1e-5, limit: float = 3.0, folds: int = 2) -> Scorer:
     """Boosted effect on log-odds beside an offset, with a modified propensity; the score is a difference of probabilities."""
     m0, m1 = (_classifier(p, a) for a in _arms(df))
     both = lambda d: m1(m0(d, "_p0"), "_p1").withColumns({c: F.least(F.greatest(F.col(c), F.lit(clip)), F.lit(1 - clip)) for c in ("_p0", "_p1")})
@@ -234,53 +219,60 @@ def dina(df: DataFrame, p: Params, rounds: int = 10, clip: float = 1e-5, limit:
     clipped = {f"_p{k}": F.least(F.greatest(F.col(f"mu{k}"), F.lit(clip)), F.lit(1 - clip)) for k in (0, 1)}
     d = cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds).withColumns(clipped).drop("mu0", "mu1", "_fold").withColumn("_a", a).withColumn("_o", F.col("_a") * eta("_p1") + (1 - F.col("_a")) * eta("_p0"))
 
-    def gradient(x: DataFrame, turn: int) -> DataFrame:
-        r = F.col("treatment") - F.col("_a")
-        q = sigmoid(F.col("_o") + r * F.col("_f"))
-        return x.withColumns({"_g": r * (q - F.col(p.outcome)), "_h": F.pow(r, 2) * q * (1 - q)})
+    d = d.select(*p.features, F.col("treatment").cast("double").alias("_t"), F.col(p.outcome).cast("double").alias("_y"), "_a", "_o")
+
+    def loss(x: Batch, f: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        r = x["_t"] - x["_a"]
+        q = 1 / (1 + np.exp(-(x["_o"] + r * f)))
+        return r * (q - x["_y"]), r**2 * q * (1 - q)
 
-    trees = _boost(d, p, gradient, rounds)
+    made = boost(d, p.features, ["_t", "_y", "_a", "_o"], loss, rounds or p.trees, p.step, _growth(p))
 
     def score(x: DataFrame) -> DataFrame:
-        x = _boosted(trees, p, both(x), "_f")
+        x = made.score(both(x), "_f")
         delta = F.least(F.greatest(F.col("_f"), F.lit(-limit)), F.lit(limit))
         return x.withColumn("score", sigmoid(eta("_p0") + delta) - F.col("_p0")).drop("_f", "_p0", "_p1")
 
     return score
 
 
-def pair_labels(pairs: DataFrame, kappa: float, clip: float = 1e-6) -> DataFrame:
-    """``pairs`` (row and other, each with effect, tau and f) with gradient ``_g`` and curvature ``_h`` of the row.
+def pair_gradient(own: Batch, other: Batch, kappa: float, clip: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of rows beside their partners, each with effect, tau and f.
 
     The soft order of a pair is the logistic of the gap in cross-fitted effects over kappa. Its orthogonal correction
     adds, at the soft order's slope, what the pair's doubly robust signals say beyond these effects; the sum, clipped,
     is the label that the logistic of the gap in predictions is pushed to. Curvature is that of the logistic loss.
     """
-    gap = F.col("effect") - F.col("other.effect")
-    soft = sigmoid(gap / F.lit(kappa))
-    slope = soft * (1 - soft) / F.lit(kappa)
-    label = F.least(F.greatest(soft + slope * ((F.col("tau") - F.col("other.tau")) - gap), F.lit(clip)), F.lit(1 - clip))
-    q = sigmoid(F.col("f") - F.col("other.f"))
-    return pairs.withColumns({"_g": q - label, "_h": q * (1 - q)})
+    gap = own["effect"] - other["effect"]
+    soft = 1 / (1 + np.exp(-gap / kappa))
+    label = np.clip(soft + soft * (1 - soft) / kappa * ((own["tau"] - other["tau"]) - gap), clip, 1 - clip)
+    q = 1 / (1 + np.exp(-(own["f"] - other["f"])))
+    return q - label, q * (1 - q)
 
 
-def rank_learner(df: DataFrame, p: Params, rounds: int = 10, scale: float = 1.0, folds: int = 2) -> Scorer:
-    """Pairwise ranking of effects: each round matches all rows anew at random and pushes pairs to their corrected order."""
+def rank_learner(df: DataFrame, p: Params, rounds: int | None = None, scale: float = 1.0, folds: int = 2) -> Scorer:
+    """Pairwise ranking of effects: each round matches rows anew at random and pushes pairs to their corrected order.
+
+    Rows are dealt to tasks by a hash and matched inside a batch, so no row is sent for a round; of an odd number the
+    last sits out.
+    """
     tau = dr_signal(p.outcome, "treatment", "mu0", "mu1", p.propensity)
     d = cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds).withColumns({"_effect": F.col("mu1") - F.col("mu0"), "_tau": tau})
-    d = materialize(d.drop("mu0", "mu1", "_fold"))
+    d = d.select(*p.features, F.col("row_id").cast("long").alias("_id"), F.col("_effect").cast("double").alias("_effect"), F.col("_tau").cast("double").alias("_tau"))
+    d = materialize(d.repartition(F.xxhash64("_id")).sortWithinPartitions(F.xxhash64("_id", F.lit(p.seed))))
     kappa = scale * float(d.agg(F.stddev_pop("_effect")).first()[0] or 1.0) or 1.0
 
-    def gradient(x: DataFrame, turn: int) -> DataFrame:
-        pairs = random_matching(x, p.seed + turn)
-        own = pairs.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("_o")).unionByName(pairs.select(F.col("right_id").alias("row_id"), F.col("left_id").alias("_o")))
-        facts = F.struct(F.col("_effect").alias("effect"), F.col("_tau").alias("tau"), F.col("_f").alias("f"))
-        other = x.select(F.col("row_id").alias("_o"), facts.alias("other"))
-        joined = x.join(own, "row_id").join(other, "_o").withColumns({"effect": F.col("_effect"), "tau": F.col("_tau"), "f": F.col("_f")})
-        return pair_labels(joined, kappa).drop("_o", "other", "effect", "tau", "f")
+    def loss(x: Batch, f: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.random.default_rng([p.seed, turn, len(f), int(x["_id"][0]) & 0xFFFFFFFF]).permutation(len(f))
+        half = len(f) // 2
+        partner = np.arange(len(f))
+        partner[order[:half]], partner[order[half : 2 * half]] = order[half : 2 * half], order[:half]
+        own = {"effect": x["_effect"], "tau": x["_tau"], "f": f}
+        g, h = pair_gradient(own, {k: v[partner] for k, v in own.items()}, kappa)
+        return g, np.where(partner == np.arange(len(f)), 0.0, h)
 
-    trees = _boost(d, p, gradient, rounds)
-    return lambda x: _boosted(trees, p, x, "score")
+    made = boost(d, p.features, ["_id", "_effect", "_tau"], loss, rounds or p.trees, p.step, _growth(p))
+    return lambda x: made.score(x, "score")
 
 
 def hybrid_logit(df: DataFrame, p: Params, terms: int = 3, folds: int = 2) -> Scorer:
@@ -298,20 +290,25 @@ def hybrid_logit(df: DataFrame, p: Params, terms: int = 3, folds: int = 2) -> Sc
     return lambda x: inputs(m1(m0(x, "mu0"), "mu1")).withColumn("score", hybrid_effect("_a", "_b", c)).drop("_a", "_b", "_t", "_ta", "_tb", "mu0", "mu1")
 
 
-def honest_forest(df: DataFrame, p: Params, trees: int = 20) -> Scorer:
-    """An approximation of a causal forest: trees grown on one half of the residual target, leaf effects from the other."""
-    base = _classifier(p, df)
-    r = F.col("treatment") - F.lit(p.propensity)
-    d = base(_with_fold(df, 2, p.seed), "_m").withColumns({"_y": ((F.col(p.outcome) - F.col("_m")) / r).cast("double"), "_w": F.pow(r, 2)})
-    fit = Pipeline(stages=[VectorAssembler(inputCols=p.features, outputCol="_x"), RandomForestRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=p.depth + 2, seed=p.seed, leafCol="_leaf")]).fit(d.where("_fold = 0"))
-    leaves = fit.transform(d.where("_fold = 1")).select("_w", "_y", F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    effects = materialize(leaves.groupBy("tree", "leaf").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_e")))
+#: Sizes of a causal forest: trees, and how a tree grows.
+FORESTS: dict[str, tuple[int, Growth]] = {
+    "quick": (100, Growth(depth=4, leaves=16, min_rows=50, min_curvature=1e-6, l2=0.0, features=0.7)),
+    "safe": (200, Growth(depth=6, leaves=64, min_rows=500, min_curvature=1e-6, l2=0.0, features=0.7)),
+    "research": (500, Growth(depth=7, leaves=128, min_rows=200, min_curvature=1e-6, l2=0.0, features=0.7)),
+    "rare_outcome": (500, Growth(depth=5, leaves=32, min_rows=10_000, min_curvature=1e-6, l2=0.0, features=0.7)),
+}
 
-    def score(x: DataFrame) -> DataFrame:
-        one = fit.transform(x).select("row_id", F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf")).join(effects, ["tree", "leaf"], "left")
-        return x.join(one.groupBy("row_id").agg(F.coalesce(F.avg("_e"), F.lit(0.0)).alias("score")), "row_id")
 
-    return score
+def honest_forest(df: DataFrame, p: Params, trees: int | None = None, profile: str = "quick", intervals: bool = False) -> Scorer:
+    """A causal forest on residuals: of the outcome by models that have not seen the row, of treatment by the known propensity.
+
+    With ``intervals`` the scorer adds variance, lower and upper as well.
+    """
+    d = cross_base(df, p)
+    d = d.select(*p.features, "row_id", (F.col(p.outcome) - F.col("_m")).cast("double").alias("_yr"), (F.col("treatment") - F.lit(p.propensity)).cast("double").alias("_tr"))
+    count, growth = FORESTS[profile]
+    forest = causal_forest(d, p.features, "row_id", "_yr", "_tr", trees or count, growth=replace(growth, seed=p.seed))
+    return lambda x: forest.score(x) if intervals else forest.score(x).drop("variance", "lower", "upper")
 
 
 def isotonic_calibration(df: DataFrame, score: str, target: str, out: str = "calibrated") -> Scorer:

@@ -568,7 +568,7 @@ def _few(name: str) -> Query:
         ship_package(spark)
         p = L.Params(FEATURES, trees=10, propensity=PROPENSITY)
         t = trial(spark, d)
-        score = L.honest_forest(t, p, 20) if name == "honest_forest" else getattr(L, name)(t, p, rounds=10)
+        score = L.honest_forest(t, p, 200) if name == "honest_forest" else getattr(L, name)(t, p, rounds=30)
         return score(t).select("row_id", F.round("score", 6).alias("score"))
 
     return run

@@ -8,7 +8,6 @@ from lodestone.operators import learners as L
 from lodestone.operators import reporting as T
 from lodestone.operators import sampling as N
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 P = L.Params(["x0", "x1"], trees=10, depth=3, step=0.2, propensity=0.5)
 
@@ -70,17 +69,16 @@ def test_cross_fitted_models_have_not_seen_their_rows(spark, data):
     assert d.count() == data.count() and loss(seen) < loss(d)
 
 
-def test_pair_labels(spark):
+def test_pair_labels():
     """By the formula: soft order, its slope times what the signals say beyond the effects, clipped."""
     rows = [(0.3, 1.2, 0.1, (0.1, -0.4, 0.3)), (0.0, -9.0, 0.0, (0.1, 9.0, 0.0)), (0.1, 0.1, 0.0, (0.1, 0.1, 0.0))]
-    other = S.StructType([S.StructField(c, S.DoubleType()) for c in ("effect", "tau", "f")])
-    schema = S.StructType([*other.fields, S.StructField("other", other)])
-    got = L.pair_labels(spark.createDataFrame(rows, schema), 0.5).collect()
+    columns = lambda rows: {c: np.array([r[k] for r in rows]) for k, c in enumerate(("effect", "tau", "f"))}
+    got = list(zip(*L.pair_gradient(columns(rows), columns([r[3] for r in rows]), 0.5), strict=True))
     for (e, tau, f, (e2, tau2, f2)), r in zip(rows, got, strict=True):
         soft = 1 / (1 + math.exp(-(e - e2) / 0.5))
         label = min(max(soft + soft * (1 - soft) / 0.5 * ((tau - tau2) - (e - e2)), 1e-6), 1 - 1e-6)
         q = 1 / (1 + math.exp(-(f - f2)))
-        assert math.isclose(r["_g"], q - label, abs_tol=1e-12) and math.isclose(r["_h"], q * (1 - q))
+        assert math.isclose(r[0], q - label, abs_tol=1e-12) and math.isclose(r[1], q * (1 - q))
 
 
 def test_propensity_auc_of_a_fair_trial(data):
