@@ -52,21 +52,21 @@ class JaccardJoin:
         """
         ship_package(docs.sparkSession)
         d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        width = self.width
-        rows = materialize(d.mapInArrow(lambda it: _prints(it, width), "doc_id long, fp1 long, fp2 long, n long"))
+        width, percent = self.width, self.percent
+        rows = materialize(d.mapInArrow(lambda it: _prints(it, width, percent), "doc_id long, fp1 long, fp2 long, n long, heads array<long>"))
         points = rows.where("n > 0 and doc_id is not null").groupBy(*_OWN).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
         # numbered by the hash partition and so in no order of ids: the smaller number has the right to be a pivot
         points = materialize(points.select(F.monotonically_increasing_id().alias("point"), "doc_id", *_OWN, "copies"))
-        found = self.links(d, points)
+        found = self.links(d, points, rows)
         least = points.join(found, "point").groupBy("component").agg(F.min("doc_id").alias("least"))
         groups = points.join(found.join(least, "component"), "point", "left").select(*_OWN, F.coalesce("least", "doc_id").alias("least"))
-        out = rows.join(groups, _OWN, "left")
+        out = rows.drop("heads").join(groups, _OWN, "left")
         own = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("least"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
-    def links(self, d: DataFrame, points: DataFrame) -> DataFrame:
+    def links(self, d: DataFrame, points: DataFrame, rows: DataFrame) -> DataFrame:
         """(point, component) of the points that some link touches."""
-        sets = materialize(self._sets(d, points, self._partnered(d, points)))
+        sets = materialize(self._sets(d, self._partnered(points, rows)))
         keys = self._keys(sets)
         ranks = materialize(keys.select("point", "rank").distinct())
         stars, windows, turn = [], [], 0
@@ -119,22 +119,22 @@ class JaccardJoin:
         size = areas.join(sets.select("point", F.size("shingles").alias("n")), "point").groupBy("area").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         return size.where((F.col("c") <= 2 * self.block) & ((F.col("s") <= 1 << 20) | (F.col("c") <= 2))).select("area")
 
-    def _partnered(self, d: DataFrame, points: DataFrame) -> DataFrame:
+    def _partnered(self, points: DataFrame, rows: DataFrame) -> DataFrame:
         """(point, doc_id, fp1, fp2, n) of the points that may link with another.
 
         Linked sets of sizes m <= n share at least percent * n / 100 shingles. So their first k shared ones, by hash,
         stand among the first n - ceil(percent * n / 100) + k of each, and a set that shares fewer than k of those with
         any other is in no link. k is a tenth of m: with one alone a common passage would do.
         """
-        width, percent = self.width, self.percent
-        first = d.where("doc_id is not null").mapInArrow(lambda it: _first_hashes(it, width, percent), "hash long, owner long")
+        percent = self.percent
+        first = rows.where("doc_id is not null").select(F.explode("heads").alias("hash"), F.col("fp1").alias("owner"))
         # copies have one owner, and a hash that stands in a third of all texts is combined before it is sent
         shared = first.groupBy("hash").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo < hi").select("hash")
         counts = first.join(shared, "hash", "left_semi").groupBy("owner").agg(F.count("*").alias("shared"))
         least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
         return points.join(counts, F.col("owner") == F.col("fp1")).where(F.col("shared") >= least * F.col("copies")).select("point", "doc_id", *_OWN)
 
-    def _sets(self, d: DataFrame, points: DataFrame, partnered: DataFrame) -> DataFrame:
+    def _sets(self, d: DataFrame, partnered: DataFrame) -> DataFrame:
         """(point, shingles), sorted, of the points that may link."""
         wanted, width = materialize(partnered), self.width
         texts = d.join(wanted.select("doc_id"), "doc_id", "left_semi")
@@ -212,13 +212,6 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _prints(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(it, "text"):
-        h, first = shingle_sets(piece, width)
-        fp1, fp2 = _fingerprints(h, first)
-        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "fp1": fp1, "fp2": fp2, "n": np.diff(first)})
-
-
 def _heads(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first ``size`` values of each row, and the rows they are of."""
     row = np.repeat(np.arange(len(size)), size)
@@ -226,14 +219,15 @@ def _heads(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.
     return values[first[:-1][row] + np.arange(len(row)) - begin[row]], row
 
 
-def _first_hashes(it: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _prints(it: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints and size of each text's set, and its n - ceil(percent * n / 100) + ceil(n / 10) smallest hashes."""
     for piece in pieces(it, "text"):
         h, first = shingle_sets(piece, width)  # sorted by hash
         n = np.diff(first)
-        take = np.minimum(n, n + (-percent * n // 100) + -(-n // 10))  # n - ceil(percent * n / 100) + ceil(n / 10)
-        owner, _ = _fingerprints(h, first)
-        head, row = _heads(h.view(np.int64), first, take)
-        yield pa.RecordBatch.from_pydict({"hash": head, "owner": owner[row]})
+        take = np.minimum(n, n + (-percent * n // 100) + -(-n // 10))
+        fp1, fp2 = _fingerprints(h, first)
+        heads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(_heads(h.view(np.int64), first, take)[0]))
+        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "fp1": fp1, "fp2": fp2, "n": n, "heads": heads})
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
