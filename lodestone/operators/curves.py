@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.order_statistics import quantiles
 from lodestone.operators.ranking import cumulate, row_numbers, tie_groups
 from lodestone.session import materialize
 
@@ -157,16 +158,19 @@ def decile_table(scored: DataFrame, k: int = 10, treatment: str = "treatment", o
 
 
 def score_diagnostics(scored: DataFrame, by: list[str] | None = None, near: float = 1e-4) -> DataFrame:
-    s = F.col("score")
-    return scored.groupBy(*(by or [])).agg(
+    s, by = F.col("score"), by or []
+    found = scored.groupBy(*by).agg(
         F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg((s < 0).cast("int")).alias("negative_share"), F.avg((F.abs(s) < near).cast("int")).alias("near_zero_share"),
-        F.count_distinct(s).alias("n_distinct"), F.percentile(s, 0.01).alias("p01"), F.percentile(s, 0.5).alias("p50"), F.percentile(s, 0.99).alias("p99"),
+        F.count_distinct(s).alias("n_distinct"),
     )
+    q = quantiles(scored, "score", [0.01, 0.5, 0.99], by)
+    q = q.select(*by, *[F.col("q")[i].alias(name) for i, name in enumerate(("p01", "p50", "p99"))])
+    return found.join(q, by or F.lit(True), "left")
 
 
 def score_histogram(scored: DataFrame, bins: int, by: list[str]) -> DataFrame:
     """Densities on edges shared by all: from the least 0.5 % to the greatest 99.5 % quantile; rows outside are left out."""
-    q = scored.groupBy(*by).agg(F.percentile("score", 0.005).alias("lo"), F.percentile("score", 0.995).alias("hi")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    q = quantiles(scored, "score", [0.005, 0.995], by).agg(F.min(F.col("q")[0]).alias("lo"), F.max(F.col("q")[1]).alias("hi"))
     d = scored.join(q).where("score between lo and hi and hi > lo")
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor((F.col("score") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.signals import pattern_id, render_pattern
 from lodestone.functions.stats import z
+from lodestone.operators.order_statistics import quantiles
 from lodestone.operators.ranking import running_sums
 
 Z95 = z(0.975)
@@ -79,8 +80,8 @@ def ate_sample_variance(df: DataFrame, outcome: str, treatment: str = "treatment
 
 def quantile_edges(long: DataFrame, bins: int, by: list[str]) -> DataFrame:
     """Distinct quantile cuts of value for each group (duplicates merged)."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return long.groupBy(*by).agg(F.array_distinct(F.percentile("value", points)).alias("edges"))
+    q = quantiles(long, "value", [i / bins for i in range(bins + 1)], by)
+    return q.select(*by, F.array_distinct("q").alias("edges"))
 
 
 def quantile_bins(long: DataFrame, bins: int, by: list[str]) -> DataFrame:
@@ -88,7 +89,7 @@ def quantile_bins(long: DataFrame, bins: int, by: list[str]) -> DataFrame:
     edges = quantile_edges(long, bins, by)
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     at = F.size(F.filter(inner, lambda e: e < F.col("value")))
-    return long.join(edges, by).withColumn("bin", F.when(F.size("edges") > 1, at)).drop("edges")
+    return long.join(edges, by, "left").withColumn("bin", F.when(F.size("edges") > 1, at)).drop("edges")
 
 
 def feature_profile(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
@@ -102,8 +103,11 @@ def feature_profile(df: DataFrame, features: list[str], bins: int = 10) -> DataF
     n = F.col("n").cast("double")
     base = long.groupBy("feature").agg(
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_null"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"), F.size(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)])))).alias("edges"),
+        F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
     )
+    q = quantiles(long, "value", [0.25, 0.5, 0.75, *[i / bins for i in range(bins + 1)]], ["feature"])
+    q = q.select("feature", F.slice("q", 1, 3).alias("q"), F.size(F.array_distinct(F.slice("q", 4, bins + 1))).alias("edges"))
+    base = base.join(q, "feature", "left")
     skew = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3))
     return base.join(top, "feature").join(distinct, "feature").select(

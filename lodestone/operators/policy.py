@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.order_statistics import quantiles
 from lodestone.operators.ranking import row_numbers
 
 
@@ -74,8 +75,8 @@ def ordering_condition(df: DataFrame, score: str, p0: str, beta: str, budgets: l
 
 def percentile_grid(df: DataFrame, score: str, points: int = 1001) -> DataFrame:
     """(value, quantile) with distinct values, the lowest quantile of equals."""
-    q = F.percentile(score, F.array(*[F.lit(i / (points - 1)) for i in range(points)]))
-    return df.agg(q.alias("v")).select(F.posexplode("v").alias("i", "value")).groupBy("value").agg((F.min("i") / (points - 1)).alias("quantile"))
+    q = quantiles(df, score, [i / (points - 1) for i in range(points)])
+    return q.select(F.posexplode("q").alias("i", "value")).groupBy("value").agg((F.min("i") / (points - 1)).alias("quantile"))
 
 
 def batch_target(df: DataFrame, score: str, budget: float, grid: DataFrame) -> DataFrame:

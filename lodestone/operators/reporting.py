@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.order_statistics import quantiles
 from lodestone.functions.signals import transformed_outcome
 from lodestone.functions.stats import chi2_sf, student_p
 from lodestone.operators import curves as C
@@ -112,7 +113,7 @@ def sign_segments(df: DataFrame, score: str, outcome: str, near: float = 1e-4) -
 
 def score_quantiles(scored: DataFrame, points: list[float]) -> DataFrame:
     """A row a model with its score at each quantile."""
-    q = scored.groupBy("model").agg(F.percentile("score", F.array(*[F.lit(p) for p in points])).alias("q"))
+    q = quantiles(scored, "score", points, ["model"])
     return q.select("model", *[F.col("q")[i].alias(f"p{round(p * 1000):03d}") for i, p in enumerate(points)])
 
 
