@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.snapshots import Snapshots
+
 
 def write_predictions(scores: DataFrame, path: str) -> None:
     """Long scores (row_id, model, score), a folder a model; writing one model again leaves the others."""
@@ -20,19 +21,20 @@ def read_predictions(spark: SparkSession, path: str, models: list[str] | None =
     return d if models is None else d.where(F.col("model").isin(models))
 
 
-def replace_csv(df: DataFrame, path: str) -> None:
-    """One table as CSV with a header; readers see the old files or the new ones.
+def replace_csv(df: DataFrame, path: str) -> int:
+    """One table as CSV with a header, as the next version of the snapshots at ``path``; see ``read_csv``.
 
-    New files are written beside the old, then take their place, so a failed job leaves the old table.
+    Nothing is overwritten: readers see the old version whole until the new one's record is there, and a failed job
+    leaves the old one. Versions but the newest two go.
     """
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.option("header", True).csv(fresh)
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{fresh} could not take the place of {path}")
+    table = Snapshots(df.sparkSession, path)
+    number = table.publish(df, "csv")
+    table.expire(keep=2)
+    return number
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    return Snapshots(spark, path).read()
 
 
 def write_json(spark: SparkSession, facts: dict, path: str) -> None:
