@@ -72,6 +72,29 @@ def pattern_shrinkage(df: DataFrame, features: list[str], outcome: str, m: str,
     return d.groupBy("pattern").agg(F.count("*").alias("n"), (F.sum(w * target) / (F.sum(w) + F.lit(prior))).alias("residual"))
 
 
+def pattern_scores(df: DataFrame, features: list[str], outcome: str, m: str, e: float, fold: str, prior: float = 1000.0) -> DataFrame:
+    """``df`` with pattern, residual and score: alpha * m and the residual of the row's pattern of mode flags, in [-1, 1].
+
+    alpha and residuals are of the other folds: sums by (pattern, fold), from which a fold's own are subtracted. A pattern
+    that no other fold holds has the residual 0.
+    """
+    d, flags = sentinel_flags(df, features)
+    d = d.withColumn("pattern", pattern_id([F.col(f) for f in flags])).drop(*flags)
+    r, rest = F.col("treatment") - F.lit(e), F.col(outcome) - F.col(m)
+    sums = {"_a": F.sum(r * F.col(m) * rest), "_b": F.sum(F.pow(r * F.col(m), 2)), "_x": F.sum(r * rest), "_y": F.sum(F.pow(r, 2) * F.col(m)), "_z": F.sum(F.pow(r, 2))}
+    own = materialize(d.groupBy("pattern", fold).agg(*[v.alias(k) for k, v in sums.items()]))
+    folds = own.groupBy(fold).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    all_ = own.agg(F.sum("_a").alias("_aa"), F.sum("_b").alias("_bb"))
+    alpha = folds.join(all_).select(fold, F.coalesce(F.try_divide(F.col("_aa") - F.col("_a"), F.col("_bb") - F.col("_b")), F.lit(0.0)).alias("_alpha"))
+    total = own.groupBy("pattern").agg(*[F.sum(c).alias(f"{c}{c[1]}") for c in ("_x", "_y", "_z")])
+    left = own.join(total, "pattern").join(alpha, fold)
+    residual = (F.col("_xx") - F.col("_x") - F.col("_alpha") * (F.col("_yy") - F.col("_y"))) / (F.col("_zz") - F.col("_z") + F.lit(prior))
+    table = left.select("pattern", fold, residual.alias("residual"))
+    out = d.join(table, ["pattern", fold], "left").join(F.broadcast(alpha), fold).withColumn("residual", F.coalesce("residual", F.lit(0.0)))
+    score = F.col("_alpha") * F.col(m) + F.col("residual")
+    return out.withColumn("score", F.greatest(F.least(score, F.lit(1.0)), F.lit(-1.0))).drop("_alpha")
+
+
 # pyspark.ml learners: fit(df) gives a function that adds ``score`` to any table with the features.
 
 

@@ -86,3 +86,20 @@ def test_propensity_auc_of_a_fair_trial(data):
     for tree in (False, True):
         auc = L.propensity_auc(split.where("split = 'train'"), split.where("split = 'test'"), ["x0", "x1"], tree).first()["auc"]
         assert 0.42 < auc < 0.58
+
+
+def test_pattern_scores(spark):
+    """By plain sums over the rows of the other folds; a pattern of one fold alone has no residual."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 2)), 5.0 if i == 7 else 0.0, int(rng.random() < 0.5), int(rng.random() < 0.3), 0.1 + 0.2 * float(rng.random()), i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, x0 double, x1 double, treatment int, conversion int, m double, fold int").repartition(3)
+    got = {r.row_id: r for r in L.pattern_scores(df, ["x0", "x1"], "conversion", "m", 0.5, "fold", 20.0).collect()}
+    assert len(got) == 600 and got[7].residual == 0.0
+    kind = {i: (got[i].pattern,) for i, *_ in rows}
+    for i, _, _, _, _, m, k in rows[::37] + [rows[7]]:
+        rest = [(t - 0.5, y, b, kind[j]) for j, _, _, t, y, b, f in rows if f != k]
+        alpha = sum(r * b * (y - b) for r, y, b, _ in rest) / sum((r * b) ** 2 for r, y, b, _ in rest)
+        same = [(r, y, b) for r, y, b, p in rest if p == kind[i]]
+        residual = sum(r * r * ((y - b) - r * alpha * b) / r for r, y, b in same) / (sum(r * r for r, _, _ in same) + 20.0)
+        assert math.isclose(got[i].residual, residual, abs_tol=1e-9)
+        assert math.isclose(got[i].score, min(max(alpha * m + residual, -1), 1), abs_tol=1e-9)
