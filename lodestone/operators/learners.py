@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -113,19 +113,39 @@ class Params:
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+def with_mean_propensity(df: DataFrame, p: Params) -> Params:
+    """``p`` with the share of treated rows in ``df`` as propensity; a table of one arm raises."""
+    share = df.agg(F.avg("treatment")).first()[0]
+    if share is None or not 0 < share < 1:
+        raise ValueError("a propensity needs rows of both arms")
+    return replace(p, propensity=float(share))
+
+
 def _growth(p: Params) -> Growth:
     return Growth(depth=p.depth, leaves=1 << p.depth, seed=p.seed, **p.extra)
 
 
-def _classifier(p: Params, df: DataFrame, features: list[str] | None = None, label: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
-    """A function that adds P(label = 1) as a column; without both classes the base rate."""
+def probability_model(p: Params, df: DataFrame, features: list[str] | None = None, label: str | None = None) -> PipelineModel | float:
+    """Trees for P(label = 1); without both classes the base rate."""
     label = label or p.outcome
     features = features or p.features
     facts = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.avg(label).alias("m")).first()
     if facts["lo"] == facts["hi"]:
-        return lambda d, out: d.withColumn(out, F.lit(float(facts["m"] or 0.0)))
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=p.trees, maxDepth=p.depth, stepSize=p.step, seed=p.seed)]).fit(df.withColumn("_y", F.col(label).cast("double")))
-    return lambda d, out: model.transform(d).withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+        return float(facts["m"] or 0.0)
+    trees = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=p.trees, maxDepth=p.depth, stepSize=p.step, seed=p.seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), trees]).fit(df.withColumn("_y", F.col(label).cast("double")))
+
+
+def add_probability(model: PipelineModel | float, d: DataFrame, out: str) -> DataFrame:
+    if isinstance(model, float):
+        return d.withColumn(out, F.lit(model))
+    return model.transform(d).withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+
+
+def _classifier(p: Params, df: DataFrame, features: list[str] | None = None, label: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that adds P(label = 1) as a column."""
+    model = probability_model(p, df, features, label)
+    return lambda d, out: add_probability(model, d, out)
 
 
 def _regressor(p: Params, df: DataFrame, target: Column, weight: Column | None = None) -> Callable[[DataFrame, str], DataFrame]:
@@ -143,12 +163,13 @@ def response(df: DataFrame, p: Params) -> Scorer:
     return lambda d: m(d, "score")
 
 
-def s_learner(df: DataFrame, p: Params) -> Scorer:
+def s_learner(df: DataFrame, p: Params, k: float = 1.0) -> Scorer:
+    """``k``: by how much undersampling of negatives raised the base rate of ``df``; the effect is divided by it."""
     m = _classifier(p, df, [*p.features, "treatment"])
 
     def score(d: DataFrame) -> DataFrame:
         two = m(m(d.withColumn("_t", F.col("treatment")).withColumn("treatment", F.lit(1)), "_p1").withColumn("treatment", F.lit(0)), "_p0")
-        return two.withColumn("score", F.col("_p1") - F.col("_p0")).withColumn("treatment", F.col("_t")).drop("_t", "_p1", "_p0")
+        return two.withColumn("score", (F.col("_p1") - F.col("_p0")) / F.lit(float(k))).withColumn("treatment", F.col("_t")).drop("_t", "_p1", "_p0")
 
     return score
 
@@ -198,8 +219,22 @@ def cross_base(df: DataFrame, p: Params, folds: int = 2, out: str = "_m") -> Dat
     return materialize(reduce(DataFrame.unionByName, parts).drop("_fold"))
 
 
-def dr_learner(df: DataFrame, p: Params, folds: int = 2) -> Scorer:
-    d = materialize(cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds))
+def averaged_nuisance(df: DataFrame, p: Params, folds: int = 2, mc_iters: int = 1) -> DataFrame:
+    """``df`` with mu0 and mu1, each the mean over ``mc_iters`` partitions into folds of models that have not seen the row.
+
+    A partition adds to sums that stand in the row, so rows are never shuffled or joined back.
+    """
+    if mc_iters < 1:
+        raise ValueError("mc_iters must be at least 1")
+    d = df.withColumns({"_s0": F.lit(0.0), "_s1": F.lit(0.0)})
+    for i in range(mc_iters):
+        one = cross_nuisance(_with_fold(d, folds, p.seed + i), p, "_fold", folds)
+        d = materialize(one.withColumns({"_s0": F.col("_s0") + F.col("mu0"), "_s1": F.col("_s1") + F.col("mu1")}).drop("mu0", "mu1", "_fold"))
+    return d.withColumns({"mu0": F.col("_s0") / mc_iters, "mu1": F.col("_s1") / mc_iters}).drop("_s0", "_s1")
+
+
+def dr_learner(df: DataFrame, p: Params, folds: int = 2, mc_iters: int = 1) -> Scorer:
+    d = averaged_nuisance(df, p, folds, mc_iters)
     m = _regressor(p, d, dr_signal(p.outcome, "treatment", "mu0", "mu1", p.propensity))
     return lambda d: m(d, "score")
 

@@ -79,16 +79,27 @@ def percentile_grid(df: DataFrame, score: str, points: int = 1001) -> DataFrame:
     return q.select(F.posexplode("q").alias("i", "value")).groupBy("value").agg((F.min("i") / (points - 1)).alias("quantile"))
 
 
+def percentiles(df: DataFrame, score: str, grid: DataFrame) -> DataFrame:
+    """``df`` with its score's percentile in a population by straight lines between grid points; null scores have none.
+
+    A score is found by halving steps in the sorted grid, which has at most a few thousand points.
+    """
+    g = grid.agg(F.array_sort(F.collect_list(F.struct("value", "quantile"))).alias("_g")).where(F.size("_g") > 0)
+    g = g.select(F.transform("_g", lambda x: x["value"]).alias("_v"), F.transform("_g", lambda x: x["quantile"]).alias("_q"))
+    top = F.floor(F.log2(F.size("_v"))).cast("int")
+    g = g.withColumn("_step", F.transform(F.sequence(F.lit(0), top), lambda i: F.pow(F.lit(2), top - i).cast("int")))
+    d, x = df.join(F.broadcast(g), how="left"), F.col(score)
+    ahead = lambda at, step: (at + step <= F.size("_v")) & (F.get("_v", at + step - 1) <= x)
+    d = d.withColumn("_at", F.aggregate("_step", F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at)))
+    lo, hi, q_lo, q_hi = (F.get(c, F.col("_at") - k) for c, k in (("_v", 1), ("_v", 0), ("_q", 1), ("_q", 0)))
+    between = q_lo + (x - lo) / (hi - lo) * (q_hi - q_lo)
+    at = F.when(x.isNull(), None).when(F.col("_at") == 0, q_hi).when((F.col("_at") == F.size("_v")) | (lo == x), q_lo).otherwise(between)
+    return d.withColumn("percentile", at).drop("_v", "_q", "_step", "_at")
+
+
 def batch_target(df: DataFrame, score: str, budget: float, grid: DataFrame) -> DataFrame:
-    """``df`` with target, and its score's percentile in a population by straight lines between grid points."""
-    g = grid.agg(F.array_sort(F.collect_list(F.struct("value", "quantile"))).alias("_g"))  # a grid has at most 1001 points
-    d = top_budget(df, score, budget).join(F.broadcast(g))
-    lo = F.element_at(F.filter("_g", lambda p: p["value"] <= F.col(score)), -1)
-    hi = F.get(F.filter("_g", lambda p: p["value"] >= F.col(score)), 0)
-    d = d.withColumns({"_lo": F.when(F.col("_g")[0]["value"] <= F.col(score), lo), "_hi": hi})
-    part = F.coalesce(F.try_divide(F.col(score) - F.col("_lo.value"), F.col("_hi.value") - F.col("_lo.value")), F.lit(0.0))
-    at = F.when(F.col("_lo").isNull(), F.col("_hi.quantile")).when(F.col("_hi").isNull(), F.col("_lo.quantile")).otherwise(F.col("_lo.quantile") + part * (F.col("_hi.quantile") - F.col("_lo.quantile")))
-    return d.withColumn("percentile", at).drop("_g", "_lo", "_hi")
+    """``df`` with target, the floor(n * budget) highest scores of the batch, and percentile in the population of ``grid``."""
+    return percentiles(top_budget(df, score, budget), score, grid)
 
 
 def simulate(curve: DataFrame, budget: float, audience: int, value: float, cost: float) -> DataFrame:

@@ -33,6 +33,11 @@ def migrate(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
     return df.select(*own, *[c for c in df.columns if c not in schema.names])
 
 
+def status_counts(registry: DataFrame, column: str = "status") -> DataFrame:
+    """(status, n) of a registry's rows; rows without a status are counted under ``unknown``."""
+    return registry.groupBy(F.coalesce(F.col(column), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 

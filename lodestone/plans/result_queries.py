@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
@@ -14,10 +16,12 @@ from lodestone.operators import registry as R
 from lodestone.operators import reporting as T
 from lodestone.operators import resample as B
 from lodestone.operators import sampling as N
+from lodestone.operators.scorer import SavedScorer
 from lodestone.plans import oracles as O
 from lodestone.plans import queries as Q
 from lodestone.plans.oracles import ORACLES
 from lodestone.plans.queries import query, rounded
+from lodestone.session import shared_dir
 from lodestone.sources import artifacts as A
 
 BUDGETS, PROPENSITY = Q.BUDGETS, Q.PROPENSITY
@@ -216,10 +220,10 @@ sql("candidates_over_seeds", "results", "SELECT model, avg(qini_score) AS mean,
 
 @query
 def order_status_counts(spark, d):
-    return Q.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).count().withColumnRenamed("count", "n")
+    return R.status_counts(Q.table(spark, d, "orders"), "o_orderstatus")
 
 
-sql("order_status_counts", "", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+sql("order_status_counts", "", "SELECT coalesce(o_orderstatus, 'unknown') AS status, count(*) AS n FROM orders GROUP BY 1")
 
 
 @query
@@ -497,3 +501,20 @@ def candidate_search(spark, d):
     found = Q.materialize(found)
     summary = R.seed_summary(found, found.where("candidate = 'coarse'"))
     return rounded(summary.join(R.select_winners(summary, 0.0, 1, "coarse"), "model").drop("total_seconds"))
+
+
+@query
+def saved_scorer(spark, d):
+    """A scorer fitted, saved in the shared folder, read back and asked for the top tenth of the trial."""
+    t, path = Q.trial(spark, d), f"{shared_dir(spark)}/lodestone-scorer-{uuid.uuid4().hex}"
+    SavedScorer.fit(t, L.Params(Q.FEATURES, trees=10)).save(path)
+    batch = SavedScorer.load(spark, path, Q.FEATURES).target(t, 0.1)
+    return rounded(batch.select("row_id", "score", "target", "percentile"))
+
+
+@query
+def dr_learner_averaged(spark, d):
+    """The doubly robust learner with nuisances of three partitions into folds and the share of treated rows as propensity."""
+    t = Q.trial(spark, d)
+    p = L.with_mean_propensity(t, L.Params(Q.FEATURES, trees=5))
+    return L.dr_learner(t, p, mc_iters=3)(t).select("row_id", F.round("score", 6).alias("score"))

@@ -56,19 +56,39 @@ def index_hash(df: DataFrame) -> dict:
     return {"n_rows": row["n"], "row_hash": str(row["h"])}
 
 
-def read_scoring_csv(spark: SparkSession, path: str, required: list[str], max_rows: int = 200_000) -> DataFrame:
-    """An uploaded batch: required columns without nulls, other columns allowed, at most ``max_rows`` rows."""
-    df = spark.read.option("header", True).csv(path)
+def _within(spark: SparkSession, path: str, max_bytes: int) -> None:
+    """Raises where the files of an upload are larger than allowed; only their lengths are read."""
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"{size} bytes, at most {max_bytes} are allowed")
+
+
+def _checked(df: DataFrame, required: list[str], max_rows: int) -> DataFrame:
+    """``df`` with its required columns as finite doubles, or an error that says what is wrong."""
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"columns are missing: {missing}")
     df = df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in required})
-    facts = df.agg(F.count("*").alias("n"), F.count_if(F.greatest(*[F.col(c).isNull() for c in required], F.lit(False))).alias("bad")).first()
-    if facts["n"] > max_rows or facts["bad"]:
-        raise ValueError(f"{facts['n']} rows, {facts['bad']} with missing or unreadable values")
+    unfit = [F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`") | (F.abs(f"`{c}`") == float("inf")) for c in required]
+    facts = df.agg(F.count("*").alias("n"), F.count_if(F.greatest(*unfit, F.lit(False), F.lit(False))).alias("bad")).first()
+    if not facts["n"] or facts["n"] > max_rows or facts["bad"]:
+        raise ValueError(f"{facts['n']} rows (1 to {max_rows} are allowed), {facts['bad']} with missing or unreadable values")
     return df
 
 
+def read_scoring_csv(spark: SparkSession, path: str, required: list[str], max_rows: int = 200_000, max_bytes: int = 25 << 20) -> DataFrame:
+    """An uploaded batch: required columns of finite numbers, other columns allowed, limits on rows and bytes."""
+    _within(spark, path, max_bytes)
+    return _checked(spark.read.option("header", True).csv(path), required, max_rows)
+
+
+def read_scoring_json(spark: SparkSession, path: str, required: list[str], max_rows: int = 200_000, max_bytes: int = 25 << 20) -> DataFrame:
+    """The same from JSON: one object a line, or an array of objects on one or many lines; text that is no JSON raises."""
+    _within(spark, path, max_bytes)
+    many_lines = not spark.read.text(path).where(F.trim("value").rlike(r"^\[\s*$")).isEmpty()
+    return _checked(spark.read.json(path, mode="FAILFAST", multiLine=many_lines), required, max_rows)
+
+
 def events_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic trial over ``events``: arm by arithmetic on the id, outcomes by type, features by value and time."""
     e = table(spark, sf_dir, "events")
