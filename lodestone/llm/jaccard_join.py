@@ -33,13 +33,13 @@ class JaccardJoin:
 
     ``cells_log2`` bounds the broadcast table of shingle frequencies (four bytes a cell: 16 MB at 22), which only orders
     shingles: it changes the work, not the result. ``block`` is how many members of a core and of a window
-    a task compares, ``pivots`` how many a round expects to pick in a crowd.
+    a task compares, ``pivots`` how many a round expects to pick in a crowd, ``shard`` how many smallest hashes a task counts.
     """
 
-    def __init__(self, width: int = 5, percent: int = 80, cells_log2: int = 22, block: int = 512, pivots: int = 8):
+    def __init__(self, width: int = 5, percent: int = 80, cells_log2: int = 22, block: int = 512, pivots: int = 8, shard: int = 1 << 19):
         if not 50 < percent <= 100:
             raise ValueError("percent must be over 50, so that a region's window is not everything")
-        self.width, self.percent, self.cells_log2, self.block, self.pivots = width, percent, cells_log2, block, pivots
+        self.width, self.percent, self.cells_log2, self.block, self.pivots, self.shard = width, percent, cells_log2, block, pivots, shard
 
     def run(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id) for each row of ``docs``.
@@ -54,9 +54,9 @@ class JaccardJoin:
         d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
         width, percent = self.width, self.percent
         rows = materialize(d.mapInArrow(lambda it: _prints(it, width, percent), "doc_id long, fp1 long, fp2 long, n long, heads array<long>"))
-        points = rows.where("n > 0 and doc_id is not null").groupBy(*_OWN).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+        points = rows.where("n > 0 and doc_id is not null").groupBy(*_OWN).agg(F.min("doc_id").alias("doc_id"))
         # numbered by the hash partition and so in no order of ids: the smaller number has the right to be a pivot
-        points = materialize(points.select(F.monotonically_increasing_id().alias("point"), "doc_id", *_OWN, "copies"))
+        points = materialize(points.select(F.monotonically_increasing_id().alias("point"), "doc_id", *_OWN))
         found = self.links(d, points, rows)
         least = points.join(found, "point").groupBy("component").agg(F.min("doc_id").alias("least"))
         groups = points.join(found.join(least, "component"), "point", "left").select(*_OWN, F.coalesce("least", "doc_id").alias("least"))
@@ -126,13 +126,14 @@ class JaccardJoin:
         stand among the first n - ceil(percent * n / 100) + k of each, and a set that shares fewer than k of those with
         any other is in no link. k is a tenth of m: with one alone a common passage would do.
         """
-        percent = self.percent
-        first = rows.where("doc_id is not null").select(F.explode("heads").alias("hash"), F.col("fp1").alias("owner"))
-        # copies have one owner, and a hash that stands in a third of all texts is combined before it is sent
-        shared = first.groupBy("hash").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo < hi").select("hash")
-        counts = first.join(shared, "hash", "left_semi").groupBy("owner").agg(F.count("*").alias("shared"))
-        least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
-        return points.join(counts, F.col("owner") == F.col("fp1")).where(F.col("shared") >= least * F.col("copies")).select("point", "doc_id", *_OWN)
+        heads = rows.where("doc_id is not null and n > 0").select("fp1", "heads")
+        total = heads.agg(F.coalesce(F.sum(F.size("heads")), F.lit(0))).first()[0]
+        shards = max(1, -(-total // self.shard))
+        # hashes travel once, packed by ranges of hashes; what many texts of a task share is counted before it is sent
+        packed = heads.mapInArrow(lambda it: _packed(it, shards), "shard int, hashes binary, owners binary, counted binary, counts binary")
+        counts = packed.groupBy("shard").applyInArrow(_shared, "owner long, shared long").groupBy("owner").agg(F.sum("shared").alias("shared"))
+        least = F.ceil(F.ceil(F.col("n") * self.percent / 100) / 10)
+        return points.join(counts, F.col("owner") == F.col("fp1")).where(F.col("shared") >= least).select("point", "doc_id", *_OWN)
 
     def _sets(self, d: DataFrame, partnered: DataFrame) -> DataFrame:
         """(point, shingles), sorted, of the points that may link."""
@@ -230,6 +231,70 @@ def _prints(it: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[
         yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "fp1": fp1, "fp2": fp2, "n": n, "heads": heads})
 
 
+def _once(h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of hash and owner once, sorted by both, and where another hash begins (also at the end)."""
+    order = np.lexsort((o, h))
+    h, o = h[order], o[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    h, o = h[new], o[new]
+    begin = np.ones(len(h) + 1, bool)
+    begin[1:-1] = h[1:] != h[:-1]
+    return h, o, begin
+
+
+def _packed(it: Iterator[pa.RecordBatch], shards: int, lot: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Smallest hashes and their owners by range of hashes, lot by lot.
+
+    Hashes are cut to 48 bits: two that meet by that only keep a set for the exact steps. Of a hash's owners in a lot the
+    first and the last are sent, which is enough to tell that it is shared; those between are counted here. So a hash
+    of a third of all texts is sent twice a lot. Counts may exceed the truth where copies stand in several lots.
+    """
+
+    def flush() -> pa.RecordBatch:
+        h, o, begin = _once(np.concatenate([v for v, _ in held]) >> np.uint64(16), np.concatenate([f for _, f in held]))
+        sent = begin[:-1] | begin[1:]
+        counted, counts = np.unique(o[~sent], return_counts=True)
+        h, o = h[sent], o[sent]
+        cut = np.searchsorted(((h >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(cut))
+        out = {"shard": full.tolist(), "hashes": [_planes(h[cut[s] : cut[s + 1]]) for s in full], "owners": [o[cut[s] : cut[s + 1]].tobytes() for s in full]}
+        out["counted"], out["counts"] = [b""] * len(full), [b""] * len(full)
+        k = int(counted[0] % len(full)) if len(counted) else 0  # whichever range: counts are added up after it
+        out["counted"][k], out["counts"][k] = counted.tobytes(), counts.astype("<i4").tobytes()
+        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "shard" else pa.binary()) for c, v in out.items()})
+
+    held, size = [], 0
+    for piece in pieces(it, "heads"):
+        values, first = _lists(piece.column("heads"))
+        if len(values):
+            held.append((values.view(np.uint64), np.repeat(piece.column("fp1").to_numpy(), np.diff(first))))
+            size += len(values)
+        if size >= lot:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _planes(h: np.ndarray) -> bytes:
+    """48-bit hashes as three runs of 16 bits, the upper of which compresses well as hashes are sorted."""
+    return b"".join(((h >> np.uint64(k)) & np.uint64(0xFFFF)).astype("<u2").tobytes() for k in (32, 16, 0))
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """(owner, shared): how many of its smallest hashes in this range another owner has, with what was counted before."""
+    read = lambda c, kind: [np.frombuffer(b, kind) for b in table.column(c).to_pylist()]
+    planes = [p.reshape(3, -1).astype(np.uint64) for p in read("hashes", "<u2")]
+    h = np.concatenate([(p[0] << np.uint64(32)) | (p[1] << np.uint64(16)) | p[2] for p in planes])
+    _, o, begin = _once(h, np.concatenate(read("owners", np.int64)))
+    several = np.repeat(np.diff(np.flatnonzero(begin)) > 1, np.diff(np.flatnonzero(begin)))
+    owners = np.concatenate([o[several], *read("counted", np.int64)])
+    counts = np.concatenate([np.ones(int(several.sum()), np.int64), *[c.astype(np.int64) for c in read("counts", "<i4")]])
+    owner, at = np.unique(owners, return_inverse=True)
+    return pa.table({"owner": pa.array(owner, pa.int64()), "shared": pa.array(np.bincount(at, counts, len(owner)).astype(np.int64), pa.int64())})
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
     return column.flatten().to_numpy(), first

@@ -1,11 +1,13 @@
 """The Jaccard join against all pairs in plain Python."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 from test_operators import docs, empty, fixture_texts, prose, shingles  # noqa: F401
 
-from lodestone.llm.jaccard_join import JaccardJoin
+from lodestone.llm.jaccard_join import JaccardJoin, _packed, _shared
 
 
 def brute(rows, percent=80):
@@ -86,3 +88,29 @@ def test_large_group_of_near_copies(spark):
             words[int(rng.integers(len(words)))] = f"x{rng.integers(100000)}"
         rows.append((i, " ".join(words)))
     assert rows_of(spark, rows, block=100) == brute(rows)
+
+
+@pytest.mark.parametrize("lot", [1, 64, 1 << 20])
+@pytest.mark.parametrize("shards", [1, 7])
+def test_shared_hashes_are_counted(lot, shards):
+    """Packed by ranges and lots: never under the count over all rows, and equal to it where no owner has copies."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 300) * 2 - 1
+    owners = rng.permutation(np.arange(-60, 60) * 1_000_003)
+    heads = [rng.choice(pool, k, replace=False).tolist() + [int(pool[0])] * int(k > 0) for k in rng.integers(0, 9, len(owners))]
+    for copies in (1, 2):
+        batch = pa.RecordBatch.from_pydict({"fp1": pa.array(np.tile(owners, copies)), "heads": pa.array(heads * copies, pa.list_(pa.int64()))})
+        parts = [pa.Table.from_batches([b]) for b in _packed(iter([batch.slice(0, 50), batch.slice(50)]), shards, lot)]
+        table, got = pa.concat_tables(parts), {}
+        for k in range(shards):
+            own = table.filter(pa.compute.equal(table.column("shard"), k))
+            if own.num_rows:
+                for o, n in zip(*(c.to_pylist() for c in _shared(own).columns), strict=True):
+                    got[o] = got.get(o, 0) + n
+        holders = {}
+        for o, row in zip(owners.tolist(), heads, strict=True):
+            for x in row:
+                holders.setdefault(x, set()).add(o)
+        want = {o: sum(len(holders[x]) > 1 for x in set(row)) for o, row in zip(owners.tolist(), heads, strict=True)}
+        for o, n in want.items():
+            assert got.get(o, 0) == n if copies == 1 else got.get(o, 0) >= n
