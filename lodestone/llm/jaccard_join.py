@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ class JaccardJoin:
 
     def links(self, d: DataFrame, points: DataFrame, rows: DataFrame) -> DataFrame:
         """(point, component) of the points that some link touches."""
-        sets = materialize(self._sets(d, self._partnered(points, rows)))
+        sets = self._sets(d, self._partnered(points, rows))
         keys = self._keys(sets)
         ranks = materialize(keys.select("point", "rank").distinct())
         stars, windows, turn = [], [], 0
@@ -136,11 +137,34 @@ class JaccardJoin:
         return points.join(counts, F.col("owner") == F.col("fp1")).where(F.col("shared") >= least).select("point", "doc_id", *_OWN)
 
     def _sets(self, d: DataFrame, partnered: DataFrame) -> DataFrame:
-        """(point, shingles), sorted, of the points that may link."""
+        """(point, shingles), sorted, of the points that may link.
+
+        Texts stay where they are read: a broadcast bitmap of the wanted ids says which sets are made and sent, and the join
+        on ids and fingerprints drops what else it lets through.
+        """
         wanted, width = materialize(partnered), self.width
-        texts = d.join(wanted.select("doc_id"), "doc_id", "left_semi")
-        made = texts.mapInArrow(lambda it: _sets(it, width), "doc_id long, fp1 long, fp2 long, n long, shingles array<long>")
-        return made.join(wanted, ["doc_id", *_OWN]).groupBy("point").agg(F.first("shingles").alias("shingles"))
+        marks = self._marks(wanted)
+        made = d.mapInArrow(lambda it: _sets(_among(it, marks), width), "doc_id long, fp1 long, fp2 long, n long, shingles array<long>")
+        # rows that repeat meet before the join and by its keys, so that sets are dealt out once
+        own = ["doc_id", *_OWN]
+        sets = made.groupBy(*own).agg(F.first("shingles").alias("shingles")).join(wanted, own).select("point", "shingles")
+        sets = materialize(sets)
+        marks.destroy()
+        return sets
+
+    def _marks(self, wanted: DataFrame):
+        """A broadcast bitmap of hashed ids, about sixteen bits an id and at most 2 ** 27 bits (16 MB).
+
+        Past eight million ids it lets more texts through to the join, and none of the wanted is ever kept back.
+        """
+        log2 = min(27, wanted.count().bit_length() + 4)
+        log2 = max(log2, 10)
+        slices = wanted.select("doc_id").mapInArrow(lambda it: _marked(it, log2), "slice int, counts binary").groupBy("slice")
+        bits = np.zeros(1 << (log2 - 3), np.uint8)
+        for row in slices.applyInArrow(_either, "slice int, counts binary").toLocalIterator():
+            own = np.frombuffer(row["counts"], np.uint8)
+            bits[row["slice"] * len(own) : (row["slice"] + 1) * len(own)] = own
+        return wanted.sparkSession.sparkContext.broadcast(bits)
 
     def _keys(self, sets: DataFrame) -> DataFrame:
         """(point, rank, link, key): of each set the first n - ceil(s * n) + 1 shingles, s the similarity at distance 2 * eps, rare ones first.
@@ -319,6 +343,39 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])})
 
 
+def _bit(ids: np.ndarray, log2: int) -> np.ndarray:
+    """Where in a bitmap of 2 ** log2 bits an id stands."""
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - log2)).astype(np.int64)
+
+
+def _marked(it: Iterator[pa.RecordBatch], log2: int) -> Iterator[pa.RecordBatch]:
+    """The bitmap of the task's ids, in slices of at most 65,536 bytes."""
+    bits = np.zeros(1 << log2, bool)
+    for batch in it:
+        bits[_bit(batch.column("doc_id").to_numpy(), log2)] = True
+    if bits.any():
+        packed = np.packbits(bits, bitorder="little")
+        slices = packed.reshape(-1, min(len(packed), 1 << 16))
+        yield pa.RecordBatch.from_pydict({"slice": np.arange(len(slices), dtype=np.int32), "counts": [s.tobytes() for s in slices]})
+
+
+def _either(table: pa.Table) -> pa.Table:
+    total = np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()])
+    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()])})
+
+
+def _among(it: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
+    """The rows with an id that the bitmap holds."""
+    bits = marks.value
+    log2 = len(bits).bit_length() + 2
+    for batch in it:
+        batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
+        at = _bit(batch.column("doc_id").to_numpy(), log2)
+        yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1, pa.uint8()).cast(pa.bool_()))
+
+
 def _rare_first(it: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
     often = shared.value
     cells = len(often).bit_length() - 1
