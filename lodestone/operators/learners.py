@@ -52,6 +52,29 @@ def cell_t_learner(df: DataFrame, cells: list[str], outcome: str, fold: str | No
     return cell_nuisance(df, cells, outcome, fold).withColumn("score", F.col("mu1") - F.col("mu0"))
 
 
+def cell_scorer(df: DataFrame, cells: list[str], outcome: str, prior: float = 0.0) -> Scorer:
+    """A scorer of the difference of both arms' mean outcomes in a row's cell, nulls being a cell of their own.
+
+    Each mean is shrunk by ``prior`` rows to its arm's mean over all cells, which a cell without rows of the arm takes.
+    """
+    t, y = F.col("treatment"), F.col(outcome)
+    sums = {"_n1": F.sum(t), "_n0": F.sum(1 - t), "_y1": F.sum(t * y), "_y0": F.sum((1 - t) * y)}
+    key = [f"_k{i}" for i in range(len(cells))]
+    keyed = lambda d: d.withColumns({k: F.col(c) for k, c in zip(key, cells, strict=True)})
+    table = materialize(keyed(df).groupBy(*key).agg(*[c.alias(n) for n, c in sums.items()]))
+    total = table.agg(*[F.sum(n).alias(n) for n in sums]).first()
+    overall = {a: float(total[f"_y{a}"] or 0) / float(total[f"_n{a}"] or 1) for a in (0, 1)}
+    mean = lambda a: F.coalesce(F.try_divide(F.col(f"_y{a}") + F.lit(prior * overall[a]), F.col(f"_n{a}") + F.lit(float(prior))), F.lit(overall[a]))
+    table = table.select(*[F.col(k).alias(f"{k}r") for k in key], (mean(1) - mean(0)).alias("_effect"))
+
+    def score(d: DataFrame) -> DataFrame:
+        on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in key])
+        joined = keyed(d.drop("score")).join(table, on, "left")
+        return joined.withColumn("score", F.coalesce("_effect", F.lit(overall[1] - overall[0]))).drop("_effect", *key, *[f"{k}r" for k in key])
+
+    return score
+
+
 def cell_funnel(df: DataFrame, cells: list[str]) -> DataFrame:
     """P(visit) * P(conversion given visit) by arm and cell, and their difference."""
     t, v, y = F.col("treatment"), F.col("visit"), F.col("conversion")

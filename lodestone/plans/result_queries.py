@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from lodestone.functions import signals as S
 from lodestone.operators import curves as C
 from lodestone.operators import diagnostics as D
 from lodestone.operators import ensemble as E
@@ -17,6 +18,7 @@ from lodestone.operators import reporting as T
 from lodestone.operators import resample as B
 from lodestone.operators import sampling as N
 from lodestone.operators.scorer import SavedScorer
+from lodestone.operators.search import Race
 from lodestone.plans import oracles as O
 from lodestone.plans import queries as Q
 from lodestone.plans.oracles import ORACLES
@@ -503,6 +505,18 @@ def candidate_search(spark, d):
     return rounded(summary.join(R.select_winners(summary, 0.0, 1, "coarse"), "model").drop("total_seconds"))
 
 
+@query
+def candidate_race(spark, d):
+    """A race of cell learners over two rungs and two validation seeds: where each candidate ended, and whether it won."""
+    cut = lambda c, width: F.floor(F.col(c) / width)
+    t = Q.trial(spark, d).withColumns({"coarse": cut("f3", 50), "middle": cut("f3", 25), "fine": cut("f3", 10), "other": cut("f0", 10)})
+    builders = {c: lambda train, c=c: L.cell_scorer(train, [c], "conversion", prior=10) for c in ("coarse", "middle", "fine", "other")}
+    got = Race(shares=(0.3, 1.0)).run(t, builders, "coarse", S.ipw_signal("conversion", "treatment", PROPENSITY))
+    fits = got.fits.groupBy("candidate").agg(F.count("*").alias("n_fits"), F.max_by("qini_score", F.struct("rung", "validation_seed")).alias("qini_score"))
+    won = (F.col("candidate") == got.winner).cast("int").alias("won")
+    return rounded(got.dropped.join(fits, "candidate").select("candidate", "rung", "reason", "n_fits", "qini_score", won))
+
+
 @query
 def saved_scorer(spark, d):
     """A scorer fitted, saved in the shared folder, read back and asked for the top tenth of the trial."""

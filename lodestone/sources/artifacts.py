@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
+from functools import partial
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import ship_package
 from lodestone.sources.snapshots import Snapshots
 
+HASHES = pa.schema([("path", pa.string()), ("length", pa.int64()), ("sha256", pa.string())])
+
 
 def write_predictions(scores: DataFrame, path: str) -> None:
     """Long scores (row_id, model, score), a folder a model; writing one model again leaves the others."""
@@ -46,9 +55,30 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """(path, length, sha256) of each file, of whatever size: executors read it in pieces of ``chunk`` bytes.
+
+    Only names and sizes are listed as rows; files are dealt out evenly and must be open to all executors. Empty files,
+    which Spark's listing leaves out, have no row.
+    """
+    ship_package(spark)
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    return listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(partial(_hashed, chunk=chunk), "path string, length long, sha256 string")
+
+
+def _hashed(it: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        sums = []
+        for path in batch.column("path").to_pylist():
+            place = urlsplit(path)
+            # a URI is escaped; a plain path is not a URI to Arrow
+            files, name = (LocalFileSystem(), unquote(place.path)) if place.scheme in ("", "file") else FileSystem.from_uri(path)
+            state = hashlib.sha256()
+            with files.open_input_stream(name, buffer_size=0) as stream:
+                while piece := stream.read(chunk):
+                    state.update(piece)
+            sums.append(state.hexdigest())
+        yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "length": batch.column("length"), "sha256": sums}, schema=HASHES)
 
 
 def scrape_log(spark: SparkSession, path: str, seconds: str = r"fit[^0-9]*([0-9.]+) ?s", rows: str = r"([0-9,]+) rows") -> DataFrame:

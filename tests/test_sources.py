@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from lodestone.operators import ensemble as E
 from lodestone.operators import registry as R
@@ -121,3 +123,28 @@ def test_logs(spark, tmp_path):
     (tmp_path / "a.log").write_text("read 1,200 rows\nfit in 3.5 s\nfit took 4.25 s\n")
     (tmp_path / "b.log").write_text("nothing\n")
     assert sorted(map(tuple, A.scrape_log(spark, f"{tmp_path}/*.log").collect())) == [("a.log", 4.25, 1200), ("b.log", None, None)]
+
+
+def test_hashes_of_files_larger_than_a_chunk(spark, tmp_path):
+    """Sizes around the chunk's edge, a name that is escaped and an empty file, which has no row."""
+    sizes = {"a": 0, "b": 1023, "c": 1024, "d": 1025, "e f%": 70_001}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(bytes(i * 7 % 251 for i in range(size)))
+    got = {r["sha256"]: r["length"] for r in A.file_hashes(spark, str(tmp_path), chunk=1024).collect()}
+    assert got == {hashlib.sha256((tmp_path / name).read_bytes()).hexdigest(): size for name, size in sizes.items() if size}
+
+
+def test_hashing_reads_in_pieces(tmp_path):
+    big, piece = tmp_path / "big", b"\x00" * (1 << 20)
+    with open(big, "wb") as f:
+        f.truncate(400 << 20)
+    want = hashlib.sha256()
+    for _ in range(400):
+        want.update(piece)
+    batch = pa.RecordBatch.from_pydict({"path": [f"file:{big}"], "length": [400 << 20]})
+    tracemalloc.start()
+    (out,) = A._hashed(iter([batch]), 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("sha256")[0].as_py() == want.hexdigest()
+    assert peak < 20 << 20
