@@ -93,10 +93,15 @@ def render_pattern(key, n: int) -> Column:
     return F.translate(F.reverse(F.lpad(F.bin(_c(key)), n, "0")), "10", ".O")
 
 
+def uniform_digits(row_id, replicate, seed: int) -> Column:
+    """The eight hexadecimal digits behind ``uniform``, which order as it does and cost less to make."""
+    text = F.concat_ws(":", _c(row_id).cast("string"), _c(replicate).cast("string") if not isinstance(replicate, int) else F.lit(str(replicate)), F.lit(str(seed)))
+    return F.substring(F.md5(text), 1, 8)
+
+
 def uniform(row_id, replicate, seed: int) -> Column:
     """A number in [0, 1) from md5, the same in any engine that has md5."""
-    text = F.concat_ws(":", _c(row_id).cast("string"), _c(replicate).cast("string") if not isinstance(replicate, int) else F.lit(str(replicate)), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(uniform_digits(row_id, replicate, seed), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 #: The distribution function of a Poisson count with mean 1.

@@ -99,7 +99,12 @@ def rate(scored: DataFrame, signal: str, by: list[str] | None = None) -> DataFra
 def interpolate(points: DataFrame, grid: list[float], by: list[str], x: str = "x", y: str = "y", at: str = "budget") -> DataFrame:
     """y at each grid value by straight lines between points; the ends hold beyond them."""
     g = F.explode(F.array(*[F.lit(float(b)) for b in grid])).alias(at)
-    p = points.select(*by, F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("p"), g)
+    return between(points.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), g), by, at)
+
+
+def between(points: DataFrame, by: list[str], at: str = "budget") -> DataFrame:
+    """(by, at, value): y at ``at`` by a straight line between the nearest of the points (by, at, x, y); the ends hold beyond them."""
+    p = points.select(*by, at, F.struct("x", "y").alias("p"))
     lo, hi = F.max(F.when(F.col("p.x") <= F.col(at), F.col("p"))), F.min(F.when(F.col("p.x") >= F.col(at), F.col("p")))
     d = p.groupBy(*by, at).agg(lo.alias("lo"), hi.alias("hi"))
     lo, hi = F.coalesce("lo", "hi"), F.coalesce("hi", "lo")

@@ -12,11 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.signals import POISSON, uniform
-from lodestone.operators.curves import policy_area, policy_curve
+from lodestone.functions.signals import POISSON, uniform_digits
+from lodestone.operators.curves import between, policy_area
 from lodestone.session import materialize, ship_package
 
 _M = np.uint64(0xFFFFFFFF)
@@ -272,9 +272,38 @@ def simultaneous_band(diffs: DataFrame, observed: DataFrame, by: list[str], alph
     return observed.join(se, by).join(crit).select(*by, "observed", "se", "critical", (F.col("observed") - F.col("critical") * F.col("se")).alias("low"), (F.col("observed") + F.col("critical") * F.col("se")).alias("high"))
 
 
+def random_policy_curves(df: DataFrame, signal: str, budgets: list[float], seeds: int, seed: int, digits: int = 3) -> DataFrame:
+    """(draw, budget, value): value of targeting the top share of each of ``seeds`` random rankings of ``df``.
+
+    A draw's scores are made from row_id where they are needed, and no row is sent for them. A first pass sums rows and
+    signal by draw and slice, the scores' first ``digits`` hexadecimal digits, which tells the slice that each budget ends
+    in; a second ranks the rows of these slices alone, about one in 16 ** ``digits`` for each draw and budget.
+    """
+    rows = materialize(df.select("row_id", F.col(signal).cast("double").alias("_g")))
+    d = rows.select("_g", "row_id", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("draw")).withColumn("_score", uniform_digits("row_id", F.col("draw"), seed))
+    d = d.withColumn("_slice", F.substring("_score", 1, digits))
+    sums = {"_n": F.count("*"), "_g": F.coalesce(F.sum("_g"), F.lit(0.0))}
+    held = materialize(d.groupBy("draw", "_slice").agg(*[c.alias(k) for k, c in sums.items()]))
+    before = Window.partitionBy("draw").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    start = {k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in (("_n0", "_n"), ("_g0", "_g"))}
+    whole = Window.partitionBy("draw")
+    held = held.withColumns(start | {"_all": F.sum("_n").over(whole), "_last": F.min("_slice").over(whole)})
+    asked = held.withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
+    ends = (F.col("_n0") + F.col("_n")) / F.col("_all") >= F.col("budget")
+    asked = materialize(asked.where((F.col("_n0") / F.col("_all") < F.col("budget")) & (ends | (F.col("_slice") == F.col("_last")))).select("draw", "_slice", "budget", "_n0", "_g0", "_all"))
+
+    wanted = asked.groupBy("draw", "_slice").agg(F.first("_n0").alias("_n0"), F.first("_g0").alias("_g0"), F.first("_all").alias("_all"))
+    ties = d.join(F.broadcast(wanted), ["draw", "_slice"]).groupBy("draw", "_slice", "_n0", "_g0", "_all", "_score").agg(*[c.alias(k) for k, c in sums.items()])
+    upto = Window.partitionBy("draw", "_slice").orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, 0)
+    x, y = (F.col(a) + F.sum(b).over(upto) for a, b in (("_n0", "_n"), ("_g0", "_g")))
+    points = ties.select("draw", "_slice", (x / F.col("_all")).alias("x"), (y / F.col("_all")).alias("y"))
+    first = asked.select("draw", "budget", (F.col("_n0") / F.col("_all")).alias("x"), (F.col("_g0") / F.col("_all")).alias("y"))
+    origin = held.select("draw").distinct().select("draw", F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("budget"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    points = points.join(F.broadcast(asked.select("draw", "_slice", "budget")), ["draw", "_slice"]).select("draw", "budget", "x", "y")
+    return between(points.unionByName(first).unionByName(origin), ["draw"])
+
+
 def random_policy_sensitivity(df: DataFrame, signal: str, budgets: list[float], seeds: int, seed: int) -> DataFrame:
     """(budget, mean, min, max) of the value of random rankings."""
-    d = df.select("row_id", signal, F.lit(0).alias("treatment"), F.lit(0).alias("outcome"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("draw"))
-    d = d.withColumn("score", uniform("row_id", F.col("draw"), seed))
-    c = policy_curve(d, signal, budgets, ["draw"])
+    c = random_policy_curves(df, signal, budgets, seeds, seed)
     return c.groupBy("budget").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))

@@ -266,9 +266,8 @@ pts AS (SELECT cn / (SELECT sum(n) FROM g) AS x, cs / cn - (SELECT sum(s) / sum(
 @query
 def random_topk_areas(spark, d):
     """Mean and spread over seeds of the area under random policies' curves."""
-    s = Q.scored(spark, d).select("row_id", "dr", F.lit(0).alias("treatment"), F.lit(0).alias("outcome"), F.explode(F.sequence(F.lit(0), F.lit(Q.RANDOM_SEEDS - 1))).alias("draw"))
-    s = s.withColumn("score", Q.S.uniform("row_id", F.col("draw"), 3))
-    a = C.policy_area(C.policy_curve(s, "dr", BUDGETS, ["draw"]), ["draw"])
+    curves = B.random_policy_curves(Q.scored(spark, d), "dr", BUDGETS, Q.RANDOM_SEEDS, 3)
+    a = C.policy_area(curves, ["draw"])
     return rounded(a.agg(F.avg("policy_area").alias("mean"), F.stddev_samp("policy_area").alias("std"), F.count("*").alias("n_seeds")))
 
 
