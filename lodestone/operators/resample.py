@@ -22,22 +22,39 @@ from lodestone.session import materialize, ship_package
 _M = np.uint64(0xFFFFFFFF)
 #: Fixed values of the weights' hash, which the registered SQL repeats.
 LOW, HIGH, TURN, SEED, ROUND = 1640531527, 668265263, 374761393, 1274126177, 73244475
-_ROWS = 2048  # rows whose weights are held at once
+_ROWS = 2048  # rows whose weights are held at once by a mean
+_CELLS = 1 << 19  # weights that are held at once by a ranking
+_RANGE = 200_000  # rows of a range
+
+
+#: The least 32-bit hash of each count over 0.
+_STEPS = [np.uint32(np.ceil(p * 4294967296.0)) for p in POISSON]
+_AT_ONCE = 1 << 16  # weights made at once, which stay in a core's cache
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
+    """``x``, of 32-bit numbers, mixed in place; products keep their lower half."""
     for _ in range(2):
-        x = ((x ^ (x >> np.uint64(16))) * np.uint64(ROUND)) & _M
-    return x ^ (x >> np.uint64(16))
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(ROUND)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def weights(row_id: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """A row for each id, a column for each replicate: counts of a Poisson distribution with mean 1."""
     ids = row_id.astype(np.uint64)
     own = (((ids & _M) * np.uint64(LOW)) & _M) ^ (((ids >> np.uint64(32)) * np.uint64(HIGH)) & _M)
-    turn = _mixed((np.arange(replicates, dtype=np.uint64) * np.uint64(TURN) + np.uint64(seed * SEED)) & _M)
-    u = _mixed(own[:, None] ^ turn[None]) / 4294967296.0
-    return np.searchsorted(np.array(POISSON), u.ravel(), "right").reshape(u.shape).astype(float)
+    turn = _mixed(((np.arange(replicates, dtype=np.uint64) * np.uint64(TURN) + np.uint64(seed * SEED)) & _M).astype(np.uint32))
+    own, out = own.astype(np.uint32), np.empty((len(ids), replicates))
+    rows = max(1, _AT_ONCE // replicates)
+    for at in range(0, len(ids), rows):
+        h = _mixed(own[at : at + rows, None] ^ turn[None])
+        count = (h >= _STEPS[0]).view(np.uint8)
+        for step in _STEPS[1:]:
+            count += (h >= step).view(np.uint8)
+        out[at : at + rows] = count
+    return out
 
 
 def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -63,7 +80,8 @@ def bootstrap_mean(df: DataFrame, columns: list[str], replicates: int, seed: int
     return long.groupBy("replicate", "policy").agg(F.sum("v").alias("v")).join(n).select(F.col("replicate").cast("int").alias("replicate"), "policy", (F.col("v") / F.col("_n")).alias("value"))
 
 
-_SUMS = ["N", "N1", "Y1", "Y0", "G"]
+#: What a row adds to each running sum, times its weight.
+_SUMS = {"N": lambda t, y, g: np.ones(len(t)), "N1": lambda t, y, g: t, "Y1": lambda t, y, g: t * y, "Y0": lambda t, y, g: (1 - t) * y, "G": lambda t, y, g: g}
 #: From running sums and totals (each a vector by replicate) the points of a curve: x, and rows of y.
 Points = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
 
@@ -85,34 +103,42 @@ def _rate_points(s: dict, t: dict) -> tuple[np.ndarray, np.ndarray]:
     return share, np.stack((toc, share * toc))
 
 
-def _increments(batch: pa.RecordBatch, signal: str | None, replicates: int, seed: int) -> np.ndarray:
-    """Of each row and replicate what it adds to the running sums."""
+def _by_tie(batch: pa.RecordBatch, ends: np.ndarray, sums: list[str], signal: str | None, replicates: int, seed: int) -> np.ndarray:
+    """(sum, tie, replicate): what the rows up to each of ``ends`` add since the one before; the last end is the batch's."""
     w = weights(batch.column("row_id").to_numpy(), replicates, seed)
     t, y = _numbers(batch, "treatment"), _numbers(batch, "outcome")
-    g = _numbers(batch, signal) if signal else np.zeros(len(t))
-    return np.stack([w * c[:, None] for c in (np.ones(len(t)), t, t * y, (1 - t) * y, g)])
+    values = np.stack([_SUMS[s](t, y, _numbers(batch, signal) if signal else None) for s in sums])
+    starts = np.append(0, ends[:-1])
+    if len(ends) * 8 > len(t):  # short ties
+        return np.stack([np.add.reduceat(w * v[:, None], starts, 0) for v in values])
+    return np.stack([values[:, a:b] @ w[a:b] for a, b in zip(starts, ends, strict=True)], 1)
 
 
-def ranked_draws(scored: DataFrame, signal: str | None, points: Points, trapezoid: bool, grid: list[float], replicates: int, seed: int) -> DataFrame:
+def ranked_draws(scored: DataFrame, sums: list[str], signal: str | None, points: Points, trapezoid: bool, grid: list[float], replicates: int, seed: int) -> DataFrame:
     """(model, totals, areas, values) of long scores: arrays by replicate.
 
-    totals are the last running sums, areas the integrals of each row of y over x, by trapezoids or by the value at
+    totals are the last of the running ``sums``, areas the integrals of each row of y over x, by trapezoids or by the value at
     the right end, from the origin on; values y's first row on ``grid``, by straight lines between points. Points
-    stand at the ends of ties. Rows without a score or a model take no part.
+    stand at the ends of ties. Rows without a score or a model take no part. A range has about ``_RANGE`` rows however
+    many there are, and a block of it is as many rows as fit ``_CELLS`` weights, so a task's memory does not grow.
     """
     spark = scored.sparkSession
     ship_package(spark)
     columns = ["row_id", "treatment", "outcome", *([signal] if signal else [])]
     d = scored.where("model is not null and score is not null").select("model", F.col("score").cast("double").alias("score"), *columns)
     order = [F.asc("model"), F.desc("score"), F.xxhash64("row_id")]  # a long tie is cut too
-    parted = materialize(d.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order))
+    d = materialize(d)
+    ranges = max(spark.sparkContext.defaultParallelism, -(-d.count() // _RANGE))
+    parted = materialize(d.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    block = max(1, _CELLS // replicates)
+    shape = (len(sums), replicates)
 
     def total(table: pa.Table) -> pa.Table:
-        sums = np.zeros((len(_SUMS), replicates))
-        for batch in table.to_batches(max_chunksize=_ROWS):
-            sums += _increments(batch, signal, replicates, seed).sum(1)
+        found = np.zeros(shape)
+        for batch in table.to_batches(max_chunksize=block):
+            found += _by_tie(batch, np.array([batch.num_rows]), sums, signal, replicates, seed)[:, 0]
         score = table.column("score").to_numpy()
-        return pa.table({"model": table.column("model").slice(0, 1), "_range": table.column("_range").slice(0, 1), "high": [float(score.max())], "low": [float(score.min())], "sums": [sums.ravel()]})
+        return pa.table({"model": table.column("model").slice(0, 1), "_range": table.column("_range").slice(0, 1), "high": [float(score.max())], "low": [float(score.min())], "sums": [found.ravel()]})
 
     kind = d.schema["model"].dataType.simpleString()
     key = ["model", "_range"]
@@ -121,18 +147,17 @@ def ranked_draws(scored: DataFrame, signal: str | None, points: Points, trapezoi
     def starts(table: pa.Table) -> pa.Table:
         """Of a model's ranges, a row each: sums before them, the model's, and whether the last tie goes on."""
         table = table.sort_by("_range")
-        sums = np.stack(table.column("sums").to_numpy(zero_copy_only=False))
-        before = np.cumsum(sums, 0) - sums
+        own = np.stack(table.column("sums").to_numpy(zero_copy_only=False))
+        before = np.cumsum(own, 0) - own
         high, low = table.column("high").to_numpy(), table.column("low").to_numpy()
         goes_on = np.append(low[:-1] == high[1:], False)
-        return pa.table({"model": table.column("model"), "_range": table.column("_range"), "before": list(before), "all": [sums.sum(0)] * len(sums), "goes_on": goes_on})
+        return pa.table({"model": table.column("model"), "_range": table.column("_range"), "before": list(before), "all": [own.sum(0)] * len(own), "goes_on": goes_on})
 
     begun = totals.groupBy("model").applyInArrow(starts, f"model {kind}, _range int, before array<double>, all array<double>, goes_on boolean")
 
     def walk(table: pa.Table, start: pa.Table) -> pa.Table:
-        shape = (len(_SUMS), replicates)
         held, all_ = (np.asarray(start.column(c)[0].values).reshape(shape) for c in ("before", "all"))
-        named = lambda x: dict(zip(_SUMS, x, strict=True))
+        named = lambda x: dict(zip(sums, x, strict=True))
         score = table.column("score").to_numpy()
         order = np.argsort(-score, kind="stable")
         table, score = table.take(pa.array(order)), score[order]
@@ -140,10 +165,13 @@ def ranked_draws(scored: DataFrame, signal: str | None, points: Points, trapezoi
         first = last = area = None
         low = np.full((len(grid), 2, replicates), np.nan)
         high = np.full((len(grid), 2, replicates), np.nan)
-        for at in range(0, len(score), _ROWS):
-            cum = held[:, None] + np.cumsum(_increments(table.slice(at, _ROWS).combine_chunks().to_batches()[0], signal, replicates, seed), 1)
+        for at in range(0, len(score), block):
+            batch = table.slice(at, block).combine_chunks().to_batches()[0]
+            ends = np.flatnonzero(end[at : at + block]) + 1
+            open_ = not len(ends) or ends[-1] < batch.num_rows  # the block's last tie goes on
+            cum = held[:, None] + np.cumsum(_by_tie(batch, np.append(ends, batch.num_rows) if open_ else ends, sums, signal, replicates, seed), 1)
             held = cum[:, -1]
-            cum = cum[:, end[at : at + _ROWS]]
+            cum = cum[:, :-1] if open_ else cum
             if not cum.shape[1]:
                 continue
             x, y = points(named(cum), named(all_))
@@ -212,7 +240,7 @@ def _by_replicate(draws: DataFrame, replicates: int) -> DataFrame:
 
 def bootstrap_policy(scored: DataFrame, signal: str, budgets: list[float], replicates: int, seed: int) -> DataFrame:
     """(replicate, model, budget, value) of long scores (row_id, model, score, treatment, outcome, signal)."""
-    d = _by_replicate(ranked_draws(scored, signal, _policy_points, True, budgets, replicates, seed), replicates)
+    d = _by_replicate(ranked_draws(scored, ["N", "G"], signal, _policy_points, True, budgets, replicates, seed), replicates)
     cells = F.array(*[F.struct(F.lit(float(b)).alias("budget"), _cell("values", k, replicates).alias("value")) for k, b in enumerate(budgets)])
     return d.select("replicate", "model", F.inline(cells))
 
@@ -223,13 +251,13 @@ def bootstrap_policy_area(draws: DataFrame) -> DataFrame:
 
 def bootstrap_rate(scored: DataFrame, signal: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, model, autoc, rate_qini)."""
-    d = _by_replicate(ranked_draws(scored, signal, _rate_points, False, [], replicates, seed), replicates)
+    d = _by_replicate(ranked_draws(scored, ["N", "G"], signal, _rate_points, False, [], replicates, seed), replicates)
     return d.select("replicate", "model", _cell("areas", 0, replicates).alias("autoc"), _cell("areas", 1, replicates).alias("rate_qini"))
 
 
 def bootstrap_qini(scored: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(replicate, model, qini_score); null where the best ranking is as good as the diagonal."""
-    d = _by_replicate(ranked_draws(scored, None, _qini_points, True, [], replicates, seed), replicates)
+    d = _by_replicate(ranked_draws(scored, ["N", "N1", "Y1", "Y0"], None, _qini_points, True, [], replicates, seed), replicates)
     n, n1, a, b = (_cell("totals", k, replicates) for k in range(4))  # a: treated events, b: control events
     # the best ranking has three ties: treated events, rows without event, control events
     end = a - F.coalesce(F.try_divide(b * n1, n - n1), F.lit(0.0))

@@ -88,3 +88,21 @@ def test_mean_draws(spark):
     got = {r["replicate"]: r["value"] for r in B.bootstrap_mean(one, ["dr"], 4, 1).collect()}
     for k in range(4):
         assert got[k] == pytest.approx(sum(w[i][k] * g for i, m, *_, g in rows if m == "a") / len(ids))
+
+
+def test_ranges_do_not_grow_with_the_table(spark):
+    """Ranges have about as many rows in a larger table: by the number of cores alone there would be 8, ties of them cut."""
+    n, kept = 4000, []
+    rows, df = fixture(spark, n, 3, 2)
+    before, whole = B.materialize, B._RANGE
+    B.materialize, B._RANGE = lambda d: kept.append(before(d)) or kept[-1], 200
+    try:
+        got = {(r["replicate"], r["model"]): r["qini_score"] for r in B.bootstrap_qini(df, 3, 3).collect()}
+    finally:
+        B.materialize, B._RANGE = before, whole
+    sizes = [r["count"] for r in kept[1].groupBy("model", "_range").count().collect()]
+    assert sum(sizes) == 2 * n and len(sizes) >= 30 and max(sizes) < 1000
+    ids = sorted({i for i, *_ in rows})
+    w = B.weights(np.array(ids), 3, 3)
+    for (r, m), value in got.items():
+        assert value == pytest.approx(qini(expanded(rows, m, dict(zip(ids, w[:, r], strict=True)))), abs=1e-9)
