@@ -490,12 +490,13 @@ sql("order_prefix_counts", "", "SELECT starts_with(o_orderpriority, '1-')::BIGIN
 @query
 def candidate_search(spark, d):
     """Cell learners of three cuts on two validation seeds: Qini scores against the coarsest, and the winner."""
-    t = Q.trial(spark, d)
+    t = Q.materialize(Q.trial(spark, d).select("row_id", "treatment", "conversion", "f3"))
     cuts = {"coarse": [F.floor(F.col("f3") / 50)], "middle": [F.floor(F.col("f3") / 25)], "fine": [F.floor(F.col("f3") / 10)]}
     found = None
     for seed in (101, 202):
+        dealt = Q.materialize(N.folds(t, 3, seed))  # rows are ranked once a seed, for all cuts
         for name, (cut,) in cuts.items():
-            m = L.cell_nuisance(N.folds(t.withColumn("cell", cut), 3, seed), ["cell"], "conversion", "fold")
+            m = L.cell_nuisance(dealt.withColumn("cell", cut), ["cell"], "conversion", "fold")
             s = m.select("treatment", F.col("conversion").alias("outcome"), F.round(F.col("mu1") - F.col("mu0"), 9).alias("score"))
             part = C.normalised_area(s, "qini").select(F.lit("cells").alias("model"), F.lit(name).alias("candidate"), F.lit(seed).alias("validation_seed"), "qini_score", F.lit(0.0).alias("fit_seconds"))
             found = part if found is None else found.unionByName(part)
