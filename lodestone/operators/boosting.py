@@ -52,9 +52,10 @@ class Tree:
         n = (2 << depth) - 1
         return Tree(np.full(n, -1), np.zeros(n, int), np.zeros(n))
 
-    def leaf(self, bins: np.ndarray) -> np.ndarray:
+    def leaf(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node of each row; ``levels``: how many are grown yet."""
         at, rows = np.zeros(len(bins), int), np.arange(len(bins))
-        for _ in range(int(math.log2(len(self.feature) + 1)) - 1):
+        for _ in range(int(math.log2(len(self.feature) + 1)) - 1 if levels is None else levels):
             f = self.feature[at]
             at = np.where(f >= 0, 2 * at + 1 + (bins[rows, f] > self.cut[at]), at)
         return at
@@ -142,17 +143,18 @@ def grow(table: DataFrame, width: int, columns: list[str], trees: int, stats: Ca
         if not held:
             break
 
-        def sums(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def sums(it: Iterator[pa.RecordBatch], held=held, level=level) -> Iterator[pa.RecordBatch]:
             total = {k: np.zeros((len(v), width, g.bins, 3)) for k, v in held.items()}
             for batch, bins in _batches(it, columns, width):
                 for k, nodes in held.items():
                     grad, curve = stats(batch, bins, k)
                     place = np.full(len(out[k].feature), -1)
                     place[nodes] = np.arange(len(nodes))
-                    at = place[out[k].leaf(bins)]
-                    live = np.flatnonzero((at >= 0) & (curve > 0))
+                    live = np.flatnonzero(curve > 0)  # of a forest's rows a tree takes a quarter
+                    at = place[out[k].leaf(bins[live], level)]
+                    live, at = live[at >= 0], at[at >= 0]
                     for f in range(width):
-                        flat, size = at[live] * g.bins + bins[live, f], len(nodes) * g.bins
+                        flat, size = at * g.bins + bins[live, f], len(nodes) * g.bins
                         for j, w in enumerate((grad[live], curve[live], None)):
                             total[k][:, f, :, j] += np.bincount(flat, w, size).reshape(len(nodes), g.bins)
             rows = [(k, node, total[k][i].tobytes()) for k, nodes in held.items() for i, node in enumerate(nodes)]
@@ -383,7 +385,7 @@ def causal_forest(df: DataFrame, features: list[str], row_id: str, y_residual: s
             r = x[t_residual]
             for k, tree in enumerate(grown):
                 own = part(x, k) == 1
-                leaf = tree.leaf(bins)[own]
+                leaf = tree.leaf(bins[own])
                 for j, w in enumerate((r * x[y_residual], r * r, np.ones(len(r)))):
                     total[k, :, j] += np.bincount(leaf, w[own], total.shape[1])
         yield pa.RecordBatch.from_pydict({"tree": np.arange(trees), "sums": [t.tobytes() for t in total]})

@@ -234,9 +234,14 @@ def _with_fold(df: DataFrame, folds: int, seed: int) -> DataFrame:
     return df.withColumn("_fold", F.floor(uniform("row_id", 0, seed) * folds).cast("int"))
 
 
+def _dealt(df: DataFrame, folds: int, seed: int) -> DataFrame:
+    """``df`` with its folds, written once: a fit reads its rows several times, and would make rows and hashes anew each time."""
+    return materialize(_with_fold(df, folds, seed))
+
+
 def cross_base(df: DataFrame, p: Params, folds: int = 2, out: str = "_m") -> DataFrame:
     """``df`` with the outcome's probability, whatever the arm, from models of the other folds."""
-    d, parts = materialize(_with_fold(df, folds, p.seed)), []
+    d, parts = _dealt(df, folds, p.seed), []
     for k in range(folds):
         parts.append(_classifier(p, d.where(F.col("_fold") != k))(d.where(F.col("_fold") == k), out))
     return materialize(reduce(DataFrame.unionByName, parts).drop("_fold"))
@@ -251,7 +256,7 @@ def averaged_nuisance(df: DataFrame, p: Params, folds: int = 2, mc_iters: int =
         raise ValueError("mc_iters must be at least 1")
     d = df.withColumns({"_s0": F.lit(0.0), "_s1": F.lit(0.0)})
     for i in range(mc_iters):
-        one = cross_nuisance(_with_fold(d, folds, p.seed + i), p, "_fold", folds)
+        one = cross_nuisance(_dealt(d, folds, p.seed + i), p, "_fold", folds)
         d = materialize(one.withColumns({"_s0": F.col("_s0") + F.col("mu0"), "_s1": F.col("_s1") + F.col("mu1")}).drop("mu0", "mu1", "_fold"))
     return d.withColumns({"mu0": F.col("_s0") / mc_iters, "mu1": F.col("_s1") / mc_iters}).drop("_s0", "_s1")
 
@@ -292,13 +297,14 @@ def funnel_s(df: DataFrame, p: Params) -> Scorer:
 
 def dina(df: DataFrame, p: Params, rounds: int | None = None, clip: float = 1e-5, limit: float = 3.0, folds: int = 2) -> Scorer:
     """Boosted effect on log-odds beside an offset, with a modified propensity; the score is a difference of probabilities."""
+    df = _dealt(df, folds, p.seed)
     m0, m1 = (_classifier(p, a) for a in _arms(df))
     both = lambda d: m1(m0(d, "_p0"), "_p1").withColumns({c: F.least(F.greatest(F.col(c), F.lit(clip)), F.lit(1 - clip)) for c in ("_p0", "_p1")})
     v1, v0, e = F.col("_p1") * (1 - F.col("_p1")), F.col("_p0") * (1 - F.col("_p0")), F.lit(p.propensity)
     a = e * v1 / (e * v1 + (1 - e) * v0)
     eta = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     clipped = {f"_p{k}": F.least(F.greatest(F.col(f"mu{k}"), F.lit(clip)), F.lit(1 - clip)) for k in (0, 1)}
-    d = cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds).withColumns(clipped).drop("mu0", "mu1", "_fold").withColumn("_a", a).withColumn("_o", F.col("_a") * eta("_p1") + (1 - F.col("_a")) * eta("_p0"))
+    d = cross_nuisance(df, p, "_fold", folds).withColumns(clipped).drop("mu0", "mu1", "_fold").withColumn("_a", a).withColumn("_o", F.col("_a") * eta("_p1") + (1 - F.col("_a")) * eta("_p0"))
 
     d = d.select(*p.features, F.col("treatment").cast("double").alias("_t"), F.col(p.outcome).cast("double").alias("_y"), "_a", "_o")
 
@@ -338,7 +344,7 @@ def rank_learner(df: DataFrame, p: Params, rounds: int | None = None, scale: flo
     last sits out.
     """
     tau = dr_signal(p.outcome, "treatment", "mu0", "mu1", p.propensity)
-    d = cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds).withColumns({"_effect": F.col("mu1") - F.col("mu0"), "_tau": tau})
+    d = cross_nuisance(_dealt(df, folds, p.seed), p, "_fold", folds).withColumns({"_effect": F.col("mu1") - F.col("mu0"), "_tau": tau})
     d = d.select(*p.features, F.col("row_id").cast("long").alias("_id"), F.col("_effect").cast("double").alias("_effect"), F.col("_tau").cast("double").alias("_tau"))
     d = materialize(d.repartition(F.xxhash64("_id")).sortWithinPartitions(F.xxhash64("_id", F.lit(p.seed))))
     kappa = scale * float(d.agg(F.stddev_pop("_effect")).first()[0] or 1.0) or 1.0
@@ -364,7 +370,8 @@ def hybrid_logit(df: DataFrame, p: Params, terms: int = 3, folds: int = 2) -> Sc
         return x.withColumns({"_ta": F.col("_t") * F.col("_a"), "_tb": F.col("_t") * F.col("_b")})
 
     columns = ["_a", "_t"] if terms == 3 else ["_a", "_b", "_t", "_ta", "_tb"]
-    d = inputs(cross_nuisance(_with_fold(df, folds, p.seed), p, "_fold", folds)).withColumn("_y", F.col(p.outcome).cast("double"))
+    df = _dealt(df, folds, p.seed)
+    d = materialize(inputs(cross_nuisance(df, p, "_fold", folds)).select(*columns, F.col(p.outcome).cast("double").alias("_y")))
     fit = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.0, tol=1e-8, standardization=False)]).fit(d).stages[-1]
     c = [float(fit.intercept), *map(float, fit.coefficients)]
     m0, m1 = (_classifier(p, a) for a in _arms(df))

@@ -103,3 +103,19 @@ def test_pattern_scores(spark):
         residual = sum(r * r * ((y - b) - r * alpha * b) / r for r, y, b in same) / (sum(r * r for r, _, _ in same) + 20.0)
         assert math.isclose(got[i].residual, residual, abs_tol=1e-9)
         assert math.isclose(got[i].score, min(max(alpha * m + residual, -1), 1), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["dina", "rank_learner", "hybrid_logit", "honest_forest"])
+def test_rows_are_made_once(spark, name):
+    """A learner makes its rows once, however many fits read them; lazily each fit made them some five times."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    n = 400
+    df = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("treatment"), (F.col("id") % 3 == 0).cast("int").alias("conversion"), counted((F.col("id") % 7).cast("double")).alias("f0"), (F.col("id") % 5).cast("double").alias("f1"))
+    L.BUILDERS[name](df, L.Params(["f0", "f1"], trees=4 if name == "honest_forest" else 2, depth=2))
+    assert made.value == n
