@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import collect_garbage, discard, materialize, ship_package
+from lodestone.session import collect_garbage, discard, materialize, narrow, ship_package
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,31 +22,34 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     ship_package(edges.sparkSession)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e, state = _written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    while state[0]:
+    e = _written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _is_flat(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = narrow(both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        old, before = e, state
-        e, state = _written(small.where("u <> v"))
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+        old, e = e, _written(small.select(pairs).select("e.u", "e.v").where("u <> v"))
         discard(old)
-        if state == before:
-            break
     collect_garbage(e.sparkSession)
     roots = e.groupBy("v").count().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _written(e: DataFrame) -> tuple[DataFrame, tuple[int, object]]:
-    """The distinct edges as forests in the shared folder; their number and a sum over them."""
+def _written(e: DataFrame) -> DataFrame:
+    """The edges as forests in the shared folder, each edge once."""
     kind = e.schema["u"].dataType.simpleString()
-    tasks = e.sparkSession.sparkContext.defaultParallelism  # one for each core: the more a task holds, the less is left
-    e = materialize(e.distinct().coalesce(tasks).mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
-    row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return e, (row["n"], row["s"])
+    # one task for each core: the more a task holds, the less is left
+    return materialize(narrow(narrow(e).mapInArrow(_forest, f"u {kind}, v {kind}").distinct()))
+
+
+def _is_flat(e: DataFrame) -> bool:
+    """Whether every node hangs on one node only, which hangs on none: then that is the smallest it reaches."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not narrow(ends.where("up > 1 or (up > 0 and down > 0)")).agg(F.count("*")).first()[0]
 
 
 def _forest(it: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:

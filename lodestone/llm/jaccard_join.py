@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.components import connected_components
 from lodestone.llm.near_dedup import _fingerprints, _sets, shingle_sets
 from lodestone.llm.textops import pieces
-from lodestone.session import discard, materialize, ship_package
+from lodestone.session import discard, materialize, narrow, ship_package
 
 _OWN = ["fp1", "fp2", "n"]
 
@@ -69,34 +69,34 @@ class JaccardJoin:
         """(point, component) of the points that some link touches."""
         sets = self._sets(d, self._partnered(points, rows))
         keys = self._keys(sets)
-        ranks = materialize(keys.select("point", "rank").distinct())
+        ranks = materialize(narrow(keys.select("point", "rank").distinct()))
         stars, windows, turn = [], [], 0
         while True:
             # linked points share one of the keys marked link; a point that shares none of them has no partner left
             shared = keys.where("link").groupBy("key").agg(F.min("point").alias("leader"), F.count("*").alias("size")).where("size > 1")
-            held = materialize(keys.where("link").join(shared, "key").select("point", "leader"))
+            held = materialize(narrow(keys.where("link").join(shared, "key").select("point", "leader")))
             if held.isEmpty():
                 discard(held), discard(keys)
                 break
             # what hangs together by keys is an area; a small one is joined as it is, a large one by pivots
-            areas = materialize(connected_components(held, "leader", "point").withColumnsRenamed({"node": "point", "component": "area"}))
+            areas = materialize(narrow(connected_components(held, "leader", "point").withColumnsRenamed({"node": "point", "component": "area"})))
             small = self._small(areas, sets)
             percent = self.percent
-            members = areas.join(small, "area").join(ranks, "point").join(sets, "point").select("area", "point", "rank", "shingles")
+            members = narrow(narrow(areas.join(small, "area")).join(ranks, "point")).join(sets, "point").select("area", "point", "rank", "shingles")
             stars.append(materialize(members.groupBy("area").applyInArrow(lambda t: _joined_whole(t, percent), "point long, leader long")))  # noqa: B023
-            before, held = held, materialize(held.join(areas.join(small, "area").select("point"), "point", "left_anti"))
+            before, held = held, materialize(narrow(held.join(narrow(areas.join(small, "area").select("point")), "point", "left_anti")))
             discard(before), discard(areas)
             if held.isEmpty():
                 discard(held), discard(keys)
                 break
             # the first of all its keys' points, and by lot about ``pivots`` of any one key: all, where it has no more
-            wide = materialize(keys.join(held.select("point").distinct(), "point", "left_semi"))
+            wide = materialize(narrow(keys.join(held.select("point"), "point", "left_semi")))
             most = wide.groupBy("key").agg(F.min(F.struct("rank", "point"))["point"].alias("leader"), F.count("*").alias("size")).where("size > 1")
             drawn = F.pmod(F.xxhash64("point", F.lit(turn)), F.max("size")) < self.pivots
-            pivots = wide.join(most, "key").groupBy("point").agg(F.min(F.col("leader") == F.col("point")).alias("all"), drawn.alias("drawn"))
-            pivots = materialize(pivots.where("all or drawn").select("point"))
-            centres = wide.join(pivots, "point").select("key", F.col("point").alias("leader"))
-            pairs = wide.select("key", "point").join(centres, "key").where("point <> leader").select("point", "leader").distinct()
+            pivots = narrow(wide.join(most, "key")).groupBy("point").agg(F.min(F.col("leader") == F.col("point")).alias("all"), drawn.alias("drawn"))
+            pivots = materialize(narrow(pivots.where("all or drawn").select("point")))
+            centres = narrow(wide.join(pivots, "point").select("key", F.col("point").alias("leader")))
+            pairs = narrow(narrow(wide.select("key", "point").join(centres, "key").where("point <> leader").select("point", "leader")).distinct())
             pairs = pairs.join(pivots.select("point", F.lit(True).alias("pivot")), "point", "left").where("pivot is null or point > leader")
             near = materialize(self._measured(pairs.withColumn("pivot", F.col("pivot").isNotNull()), sets))
             core = near.where(100 * F.col("both") >= self.percent * F.col("all"))
@@ -104,20 +104,20 @@ class JaccardJoin:
             stars.append(core.select("point", "leader"))
             windows.append(near.where("not pivot").join(homes, "point", "left"))
             gone = pivots.unionByName(homes.select("point"))
-            before, keys = keys, materialize(wide.join(gone, "point", "left_anti"))
+            before, keys = keys, materialize(narrow(wide.join(gone, "point", "left_anti")))
             discard(before), discard(held), discard(wide)
             turn += 1
         if not stars:
             return sets.select("point", F.col("point").alias("component")).where("false")
-        links = star = materialize(_union(stars))
+        links = star = materialize(narrow(_union(stars)))
         if windows:
-            links = materialize(star.unionByName(self._across(materialize(_union(windows)), star, sets)))
+            links = materialize(narrow(star.unionByName(self._across(materialize(narrow(_union(windows))), star, sets))))
         discard(sets)
         return connected_components(links, "leader", "point").withColumnRenamed("node", "point")
 
     def _small(self, areas: DataFrame, sets: DataFrame) -> DataFrame:
         """(area): those that one task can join, members and shingles of which are few."""
-        size = areas.join(sets.select("point", F.size("shingles").alias("n")), "point").groupBy("area").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        size = narrow(areas.join(sets.select("point", F.size("shingles").alias("n")), "point")).groupBy("area").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         return size.where((F.col("c") <= 2 * self.block) & ((F.col("s") <= 1 << 20) | (F.col("c") <= 2))).select("area")
 
     def _partnered(self, points: DataFrame, rows: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ class JaccardJoin:
         log2 = max(log2, 10)
         slices = wanted.select("doc_id").mapInArrow(lambda it: _marked(it, log2), "slice int, counts binary").groupBy("slice")
         bits = np.zeros(1 << (log2 - 3), np.uint8)
-        for row in slices.applyInArrow(_either, "slice int, counts binary").toLocalIterator():
+        for row in narrow(slices.applyInArrow(_either, "slice int, counts binary")).collect():  # of bounded size, as one job
             own = np.frombuffer(row["counts"], np.uint8)
             bits[row["slice"] * len(own) : (row["slice"] + 1) * len(own)] = own
         return wanted.sparkSession.sparkContext.broadcast(bits)
@@ -177,9 +177,9 @@ class JaccardJoin:
         total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
         cells = min(self.cells_log2, max(12, int(total).bit_length()))
         slices = sets.mapInArrow(lambda it: _count(it, cells), "slice int, counts binary").groupBy("slice")
-        merged = slices.applyInArrow(_add, "slice int, counts binary")
+        merged = narrow(slices.applyInArrow(_add, "slice int, counts binary"))
         table = np.zeros(1 << cells, np.int32)
-        for row in merged.toLocalIterator():  # at most 2 ** cells_log2 numbers
+        for row in merged.collect():  # at most 2 ** cells_log2 numbers, as one job
             own = np.frombuffer(row["counts"], np.int32)
             table[row["slice"] * len(own) : (row["slice"] + 1) * len(own)] = own
         shared, percent = sets.sparkSession.sparkContext.broadcast(table), self.percent
@@ -190,7 +190,7 @@ class JaccardJoin:
     def _measured(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(point, leader, pivot, both, all) of the pairs of a distance up to 2 * eps: sizes of intersection and union."""
         size = sets.select("point", F.size("shingles").alias("n"))
-        pairs = pairs.join(size, "point").join(size.select(F.col("point").alias("leader"), F.col("n").alias("m")), "leader")
+        pairs = narrow(narrow(pairs.join(size, "point")).join(size.select(F.col("point").alias("leader"), F.col("n").alias("m")), "leader"))
         wide = 2 * self.percent - 100
         pairs = pairs.where(100 * F.least("n", "m") >= wide * F.greatest("n", "m"))
         pairs = pairs.join(sets, "point").join(sets.select(F.col("point").alias("leader"), F.col("shingles").alias("others")), "leader")
@@ -209,15 +209,16 @@ class JaccardJoin:
         near = near.select("leader", "point", inner.alias("core"), (1 - F.col("both") / F.col("all")).alias("gap"))
         size = near.groupBy("leader").agg(F.sum(F.col("core").cast("int")).alias("c"), F.sum((~F.col("core")).cast("int")).alias("w")).where("c > 0 and w > 0")
         blocks = lambda c: F.ceil(F.col(c) / self.block).cast("int")
-        near = near.join(size.select("leader", blocks("c").alias("cs"), blocks("w").alias("ws")), "leader")
+        near = narrow(near.join(size.select("leader", blocks("c").alias("cs"), blocks("w").alias("ws")), "leader"))
         place = lambda of: F.pmod(F.xxhash64("point"), F.col(of)).cast("int")
         near = materialize(near.withColumn("own", F.when(F.col("core"), place("cs")).otherwise(place("ws"))))
         known, found = star, []
         for turn in ("first", "rest"):
-            groups = materialize(connected_components(known, "leader", "point"))
+            groups = materialize(narrow(connected_components(known, "leader", "point")))
             of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))  # noqa: B023, E731
             inside = near.where("core and own = 0" if turn == "first" else "core and own > 0")
-            outside = near.where("not core" if turn == "first" else "not core and cs > 1").join(of("point"), "point", "left").join(of("leader"), "leader")
+            outside = near.where("not core" if turn == "first" else "not core and cs > 1")
+            outside = narrow(narrow(outside.join(of("point"), "point", "left")).join(of("leader"), "leader"))
             outside = outside.where("point_in is null or point_in <> leader_in").drop("point_in", "leader_in")
             over = lambda begin, end: F.explode(F.sequence(begin, end))
             c = inside.join(outside.select("leader").distinct(), "leader", "left_semi").select("*", F.col("own").alias("x"), over(F.lit(0), F.col("ws") - 1).alias("y"))
@@ -226,7 +227,7 @@ class JaccardJoin:
             percent = self.percent
             new = materialize(both.groupBy("leader", "x", "y").applyInArrow(lambda t: _joined(t, percent), "point long, leader long"))
             found.append(new)
-            known = materialize(known.unionByName(new))
+            known = materialize(narrow(known.unionByName(new)))
         return _union(found)
 
 

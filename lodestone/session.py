@@ -33,6 +33,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """``df`` by one task a core, each of which takes several shuffle partitions one after another.
+
+    For tables of few columns between two shuffles, where hundreds of tasks would cost more than their rows.
+    """
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialized table that no later plan reads."""
     spark = df.sparkSession
