@@ -98,8 +98,9 @@ def _let(value: Column, body) -> Column:
 class RankMap:
     """The ranked merges as one literal: which pair of tokens joins to which token, and so with which rank.
 
-    A token is its rank. A slot of ``slots`` holds left << 40 | right << 20 | joined; a pair stands in one of the
-    two slots that ``_slot`` names (cuckoo hashing), or there is no such merge.
+    A token is its rank. The pair (a, b) has its place at ``base[a] + b``, where bases are chosen so that no two pairs
+    meet (rows of a sparse matrix laid over one another): ``left`` there is a, and ``joined`` what they join to. Where
+    ``left`` is another token, there is no such merge. A lookup hashes nothing and mostly ends at ``left``.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -107,50 +108,42 @@ class RankMap:
         self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(self.bytes) < 0:
             raise ValueError("every byte must be a token")
-        pairs = {}
+        most = max(ranks.values()) + 1
+        rows: dict[int, list[tuple[int, int]]] = {}
         for token, r in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a << 20 | b] = r
-        self.size = 1 << (3 * max(len(pairs), 1)).bit_length()
-        self.slots = [0] * self.size
-        for key, r in pairs.items():
-            entry, which = key << 20 | r, 0
-            for _ in range(500):
-                at = self._slot(entry >> 20, which)
-                entry, self.slots[at] = self.slots[at], entry
-                if not entry:
+                    rows.setdefault(a, []).append((b, r))
+        pairs = sum(map(len, rows.values()))
+        self.base = np.zeros(most, np.int32)
+        self.left, self.joined = np.full(4 * pairs + 2 * most, -1, np.int32), np.zeros(4 * pairs + 2 * most, np.int32)
+        rng = np.random.default_rng(0)
+        for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):  # long rows first
+            b, r = np.array(row).T
+            spread = 2 * pairs + most
+            while True:
+                tried = rng.integers(0, spread, max(1, min(64, 4096 // len(b))))
+                free = np.flatnonzero((self.left[tried[:, None] + b] < 0).all(1))
+                if len(free):
                     break
-                which = 1 if self._slot(entry >> 20, 0) == at else 0
-            else:
-                raise ValueError("no place for a pair")
-
-    def _slot(self, key, which: int):
-        """Of a pair's key, in Python or as a column."""
-        mult = (40503, 2654435)[which]
-        if isinstance(key, Column):
-            return (F.shiftright(key, 20) * (mult * 31 + 7) + key.bitwiseAND(0xFFFFF) * mult).bitwiseAND(self.size - 1)
-        return ((key >> 20) * (mult * 31 + 7) + (key & 0xFFFFF) * mult) & self.size - 1
+                spread = min(spread + most, 4 * pairs + most)
+            at = tried[free[0]]
+            self.base[a], self.left[at + b], self.joined[at + b] = at, a, r
 
     def literal(self, spark: SparkSession) -> Column:
         """The map as one value of a query: a scalar subquery, so that plans name it without printing it."""
-        one = {"slots": pa.array([self.slots], pa.list_(pa.int64())), "bytes": pa.array([self.bytes], pa.list_(pa.int32()))}
-        return spark.createDataFrame(pa.table(one)).select(F.struct("slots", "bytes")).scalar()
+        columns = {"base": self.base, "left": self.left, "joined": self.joined, "bytes": np.array(self.bytes, np.int32)}
+        one = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for k, v in columns.items()}
+        return spark.createDataFrame(pa.table(one)).select(F.struct(*columns)).scalar()
 
     def fold(self, word: Column, table: Column) -> Column:
         """Token ids of one word, an array of its bytes: pairs joined one by one, lowest rank first, leftmost first."""
         ints = F.array().cast("array<int>")
 
         def rank(a: Column, b: Column) -> Column:
-            def probe(key: Column) -> Column:
-                def at(which: int) -> Column:
-                    return F.get(table["slots"], self._slot(key, which).cast("int"))
-
-                one, two = at(0), at(1)
-                return F.when(F.shiftright(one, 20) == key, one.bitwiseAND(0xFFFFF)).when(F.shiftright(two, 20) == key, two.bitwiseAND(0xFFFFF)).cast("int")
-
-            return _let(a.cast("bigint") * 1048576 + b, probe)
+            at = F.get(table["base"], a) + b
+            return F.when(F.get(table["left"], at) == a, F.get(table["joined"], at))
 
         def numbers(n: Column) -> Column:
             return F.when(n < 1, ints).otherwise(F.sequence(F.lit(1), n))
@@ -158,20 +151,19 @@ class RankMap:
         def step(acc: Column, _: Column) -> Column:
             ids, ranks = acc["ids"], acc["ranks"]
 
-            def merge(best: Column) -> Column:
-                def at(p: Column) -> Column:
-                    left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), best))).otherwise(ints)
-                    right = F.when(p + 1 < F.size(ids), F.array(rank(best, F.get(ids, p + 1)))).otherwise(ints)
-                    joined = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best), F.slice(ids, p + 2, F.size(ids)))
-                    kept = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(ids)))
-                    return F.struct(joined.alias("ids"), kept.alias("ranks"))
-
-                return F.when(best.isNull(), acc).otherwise(_let(F.array_position(ranks, best).cast("int"), at))
+            def merge(best: Column, p: Column) -> Column:
+                # beside an end stands no token, and so no rank: the list of ranks keeps one place for each token
+                before, after = F.get(ids, p - 2), F.get(ids, p + 1)
+                left = F.when(p > 1, F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(rank(before, best)))).otherwise(ints)
+                joined = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best), F.slice(ids, p + 2, F.size(ids)))
+                kept = F.concat(left, F.array(rank(best, after)), F.slice(ranks, p + 2, F.size(ids)))
+                return F.struct(joined.alias("ids"), kept.alias("ranks"))
 
-            return _let(F.array_min(ranks), merge)
+            best = F.array_min(ranks)
+            return F.when(best.isNull(), acc).otherwise(_let(best, lambda v: _let(F.array_position(ranks, v).cast("int"), lambda p: merge(v, p))))
 
         def start(ids: Column) -> Column:
-            pairs = F.transform(numbers(F.size(ids) - 1), lambda i: rank(F.get(ids, i - 1), F.get(ids, i)))
+            pairs = F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)))
             return F.aggregate(numbers(F.size(ids) - 1), F.struct(ids.alias("ids"), pairs.alias("ranks")), step, lambda acc: acc["ids"])
 
         return _let(F.transform(word, lambda b: F.get(table["bytes"], b)), start)

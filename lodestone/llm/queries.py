@@ -59,7 +59,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(docs: DataFrame) -> DataFrame:
     bpe = BytePairEncoding(tokenizer_path())
     out = bpe.round_trip(docs)
-    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    decimal = F.replace(F.btrim(F.col("ids").cast("string"), F.lit("[]")), F.lit(", "), F.lit(","))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
