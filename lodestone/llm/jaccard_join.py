@@ -4,7 +4,8 @@ With distance 1 - similarity, linked sets are at most ``eps`` apart. Each round
 some belongs to the Voronoi region of the nearest: to its core. By the triangle inequality whatever links with a core
 member is within 2 * eps of the pivot: in the region's window. A core is linked through its pivot; only core against
 window is left to compare, and there |d(x, pivot) - d(y, pivot)| <= eps. Pivots and cores then leave, and the sets that
-are left are joined by the same rounds until none is.
+are left are joined by the same rounds until none is. An area of few sets is joined as it is, by one task; so is what a round
+of pivots has hardly thinned out, by a task for each two of its blocks.
 
 Which sets are within 2 * eps of a pivot is never guessed: under one order of all shingles, rare ones first, two sets of
 a similarity s share one of their first n - ceil(s * n) + 1 shingles. A set that is in no pair at all is found by a
@@ -13,6 +14,7 @@ count over the smallest hashes, before any set is sent anywhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +72,7 @@ class JaccardJoin:
         sets = self._sets(d, self._partnered(points, rows))
         keys = self._keys(sets)
         ranks = materialize(narrow(keys.select("point", "rank").distinct()))
-        stars, windows, turn = [], [], 0
+        stars, windows, turn, last = [], [], 0, 0
         while True:
             # linked points share one of the keys marked link; a point that shares none of them has no partner left
             shared = keys.where("link").groupBy("key").agg(F.min("point").alias("leader"), F.count("*").alias("size")).where("size > 1")
@@ -80,17 +82,21 @@ class JaccardJoin:
                 break
             # what hangs together by keys is an area; a small one is joined as it is, a large one by pivots
             areas = materialize(narrow(connected_components(held, "leader", "point").withColumnsRenamed({"node": "point", "component": "area"})))
-            small = self._small(areas, sets)
+            small = materialize(narrow(self._small(areas, sets)))
             percent = self.percent
             members = narrow(narrow(areas.join(small, "area")).join(ranks, "point")).join(sets, "point").select("area", "point", "rank", "shingles")
             stars.append(materialize(members.groupBy("area").applyInArrow(lambda t: _joined_whole(t, percent), "point long, leader long")))  # noqa: B023
-            before, held = held, materialize(narrow(held.join(narrow(areas.join(small, "area").select("point")), "point", "left_anti")))
-            discard(before), discard(areas)
-            if held.isEmpty():
-                discard(held), discard(keys)
+            large = materialize(narrow(areas.join(small, "area", "left_anti")))
+            discard(held), discard(areas), discard(small)
+            left = large.count()
+            if turn and 2 * left > last:  # a crowd too loose for pivots: each round would take a few members only
+                stars.append(materialize(self._crowds(large, sets)))
+            if not left or turn and 2 * left > last:
+                discard(large), discard(keys)
                 break
+            last = left
             # the first of all its keys' points, and by lot about ``pivots`` of any one key: all, where it has no more
-            wide = materialize(narrow(keys.join(held.select("point"), "point", "left_semi")))
+            wide = materialize(narrow(keys.join(large.select("point"), "point", "left_semi")))
             most = wide.groupBy("key").agg(F.min(F.struct("rank", "point"))["point"].alias("leader"), F.count("*").alias("size")).where("size > 1")
             drawn = F.pmod(F.xxhash64("point", F.lit(turn)), F.max("size")) < self.pivots
             pivots = narrow(wide.join(most, "key")).groupBy("point").agg(F.min(F.col("leader") == F.col("point")).alias("all"), drawn.alias("drawn"))
@@ -105,7 +111,7 @@ class JaccardJoin:
             windows.append(near.where("not pivot").join(homes, "point", "left"))
             gone = pivots.unionByName(homes.select("point"))
             before, keys = keys, materialize(narrow(wide.join(gone, "point", "left_anti")))
-            discard(before), discard(held), discard(wide)
+            discard(before), discard(large), discard(wide)
             turn += 1
         if not stars:
             return sets.select("point", F.col("point").alias("component")).where("false")
@@ -120,6 +126,32 @@ class JaccardJoin:
         size = narrow(areas.join(sets.select("point", F.size("shingles").alias("n")), "point")).groupBy("area").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         return size.where((F.col("c") <= 2 * self.block) & ((F.col("s") <= 1 << 20) | (F.col("c") <= 2))).select("area")
 
+    def _crowds(self, areas: DataFrame, sets: DataFrame) -> DataFrame:
+        """(point, leader): links inside areas of any size, one at least for each two components that they join.
+
+        Linked sets differ in size by a factor of at most 100 / percent, so they are of one band of sizes or of two that
+        adjoin. A band is dealt into blocks, and a task compares two blocks, so none holds an area.
+        """
+        width = math.log(100 / self.percent + 0.01)  # over the factor, whatever is lost by rounding
+        members = narrow(areas.join(sets.select("point", F.size("shingles").alias("n")), "point"))
+        members = materialize(narrow(members.select("area", "point", "n", F.floor(F.log("n") / width).cast("int").alias("band"))))
+        size = members.groupBy("area", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        blocks = F.greatest(F.ceil(F.col("c") / (2 * self.block)), F.ceil(F.col("s") / (1 << 19))).cast("int")
+        size = materialize(narrow(size.select("area", "band", blocks.alias("blocks"))))
+        beside = lambda by, name: size.select("area", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
+        dealt = narrow(members.join(size, ["area", "band"]).join(beside(-1, "above"), ["area", "band"], "left").join(beside(1, "below"), ["area", "band"], "left"))
+        dealt = materialize(dealt.withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int")))
+
+        def met(blocks: str, x, i, y, j) -> DataFrame:
+            each = dealt.where(F.col(blocks) > 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+            return each.select("area", x.alias("x"), i.alias("i"), y.alias("y"), j.alias("j"), "point", ((F.col("band") == x) & (F.col("own") == i)).alias("first"))
+
+        band, own, other = F.col("band"), F.col("own"), F.col("other")
+        pairs = met("blocks", band, F.least(own, other), band, F.greatest(own, other))
+        pairs = pairs.unionByName(met("above", band, own, band + 1, other)).unionByName(met("below", band - 1, other, band, own))
+        percent = self.percent
+        return pairs.join(sets, "point").groupBy("area", "x", "i", "y", "j").applyInArrow(lambda t: _joined_blocks(t, percent), "point long, leader long")
+
     def _partnered(self, points: DataFrame, rows: DataFrame) -> DataFrame:
         """(point, doc_id, fp1, fp2, n) of the points that may link with another.
 
@@ -417,6 +449,71 @@ def _joined_whole(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"point": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64())})
 
 
+def _joined_blocks(table: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks, or inside the only one, one for each two components that they join."""
+    values, at = _lists(table.column("shingles").combine_chunks())
+    point, n = table.column("point").to_numpy(), np.diff(at)
+    first = table.column("first").to_numpy(zero_copy_only=False)
+    alone = table.column("x")[0] == table.column("y")[0] and table.column("i")[0] == table.column("j")[0]
+    rows = np.flatnonzero(first), np.flatnonzero(first if alone else ~first)
+    near, a, b = np.zeros((len(point), len(point)), bool), [], []
+    if len(rows[0]) and len(rows[1]):
+        both = _both(values, at, *rows)
+        near[np.ix_(*rows)] = (100 + percent) * both >= percent * (n[rows[0]][:, None] + n[rows[1]])
+        near |= near.T
+    seen = np.zeros(len(point), bool)
+    for k in np.flatnonzero(near.any(axis=1)).tolist():
+        reached = [] if seen[k] else [k]
+        seen[k] = True
+        while reached:
+            i = reached.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            reached += new.tolist()
+            a += point[new].tolist()
+            b += [point[i]] * len(new)
+    return pa.table({"point": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64())})
+
+
+def _both(values: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, lot: int = 1 << 21) -> np.ndarray:
+    """Sizes of the intersections of all left rows with all right ones.
+
+    Shingles of many rows are counted by products of matrices, a thousand at a time; others by listing the pairs that share them.
+    """
+    _, code = np.unique(values, return_inverse=True)
+    own = lambda some: np.concatenate([code[at[r] : at[r + 1]] for r in some])
+    codes, n = (own(left), own(right)), np.diff(at)
+    places = [np.repeat(np.arange(len(some)), n[some]) for some in (left, right)]
+    counts = [np.bincount(c, minlength=int(code.max()) + 1) for c in codes]
+    met, shape = counts[0] * counts[1], (len(left), len(right))
+    both = np.zeros(shape, np.int64)
+    common = np.flatnonzero(100 * met > len(left) * len(right))
+    for k in range(0, len(common), 1024):
+        some = common[k : k + 1024]
+        column = np.full(len(met), -1)
+        column[some] = np.arange(len(some))
+        marks = []
+        for c, place, size in zip(codes, places, shape, strict=True):
+            held = column[c] >= 0
+            marks.append(np.zeros((size, len(some)), np.float32))
+            marks[-1][place[held], column[c[held]]] = 1
+        both += (marks[0] @ marks[1].T).astype(np.int64)
+    met[common] = 0
+    order = np.argsort(codes[1], kind="stable")
+    begin = np.cumsum(counts[1]) - counts[1]
+    held = np.flatnonzero(met[codes[0]])
+    ends = np.cumsum(counts[1][codes[0][held]])
+    done = 0
+    while done < len(held):  # pairs of rows that share a shingle, a lot at a time
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + lot, "right")))
+        some = held[done:to]
+        times = counts[1][codes[0][some]]
+        other = np.repeat(begin[codes[0][some]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        both += np.bincount(np.repeat(places[0][some], times) * shape[1] + places[1][order[other]], minlength=both.size).reshape(shape)
+        done = to
+    return both
+
+
 def _joined(table: pa.Table, percent: int) -> pa.Table:
     """Of each window member in the task: the first core member found that it links with, if any."""
     values, first = _lists(table.column("shingles").combine_chunks())

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import docs, empty, fixture_texts, prose, shingles  # noqa: F401
 
-from lodestone.llm.jaccard_join import JaccardJoin, _packed, _shared
+from lodestone.llm.jaccard_join import JaccardJoin, _both, _packed, _shared
 
 
 def brute(rows, percent=80):
@@ -90,6 +90,33 @@ def test_large_group_of_near_copies(spark):
     assert rows_of(spark, rows, block=100) == brute(rows)
 
 
+def test_loose_crowd_takes_few_rounds(spark, monkeypatch):
+    """Copies of copies of three sizes, most of them too far from any pivot: rounds of pivots don't grow with the crowd."""
+    rng = np.random.default_rng(12)
+    rows, rounds, measured = [], [], JaccardJoin._measured
+    monkeypatch.setattr(JaccardJoin, "_measured", lambda self, *a: rounds.append(1) or measured(self, *a))
+    for size in (100, 120, 146):
+        group = [prose(size, 3000, rng).split() if size == 100 else group[0] + prose(size - len(group[0]), 3000, rng).split()]
+        for _ in range(199):
+            group.append(list(group[int(rng.integers(len(group)))]))
+            for _ in range(int(rng.integers(1, 6))):
+                group[-1][int(rng.integers(size))] = f"x{rng.integers(100000)}"
+        rows += [(len(rows) + k, " ".join(words)) for k, words in enumerate(group)]
+    assert rows_of(spark, rows, block=20, pivots=2) == brute(rows)
+    assert 1 <= len(rounds) <= 5
+
+
+@pytest.mark.parametrize("lot", [7, 1 << 21])
+def test_intersections_of_blocks(lot):
+    """Shingles of many rows and of few, in one block and across two."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique((rng.random(60) ** 3 * 300).astype(np.int64) * 7 - 900) for _ in range(70)]
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    for left, right in ((np.arange(0, 70, 2), np.arange(1, 70, 2)), (np.arange(30), np.arange(30)), (np.arange(1), np.arange(1, 70))):
+        want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+        assert _both(np.concatenate(sets), at, left, right, lot).tolist() == want
+
+
 @pytest.mark.parametrize("lot", [1, 64, 1 << 20])
 @pytest.mark.parametrize("shards", [1, 7])
 def test_shared_hashes_are_counted(lot, shards):
